@@ -57,3 +57,9 @@ def cosine_sql(a: str, b: str) -> str:
     return (f"CASE WHEN sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) = 0 "
             f"THEN 'NaN'::DOUBLE ELSE 1 - list_dot_product({a}, {b}) / "
             f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END")
+
+
+# Same whitespace class as ``lexiscope.functions.text.WHITESPACE_CLASS``; RE2
+# reads it the way Java does.
+WS_CLASS_SQL = ("[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+                "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]")

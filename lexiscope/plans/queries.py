@@ -85,3 +85,162 @@ def q_topk_metrics(spark, sf_dir):
     n_rel = q.join(label_n, "q_label").select("query_id", (F.col("_n") - 1).alias("n_relevant"))
     per_query = per_query_metrics(flagged, n_rel, q.select("query_id"))
     return round_metrics(average_metrics(per_query))
+
+
+# ---------------------------------------------------------------------------
+# Text functions and token statistics on ``documents`` (analysis content is
+# ``title + ' ' + text`` with ``source`` as title) and ``pages``.
+# ---------------------------------------------------------------------------
+
+from ..functions.text import (clean_text, content_for_analysis, count_bytes,  # noqa: E402
+                              count_characters, count_words)
+from ..functions.tokens import (BYTE_VOCAB_SIZE, CHAR_VOCAB_SIZE, byte_tokens,  # noqa: E402
+                                char_tokens)
+from ..operators import tokstats  # noqa: E402
+from ..sources.testdata import corpus  # noqa: E402
+from .oracle import WS_CLASS_SQL  # noqa: E402
+
+
+def _analysis_docs(spark, sf_dir):
+    return corpus(spark, sf_dir).select(
+        "doc_id", "pos", content_for_analysis("title", "text").alias("text"))
+
+
+def _tokenized(spark, sf_dir):
+    d = _analysis_docs(spark, sf_dir)
+    by = d.select(F.lit("byte").alias("tokenizer"), "doc_id", "pos", "text",
+                  byte_tokens("text").alias("tokens"))
+    ch = d.select(F.lit("char").alias("tokenizer"), "doc_id", "pos", "text",
+                  char_tokens("text").alias("tokens"))
+    return by.unionByName(ch)
+
+
+def _vocab_sizes(spark):
+    return spark.createDataFrame([("byte", BYTE_VOCAB_SIZE), ("char", CHAR_VOCAB_SIZE)],
+                                 "tokenizer string, vocab_size long")
+
+
+_WORD_RE = "[^" + WS_CLASS_SQL[1:] + "+"
+_DOCS_SQL = "SELECT doc_id, doc_id AS pos, source || ' ' || text AS text FROM documents"
+_BYTES_OF = ("flatten(list_transform(string_split({t}, ''), lambda c: "
+             "list_transform(range(strlen(c)), lambda j: ('0x' || substr(hex(c), 2*j+1, 2))::INT)))")
+_TOK_SQL = f"""
+WITH d AS ({_DOCS_SQL}),
+tok AS (
+  SELECT 'byte' AS tokenizer, doc_id, pos, text,
+         list_transform({_BYTES_OF.format(t='text')}, lambda b: b + 3) || [1] AS tokens FROM d
+  UNION ALL
+  SELECT 'char' AS tokenizer, doc_id, pos, text,
+         [57344] || (CASE WHEN length(text) = 0 THEN []::INT[]
+                     ELSE list_transform(string_split(text, ''), lambda c: unicode(c)) END)
+         || [57345] AS tokens FROM d),
+counted AS (
+  SELECT tokenizer, doc_id, pos, tokens, len(tokens)::BIGINT AS n_tokens,
+    len(regexp_extract_all(text, '{_WORD_RE}'))::BIGINT AS n_words,
+    length(replace(replace(replace(text, ' ', ''), chr(10), ''), chr(9), ''))::BIGINT AS n_chars,
+    strlen(text)::BIGINT AS n_bytes
+  FROM tok),
+docstats AS (
+  SELECT tokenizer, count(*) AS num_docs, sum(n_tokens)::BIGINT AS total_tokens,
+    avg(n_tokens) AS avg_tokens_per_doc, median(n_tokens)::DOUBLE AS median_tokens_per_doc,
+    min(n_tokens) AS min_tokens_per_doc, max(n_tokens) AS max_tokens_per_doc,
+    avg(n_tokens::DOUBLE / nullif(n_words, 0)) AS avg_tokens_per_word,
+    avg(n_tokens::DOUBLE / nullif(n_chars, 0)) AS avg_tokens_per_char,
+    avg(n_tokens::DOUBLE / nullif(n_bytes, 0)) AS avg_tokens_per_byte
+  FROM counted GROUP BY tokenizer),
+voc AS (
+  SELECT tokenizer, count(DISTINCT token) AS unique_tokens_used
+  FROM (SELECT tokenizer, unnest(tokens) AS token FROM tok) GROUP BY tokenizer),
+sizes AS (SELECT * FROM (VALUES ('byte', {BYTE_VOCAB_SIZE}), ('char', {CHAR_VOCAB_SIZE}))
+          t(tokenizer, vocab_size)),
+stats AS (
+  SELECT s.tokenizer, s.vocab_size::BIGINT AS vocab_size, v.unique_tokens_used,
+    d.total_tokens, round(v.unique_tokens_used * 100.0 / s.vocab_size, 6) AS vocab_utilization,
+    round(d.avg_tokens_per_doc, 6) AS avg_tokens_per_doc,
+    round(d.median_tokens_per_doc, 6) AS median_tokens_per_doc,
+    d.min_tokens_per_doc, d.max_tokens_per_doc,
+    round(d.avg_tokens_per_word, 6) AS avg_tokens_per_word,
+    round(d.avg_tokens_per_char, 6) AS avg_tokens_per_char,
+    round(d.avg_tokens_per_byte, 6) AS avg_tokens_per_byte,
+    round(d.avg_tokens_per_byte, 6) AS compression_ratio
+  FROM sizes s JOIN voc v USING (tokenizer) JOIN docstats d USING (tokenizer))"""
+
+
+def _stats(spark, sf_dir):
+    return round_metrics(tokstats.analyze(_tokenized(spark, sf_dir), _vocab_sizes(spark)))
+
+
+@register("byte_token_stats", _TOK_SQL + "\nSELECT * FROM stats WHERE tokenizer = 'byte'")
+def q_byte_token_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).where(F.col("tokenizer") == "byte")
+
+
+@register("char_token_stats", _TOK_SQL + "\nSELECT * FROM stats WHERE tokenizer = 'char'")
+def q_char_token_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).where(F.col("tokenizer") == "char")
+
+
+@register("tokens_per_doc_stats", _TOK_SQL + """
+SELECT tokenizer, avg_tokens_per_doc, median_tokens_per_doc, min_tokens_per_doc,
+       max_tokens_per_doc FROM stats""")
+def q_tokens_per_doc_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).select(
+        "tokenizer", "avg_tokens_per_doc", "median_tokens_per_doc", "min_tokens_per_doc",
+        "max_tokens_per_doc")
+
+
+@register("token_ratios", _TOK_SQL + """
+SELECT tokenizer, avg_tokens_per_word, avg_tokens_per_char, avg_tokens_per_byte,
+       compression_ratio FROM stats""")
+def q_token_ratios(spark, sf_dir):
+    return _stats(spark, sf_dir).select(
+        "tokenizer", "avg_tokens_per_word", "avg_tokens_per_char", "avg_tokens_per_byte",
+        "compression_ratio")
+
+
+@register("vocab_utilization", _TOK_SQL + """
+SELECT tokenizer, vocab_size, unique_tokens_used, total_tokens, vocab_utilization FROM stats""")
+def q_vocab_utilization(spark, sf_dir):
+    return round_metrics(tokstats.vocab_utilization(_tokenized(spark, sf_dir),
+                                                    _vocab_sizes(spark)))
+
+
+@register("token_frequency", _TOK_SQL + """,
+ex AS (SELECT tokenizer, pos, unnest(tokens) AS token, unnest(range(len(tokens))) AS idx FROM tok),
+cnt AS (SELECT tokenizer, token, count(*) AS cnt, min(pos) AS p0,
+          arg_min(idx, (pos, idx)) AS i0 FROM ex GROUP BY tokenizer, token),
+ranked AS (SELECT tokenizer, token, cnt, row_number() OVER (
+            PARTITION BY tokenizer ORDER BY cnt DESC, p0, i0) AS rank FROM cnt)
+SELECT tokenizer, rank, token, cnt FROM ranked WHERE rank <= 5""")
+def q_token_frequency(spark, sf_dir):
+    return tokstats.token_frequency(_tokenized(spark, sf_dir), top=5)
+
+
+@register("token_pair_counts", f"""
+WITH d AS (SELECT doc_id, {_BYTES_OF.format(t='text')} AS b FROM documents),
+p AS (SELECT b[i] AS "left", b[i + 1] AS "right"
+      FROM (SELECT b, unnest(range(1, len(b))) AS i FROM d))
+SELECT "left", "right", count(*) AS cnt FROM p GROUP BY "left", "right" """)
+def q_token_pair_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    seqs = docs.select(byte_tokens("text", special=False).alias("tokens"))
+    return tokstats.token_pair_counts(seqs)
+
+
+@register("count_text", f"""
+WITH d AS ({_DOCS_SQL})
+SELECT doc_id, len(regexp_extract_all(text, '{_WORD_RE}'))::BIGINT AS n_words,
+  length(replace(replace(replace(text, ' ', ''), chr(10), ''), chr(9), ''))::BIGINT AS n_chars,
+  strlen(text)::BIGINT AS n_bytes FROM d""")
+def q_count_text(spark, sf_dir):
+    d = _analysis_docs(spark, sf_dir)
+    return d.select("doc_id", count_words("text").alias("n_words"),
+                    count_characters("text").alias("n_chars"), count_bytes("text").alias("n_bytes"))
+
+
+@register("clean_text", f"""
+SELECT page_id, trim(regexp_replace(coalesce(html, ''), '{WS_CLASS_SQL}+', ' ', 'g'), ' ')
+       AS cleaned FROM pages""")
+def q_clean_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", clean_text("html").alias("cleaned"))
