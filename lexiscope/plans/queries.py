@@ -244,3 +244,85 @@ SELECT page_id, trim(regexp_replace(coalesce(html, ''), '{WS_CLASS_SQL}+', ' ',
 def q_clean_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", clean_text("html").alias("cleaned"))
+
+
+# ---------------------------------------------------------------------------
+# Corpus preparation: first N titles, judgments, query alignment, split.
+# ---------------------------------------------------------------------------
+
+from ..operators import prep  # noqa: E402
+from ..operators.ordering import split_by_position  # noqa: E402
+from ..sources.testdata import qrels as test_qrels  # noqa: E402
+from ..sources.testdata import queries as test_queries  # noqa: E402
+
+N_TITLES = 10
+
+_QRELS_SQL = """SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d
+  ON contains(d.text, b.text) WHERE length(b.text) > 0"""
+_KEPT_SQL = f"""kept_titles AS (SELECT source, min(doc_id) AS f FROM documents GROUP BY source
+                ORDER BY f LIMIT {N_TITLES}),
+kept AS (SELECT doc_id, source AS title FROM documents d
+         WHERE EXISTS (SELECT 1 FROM kept_titles t WHERE t.source IS NOT DISTINCT FROM d.source))"""
+_ALIGN_SQL = f"""WITH qrels AS ({_QRELS_SQL}),
+{_KEPT_SQL},
+aligned AS (
+  SELECT b.item_id AS query_id FROM benchmark b
+  WHERE b.item_id IN (SELECT query_id FROM qrels)
+    AND b.item_id NOT IN (SELECT query_id FROM qrels
+                          WHERE doc_id NOT IN (SELECT doc_id FROM kept)))"""
+
+
+def _prepared(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    kept = prep.first_n_titles(docs, N_TITLES)
+    qs = test_queries(spark, sf_dir)
+    qr = test_qrels(spark, sf_dir)
+    aligned = prep.align_queries(qs, qr, kept)
+    return docs, kept, qs, qr, aligned
+
+
+@register("qrels_containment", _QRELS_SQL)
+def q_qrels_containment(spark, sf_dir):
+    return test_qrels(spark, sf_dir)
+
+
+@register("first_n_titles", f"WITH {_KEPT_SQL}\nSELECT doc_id, title FROM kept")
+def q_first_n_titles(spark, sf_dir):
+    return prep.first_n_titles(corpus(spark, sf_dir), N_TITLES).select("doc_id", "title")
+
+
+@register("queries_with_qrels", f"""WITH qrels AS ({_QRELS_SQL})
+SELECT b.item_id AS query_id, g.corpus_ids FROM benchmark b LEFT JOIN (
+  SELECT query_id, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS corpus_ids
+  FROM qrels GROUP BY query_id) g ON b.item_id = g.query_id""")
+def q_queries_with_qrels(spark, sf_dir):
+    out = prep.queries_with_qrels(test_queries(spark, sf_dir), test_qrels(spark, sf_dir))
+    return out.select("query_id", F.array_join(F.transform("corpus_ids", lambda x: x.cast("string")),
+                                               " ").alias("corpus_ids"))
+
+
+@register("align_queries", _ALIGN_SQL + "\nSELECT query_id FROM aligned")
+def q_align_queries(spark, sf_dir):
+    return _prepared(spark, sf_dir)[4].select("query_id")
+
+
+@register("prep_counts", _ALIGN_SQL + """
+SELECT 'corpus_rows' AS metric, count(*)::BIGINT AS value FROM documents
+UNION ALL SELECT 'distinct_titles', count(DISTINCT source)::BIGINT FROM documents
+UNION ALL SELECT 'kept_rows', count(*)::BIGINT FROM kept
+UNION ALL SELECT 'queries', count(*)::BIGINT FROM benchmark
+UNION ALL SELECT 'qrel_pairs', count(*)::BIGINT FROM qrels
+UNION ALL SELECT 'kept_queries', count(*)::BIGINT FROM aligned""")
+def q_prep_counts(spark, sf_dir):
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    return prep.prep_counts(docs, kept, qs, qr, aligned)
+
+
+@register("split_by_position", """
+SELECT item_id AS query_id,
+  CASE WHEN row_number() OVER (ORDER BY item_id) - 1 < floor(count(*) OVER () * 0.5)
+       THEN 'validation' ELSE 'test' END AS split
+FROM benchmark""")
+def q_split_by_position(spark, sf_dir):
+    return split_by_position(test_queries(spark, sf_dir), 0.5, pos="pos", id_col="query_id") \
+        .select("query_id", "split")
