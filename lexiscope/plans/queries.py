@@ -326,3 +326,121 @@ FROM benchmark""")
 def q_split_by_position(spark, sf_dir):
     return split_by_position(test_queries(spark, sf_dir), 0.5, pos="pos", id_col="query_id") \
         .select("query_id", "split")
+
+
+# ---------------------------------------------------------------------------
+# Hashed-feature embeddings and text retrieval (benchmark -> documents).
+# ---------------------------------------------------------------------------
+
+from ..operators import vectorize  # noqa: E402
+from ..operators.metrics import DEFAULT_KS  # noqa: E402
+from . import jobs  # noqa: E402
+from .oracle import hashed_scores_sql, hashed_weights_sql  # noqa: E402
+from .registry import MODELS  # noqa: E402
+
+DIM = 256
+_EMB_DOCS = "SELECT doc_id, source || ': ' || text AS text FROM documents"
+
+
+def _sparse_rows(vecs: DataFrame) -> DataFrame:
+    ex = vecs.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return ex.where(F.col("weight") != 0).select(
+        "doc_id", F.col("bucket").cast("bigint").alias("bucket"),
+        F.round("weight", 6).alias("weight"))
+
+
+def _embed_sql(model_key: str) -> str:
+    return f"""WITH docs AS ({_EMB_DOCS}),
+{hashed_weights_sql('docs', None, DIM, {'m': model_key})},
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS nn FROM dw GROUP BY doc_id)
+SELECT doc_id, bucket::BIGINT AS bucket, round(w / nn, 6) AS weight
+FROM dw JOIN dn USING (doc_id) WHERE w <> 0 AND nn > 0"""
+
+
+@register("embed_hashed_byte", _embed_sql("byte"))
+def q_embed_hashed_byte(spark, sf_dir):
+    vecs, _ = jobs.embed_corpus(corpus(spark, sf_dir), MODELS["byte-hashed"])
+    return _sparse_rows(vecs)
+
+
+@register("embed_hashed_char", _embed_sql("char"))
+def q_embed_hashed_char(spark, sf_dir):
+    vecs, _ = jobs.embed_corpus(corpus(spark, sf_dir), MODELS["char-hashed"])
+    return _sparse_rows(vecs)
+
+
+@register("idf_table", f"""WITH docs AS ({_EMB_DOCS}),
+{hashed_weights_sql('docs', None, DIM, {'m': 'byte'})}
+SELECT b.bucket::INT AS bucket, coalesce(f.df, 0)::BIGINT AS df,
+       round(ln((n + 1.0) / (coalesce(f.df, 0) + 1.0)), 6) AS idf
+FROM range({DIM}) b(bucket) LEFT JOIN dfq f ON f.bucket = b.bucket, ndocs""")
+def q_idf_table(spark, sf_dir):
+    m = MODELS["byte-hashed"]
+    docs = corpus(spark, sf_dir)
+    tok = docs.select(m.tokenizer.tokens(
+        jobs.content_for_embedding("title", "text")).alias("tokens"))
+    tf = tok.select(vectorize.hashed_tf("tokens", m.dim, m.ngram).alias("tf"))
+    return round_metrics(vectorize.idf_table(tf, "tf"))
+
+
+@register("hashed_topk", f"""WITH docs AS ({_EMB_DOCS}),
+asked AS (SELECT item_id AS query_id, text FROM benchmark),
+{hashed_weights_sql('docs', 'asked', DIM, {'byte-hashed': 'byte'})},
+{hashed_scores_sql('docs', 'asked')},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, query_id
+           ORDER BY round(distance, 9), doc_id) AS rank FROM scored)
+SELECT query_id, doc_id, rank, round(distance, 6) AS distance FROM ranked WHERE rank <= 15""")
+def q_hashed_topk(spark, sf_dir):
+    m = MODELS["byte-hashed"]
+    doc_vecs, idf = jobs.embed_corpus(corpus(spark, sf_dir), m)
+    q_vecs = jobs.embed_queries(test_queries(spark, sf_dir), m, idf)
+    hits = topk_cosine(q_vecs, doc_vecs, 15)
+    return hits.select("query_id", "doc_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def _flagship_sql(select: str) -> str:
+    models = {"byte-hashed": "byte", "char-hashed": "char"}
+    return _ALIGN_SQL + f""",
+asked AS (SELECT query_id FROM (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS r,
+          count(*) OVER () AS n FROM aligned) WHERE r >= floor(n * 0.5)),
+docs AS (SELECT d.doc_id, d.source || ': ' || d.text AS text
+         FROM documents d JOIN kept k ON d.doc_id = k.doc_id),
+qtext AS (SELECT b.item_id AS query_id, b.text FROM benchmark b JOIN asked a ON a.query_id = b.item_id),
+{hashed_weights_sql('docs', 'qtext', DIM, models)},
+{hashed_scores_sql('docs', 'asked')},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, query_id
+           ORDER BY round(distance, 9), doc_id) AS rank FROM scored),
+top AS (SELECT r.model, r.query_id, r.doc_id, r.rank, q.query_id IS NOT NULL AS is_relevant
+        FROM ranked r LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM qrels) q
+        ON r.query_id = q.query_id AND r.doc_id = q.doc_id WHERE r.rank <= 15),
+nrel AS (SELECT m.model, n.query_id, n.n_relevant FROM (SELECT DISTINCT model FROM dtok) m,
+         (SELECT query_id, count(DISTINCT doc_id) AS n_relevant FROM qrels GROUP BY query_id) n),
+asked_m AS (SELECT m.model, a.query_id FROM (SELECT DISTINCT model FROM dtok) m, asked a),
+wide AS (WITH {metrics_sql('top', 'nrel', 'asked_m', ('model',))})
+{select}"""
+
+
+def _flagship(spark, sf_dir):
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    qtext = aligned.join(qs.select("query_id"), "query_id")
+    res = jobs.evaluate(kept, qtext, qr, [MODELS["byte-hashed"], MODELS["char-hashed"]],
+                        ks=DEFAULT_KS)
+    return res
+
+
+@register("retrieval_metrics_wide", _flagship_sql(
+    "SELECT model, num_queries, mrr, " + ", ".join(
+        [f"recall_at_{k}" for k in DEFAULT_KS] + [f"precision_at_{k}" for k in DEFAULT_KS])
+    + " FROM wide"))
+def q_retrieval_metrics_wide(spark, sf_dir):
+    return round_metrics(_flagship(spark, sf_dir).drop("dim"))
+
+
+@register("accuracy_per_dimension", _flagship_sql(
+    f"SELECT model, {DIM}::INT AS dim, round(mrr / {DIM}, 9) AS mrr_per_dim, "
+    f"round(recall_at_10 / {DIM}, 9) AS recall_at_10_per_dim FROM wide"))
+def q_accuracy_per_dimension(spark, sf_dir):
+    res = round_metrics(_flagship(spark, sf_dir))
+    return res.select("model", F.col("dim").cast("int").alias("dim"),
+                      F.round(F.col("mrr") / F.col("dim"), 9).alias("mrr_per_dim"),
+                      F.round(F.col("recall_at_10") / F.col("dim"), 9).alias("recall_at_10_per_dim"))
