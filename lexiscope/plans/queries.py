@@ -444,3 +444,166 @@ def q_accuracy_per_dimension(spark, sf_dir):
     return res.select("model", F.col("dim").cast("int").alias("dim"),
                       F.round(F.col("mrr") / F.col("dim"), 9).alias("mrr_per_dim"),
                       F.round(F.col("recall_at_10") / F.col("dim"), 9).alias("recall_at_10_per_dim"))
+
+
+# ---------------------------------------------------------------------------
+# Language-model data and scoring (byte-model tokens of the analysis text).
+# ---------------------------------------------------------------------------
+
+from ..operators import lm  # noqa: E402
+from ..operators.ordering import split_80_10_10  # noqa: E402
+from .oracle import TOKENS_SQL  # noqa: E402
+
+SEQ_LEN, STRIDE = 128, 64
+LM_VOCAB = 259 + 1  # byte-model ids 0..258, plus one for padding
+ALPHA = 0.1
+ALPHAS = (0.01, 0.1, 1.0)
+
+_SPLIT_SQL = """split AS (
+  SELECT doc_id, CASE WHEN rk < floor(n * 0.8) THEN 'train'
+                      WHEN rk < floor(n * 0.8) + floor(n * 0.1) THEN 'validation'
+                      ELSE 'test' END AS split
+  FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42' || doc_id::VARCHAR), doc_id) - 1 AS rk,
+               count(*) OVER () AS n FROM documents))"""
+_LM_DOCS_SQL = f"""{_SPLIT_SQL},
+lmdocs AS (SELECT d.doc_id, s.split, d.source || ' ' || d.text AS text,
+             {TOKENS_SQL['byte'].format(t="(d.source || ' ' || d.text)")} AS t
+           FROM documents d JOIN split s USING (doc_id)),
+pairs AS (SELECT split, t[i] AS ctx, t[i + 1] AS tok
+          FROM (SELECT split, t, unnest(range(1, len(t))) AS i FROM lmdocs)),
+train_counts AS (SELECT ctx, tok, count(*) AS cnt FROM pairs WHERE split = 'train'
+                 GROUP BY ctx, tok),
+ctxc AS (SELECT ctx, sum(cnt) AS cc FROM train_counts GROUP BY ctx)"""
+
+
+def _lm_docs(spark, sf_dir):
+    d = corpus(spark, sf_dir).select("doc_id", content_for_analysis("title", "text").alias("text"))
+    d = split_80_10_10(d, "doc_id", seed=42)
+    return d.withColumn("tokens", byte_tokens("text"))
+
+
+@register("split_80_10_10", "WITH " + _SPLIT_SQL + "\nSELECT doc_id, split FROM split")
+def q_split_80_10_10(spark, sf_dir):
+    return split_80_10_10(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=42)
+
+
+@register("lm_windows", f"""WITH d AS (
+  SELECT doc_id, {TOKENS_SQL['byte'].format(t="(source || ' ' || text)")} AS t FROM documents),
+w AS (SELECT doc_id, t, unnest(range(0, len(t) - {SEQ_LEN} - 1, {STRIDE})) AS start FROM d)
+SELECT doc_id, start, t[start + 1] AS input_first, t[start + {SEQ_LEN}] AS input_last,
+       t[start + 2] AS target_first, t[start + {SEQ_LEN} + 1] AS target_last,
+       {SEQ_LEN} AS input_len FROM w""")
+def q_lm_windows(spark, sf_dir):
+    d = corpus(spark, sf_dir).select(
+        "doc_id", byte_tokens(content_for_analysis("title", "text")).alias("tokens"))
+    w = lm.lm_windows(d, "tokens", SEQ_LEN, STRIDE)
+    return w.select("doc_id", F.col("start").cast("bigint").alias("start"),
+                    F.col("input")[0].alias("input_first"),
+                    F.col("input")[SEQ_LEN - 1].alias("input_last"),
+                    F.col("target")[0].alias("target_first"),
+                    F.col("target")[SEQ_LEN - 1].alias("target_last"),
+                    F.size("input").alias("input_len"))
+
+
+@register("ngram_counts", "WITH " + _LM_DOCS_SQL + "\nSELECT ctx, tok, cnt FROM train_counts")
+def q_ngram_counts(spark, sf_dir):
+    d = _lm_docs(spark, sf_dir)
+    return lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
+
+
+@register("lm_eval", "WITH " + _LM_DOCS_SQL + f""",
+ev AS (SELECT ctx, tok, count(*) AS n FROM pairs WHERE split = 'test' GROUP BY ctx, tok),
+j AS (SELECT ev.n, coalesce(tc.cnt, 0) AS c, coalesce(ctxc.cc, 0) AS cc
+      FROM ev LEFT JOIN train_counts tc USING (ctx, tok) LEFT JOIN ctxc USING (ctx)),
+s AS (SELECT sum(n) AS n_pairs, sum(n * -ln((c + {ALPHA}) / (cc + {ALPHA} * {LM_VOCAB}))) AS nll
+      FROM j),
+ch AS (SELECT sum(length(text)) AS chars FROM lmdocs WHERE split = 'test')
+SELECT n_pairs, round(nll / n_pairs, 6) AS loss, round(exp(nll / n_pairs), 6) AS perplexity,
+       round(nll / n_pairs / ln(2), 6) AS bits_per_token,
+       round(nll / (ln(2) * chars), 6) AS bits_per_char FROM s, ch""")
+def q_lm_eval(spark, sf_dir):
+    d = _lm_docs(spark, sf_dir)
+    counts = lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
+    test = d.where(F.col("split") == "test")
+    pairs = lm._pairs(test, "tokens")
+    res = lm.lm_eval(counts, pairs, LM_VOCAB, ALPHA,
+                     chars=test.select(F.length("text").alias("n_chars")))
+    return round_metrics(res)
+
+
+@register("lm_select", "WITH " + _LM_DOCS_SQL + f""",
+ev AS (SELECT ctx, tok, count(*) AS n FROM pairs WHERE split = 'validation' GROUP BY ctx, tok),
+j AS (SELECT ev.n, coalesce(tc.cnt, 0) AS c, coalesce(ctxc.cc, 0) AS cc
+      FROM ev LEFT JOIN train_counts tc USING (ctx, tok) LEFT JOIN ctxc USING (ctx)),
+grid AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a})' for i, a in enumerate(ALPHAS))})
+         g(grid_idx, alpha)),
+per AS (SELECT grid_idx, alpha, sum(n * -ln((c + alpha) / (cc + alpha * {LM_VOCAB}))) / sum(n)
+        AS loss FROM j, grid GROUP BY grid_idx, alpha)
+SELECT grid_idx, alpha::DOUBLE AS alpha, round(loss, 6) AS loss,
+       (SELECT arg_min(alpha, (loss, grid_idx)) FROM per)::DOUBLE AS best_alpha FROM per""")
+def q_lm_select(spark, sf_dir):
+    d = _lm_docs(spark, sf_dir)
+    counts = lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
+    pairs = lm._pairs(d.where(F.col("split") == "validation"), "tokens")
+    res = lm.lm_select(counts, pairs, LM_VOCAB, ALPHAS)
+    return round_metrics(res.select(F.col("grid_idx").cast("int"), "alpha", "loss", "best_alpha"))
+
+
+@register("oov_rate", "WITH " + _SPLIT_SQL + f""",
+w AS (SELECT s.split, unnest(regexp_extract_all(d.source || ' ' || d.text, '{_WORD_RE}')) AS word
+      FROM documents d JOIN split s USING (doc_id)),
+voc AS (SELECT DISTINCT word FROM w WHERE split = 'train'),
+t AS (SELECT word FROM w WHERE split = 'test')
+SELECT count(*) FILTER (WHERE word NOT IN (SELECT word FROM voc))::BIGINT AS oov_tokens,
+       count(*)::BIGINT AS test_tokens,
+       round(count(*) FILTER (WHERE word NOT IN (SELECT word FROM voc)) / count(*), 6) AS oov_rate
+FROM t""")
+def q_oov_rate(spark, sf_dir):
+    d = corpus(spark, sf_dir).select("doc_id", content_for_analysis("title", "text").alias("text"))
+    d = split_80_10_10(d, "doc_id", seed=42)
+    words = d.select("split", F.explode(F.regexp_extract_all("text", F.lit(_WORD_RE_JAVA), 0))
+                     .alias("word"))
+    return round_metrics(lm.oov_rate(words.where(F.col("split") == "train"),
+                                     words.where(F.col("split") == "test")))
+
+
+from ..functions.text import WORD as _WORD_RE_JAVA  # noqa: E402
+
+
+# ---------------------------------------------------------------------------
+# BPE on the documents (no SQL form over whole texts: checked by properties
+# and against a one-string implementation in tests/test_bpe.py).
+# ---------------------------------------------------------------------------
+
+from ..operators import bpe  # noqa: E402
+
+BPE_VOCAB = 320
+
+
+def _bpe_merges(spark, sf_dir):
+    docs = corpus(spark, sf_dir).select("pos", "text")
+    return bpe.bpe_train(docs, BPE_VOCAB)
+
+
+@register("bpe_train")
+def q_bpe_train(spark, sf_dir):
+    return _bpe_merges(spark, sf_dir)
+
+
+@register("bpe_encode")
+def q_bpe_encode(spark, sf_dir):
+    m = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    enc = docs.select("doc_id", "text", bpe.bpe_encode_col("text", m).alias("ids"))
+    return enc.select("doc_id", F.size("ids").alias("n_tokens"),
+                      (bpe.bpe_decode("ids", m) == F.col("text")).alias("roundtrip"))
+
+
+@register("bpe_token_stats")
+def q_bpe_token_stats(spark, sf_dir):
+    m = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    d = _analysis_docs(spark, sf_dir)
+    tok = d.select(F.lit("bpe").alias("tokenizer"), "doc_id", "pos", "text",
+                   bpe.bpe_encode_col("text", m).alias("tokens"))
+    sizes = spark.createDataFrame([("bpe", BPE_VOCAB)], "tokenizer string, vocab_size long")
+    return round_metrics(tokstats.analyze(tok, sizes))
