@@ -8,12 +8,106 @@ every tokenizer's output, so all tokenizers are summarised by a single
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import count_bytes, count_characters, count_words
 
 
+_SHIFT = 21  # pair code = left << 21 | right
+
+
+def _partial_counts_fn(tokens, group_cols, weight, order, pairs):
+    def run(batches):
+        for rb in batches:
+            arr = rb.column(tokens)
+            n_rows = rb.num_rows
+            if n_rows == 0:
+                continue
+            valid = np.asarray(arr.is_valid())
+            vals = np.asarray(arr.flatten().fill_null(0), dtype=np.int64)
+            offs = np.asarray(arr.offsets, dtype=np.int64)
+            offs = offs - offs[0]
+            lengths = np.where(valid, np.diff(offs), 0)
+            row = np.repeat(np.arange(n_rows, dtype=np.int64), lengths)
+            idx = np.arange(len(vals), dtype=np.int64) - np.repeat(offs[:-1], lengths)
+            if pairs:
+                ok = row[:-1] == row[1:] if len(vals) > 1 else np.zeros(0, dtype=bool)
+                codes = ((vals[:-1] << _SHIFT) | vals[1:])[ok] if len(vals) > 1 else vals[:0]
+                erow = row[:-1][ok] if len(vals) > 1 else row[:0]
+                eidx = idx[:-1][ok] if len(vals) > 1 else idx[:0]
+            else:
+                codes, erow, eidx = vals, row, idx
+            if len(codes) == 0:
+                continue
+            if group_cols:
+                gkeys = pd.MultiIndex.from_arrays(
+                    [rb.column(g).to_pandas() for g in group_cols]) if len(group_cols) > 1 \
+                    else pd.Index(rb.column(group_cols[0]).to_pandas())
+                gcode, guniq = pd.factorize(gkeys)
+                key = gcode.astype(np.int64)[erow] * (1 << 42) + codes
+            else:
+                key = codes
+            uniq, inv = np.unique(key, return_inverse=True)
+            w = (np.asarray(rb.column(weight).to_numpy(zero_copy_only=False), dtype=np.float64)[erow]
+                 if weight else np.ones(len(codes)))
+            cnt = np.bincount(inv, weights=w, minlength=len(uniq)).astype(np.int64)
+            out = {}
+            if group_cols:
+                gsel = (uniq >> 42).astype(np.int64)
+                if len(group_cols) == 1:
+                    out[group_cols[0]] = pa.array(np.asarray(guniq)[gsel])
+                else:
+                    for j, g in enumerate(group_cols):
+                        out[g] = pa.array(np.asarray([t[j] for t in guniq])[gsel])
+                code_u = uniq & ((1 << 42) - 1)
+            else:
+                code_u = uniq
+            if pairs:
+                out["left"] = pa.array((code_u >> _SHIFT).astype(np.int32))
+                out["right"] = pa.array((code_u & ((1 << _SHIFT) - 1)).astype(np.int32))
+            else:
+                out["token"] = pa.array(code_u.astype(np.int32))
+            out["cnt"] = pa.array(cnt)
+            if order:
+                pos = np.asarray(rb.column(order).to_numpy(zero_copy_only=False),
+                                 dtype=np.int64)[erow]
+                o = np.lexsort((eidx, pos, inv))
+                firsts = o[np.r_[0, np.flatnonzero(np.diff(inv[o])) + 1]]
+                out["first_pos"] = pa.array(pos[firsts])
+                out["first_idx"] = pa.array(eidx[firsts])
+            yield pa.RecordBatch.from_pydict(out)
+    return run
+
+
+def partial_token_counts(df: DataFrame, tokens: str = "tokens", group_cols=(),
+                         weight: str | None = None, order: str | None = None,
+                         pairs: bool = False) -> DataFrame:
+    """Token (or adjacent-pair) counts per group, combined inside every Arrow
+    batch with NumPy before Spark's shuffle: each batch emits one row per
+    distinct (group, token) it saw instead of one row per token. With
+    ``order`` also the first appearance (``first_pos`` = order value,
+    ``first_idx`` = position in the sequence). Finish with a ``groupBy``."""
+    group_cols = list(group_cols)
+    fields = [df.schema[g] for g in group_cols]
+    fields = [T.StructField(f.name, f.dataType) for f in fields]
+    if pairs:
+        fields += [T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType())]
+    else:
+        fields += [T.StructField("token", T.IntegerType())]
+    fields += [T.StructField("cnt", T.LongType())]
+    if order:
+        fields += [T.StructField("first_pos", T.LongType()), T.StructField("first_idx", T.LongType())]
+    cols = group_cols + [tokens] + ([weight] if weight else []) + ([order] if order else [])
+    src = df.select(*[F.col(c).cast("long") if c in (weight, order) else F.col(c) for c in cols])
+    return src.mapInArrow(_partial_counts_fn(tokens, group_cols, weight, order, pairs),
+                          T.StructType(fields))
+
+
 def per_doc_counts(tokenized: DataFrame, text: str = "text", tokens: str = "tokens") -> DataFrame:
     """Adds ``n_tokens, n_words, n_chars, n_bytes`` per document."""
     return tokenized.select(
@@ -44,11 +138,12 @@ def doc_level_stats(counted: DataFrame, group: str = "tokenizer") -> DataFrame:
 
 def distinct_tokens(tokenized: DataFrame, tokens: str = "tokens",
                     group: str = "tokenizer") -> DataFrame:
-    """Distinct token ids used per tokenizer. Each document contributes its
-    distinct ids only (``array_distinct`` before the explode), and the
-    aggregation is partial per task before the shuffle."""
-    return (tokenized.select(group, F.explode(F.array_distinct(tokens)).alias("token"))
-            .groupBy(group).agg(F.count_distinct("token").alias("unique_tokens_used")))
+    """Distinct token ids used per tokenizer. Each Arrow batch contributes its
+    distinct ids only, and the aggregation is partial per task before the
+    shuffle."""
+    part = partial_token_counts(tokenized, tokens, [group])
+    return (part.groupBy(group, "token").agg(F.lit(1).alias("_one"))
+            .groupBy(group).agg(F.count(F.lit(1)).alias("unique_tokens_used")))
 
 
 def vocab_utilization(tokenized: DataFrame, vocab_sizes: DataFrame, tokens: str = "tokens",
@@ -66,11 +161,11 @@ def token_frequency(tokenized: DataFrame, top: int = 5, tokens: str = "tokens",
                     pos: str = "pos", group: str = "tokenizer") -> DataFrame:
     """Most frequent tokens per tokenizer; ties go to the token seen first
     (document order, then position inside the document)."""
-    exploded = tokenized.select(group, F.col(pos).alias("_doc"),
-                                F.posexplode(tokens).alias("_idx", "token"))
-    counts = exploded.groupBy(group, "token").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min(F.struct("_doc", "_idx")).alias("_first"))
+    part = partial_token_counts(tokenized, tokens, [group], order=pos)
+    counts = part.groupBy(group, "token").agg(
+        F.sum("cnt").alias("cnt"),
+        F.min(F.struct(F.col("first_pos").alias("_doc"), F.col("first_idx").alias("_idx")))
+        .alias("_first"))
     w = Window.partitionBy(group).orderBy(F.col("cnt").desc(), F.col("_first").asc())
     return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
             .select(group, "rank", "token", "cnt"))
@@ -79,15 +174,10 @@ def token_frequency(tokenized: DataFrame, top: int = 5, tokens: str = "tokens",
 def token_pair_counts(seqs: DataFrame, tokens: str = "tokens", weight: str | None = None,
                       keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts of adjacent pairs over sequences (overlaps count: ``aaa`` has
-    (a, a) twice), optionally weighted. Partial aggregation per task."""
-    t = F.col(tokens)
-    n = F.size(t)
-    pairs = F.arrays_zip(F.slice(t, 1, n - 1).alias("left"), F.slice(t, 2, n - 1).alias("right"))
-    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    ex = (seqs.where(n >= 2)
-          .select(*keys, w.alias("_w"), F.explode(pairs).alias("_p"))
-          .select(*keys, F.col("_p.left").alias("left"), F.col("_p.right").alias("right"), "_w"))
-    return ex.groupBy(*keys, "left", "right").agg(F.sum("_w").alias("cnt"))
+    (a, a) twice), optionally weighted. Combined per Arrow batch, then per
+    task, before the shuffle."""
+    part = partial_token_counts(seqs, tokens, list(keys), weight=weight, pairs=True)
+    return part.groupBy(*keys, "left", "right").agg(F.sum("cnt").alias("cnt"))
 
 
 def analyze(tokenized: DataFrame, vocab_sizes: DataFrame, tokens: str = "tokens",

@@ -51,8 +51,9 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
     """Retrieval quality of every model on the test part of ``queries``:
     one row per model with ``num_queries, mrr, recall_at_k, precision_at_k``
     and ``dim``. All models are averaged by one ``groupBy(model)``."""
+    # the evaluated queries are few and read by every model: keep them
     asked = (split_by_position(queries, val_ratio, pos="pos", id_col="query_id")
-             .where(F.col("split") == "test").drop("split"))
+             .where(F.col("split") == "test").drop("split")).persist()
     n_rel = relevant_counts(qrels)
     per_query = None
     for m in models:

@@ -26,8 +26,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 DEFAULT_PATTERN_BYTES = 64 << 20
 
 
+# Tables whose rows carry long texts: per-row work (tokenizing, scanning) is
+# heavy, so the scan's splits are spread over the cores when there are fewer
+# splits than cores.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over ``defaultParallelism`` partitions when the
+    scan yields fewer splits than that (small files); on a cluster reading
+    many files the scan is left as it is, so no shuffle is added."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
