@@ -7,9 +7,9 @@
 * BPE tokens       -- greedy left-to-right fold over the bytes (see
                       ``lexiscope.operators.bpe``).
 
-Byte extraction and the BPE fold run as Arrow-batched functions (whole Arrow
-buffers handled by NumPy, no per-row Python for bytes). Character ids and
-every decoder are native expressions.
+Byte and code-point extraction and the BPE fold run as Arrow-batched
+functions (whole Arrow buffers handled by NumPy, no per-row Python for bytes
+or characters). Every decoder is a native expression.
 """
 
 from __future__ import annotations
@@ -89,9 +89,64 @@ def byte_tokens(c, special: bool = True) -> Column:
     return (_byte_tokens_special if special else _byte_tokens_raw)(_col(c))
 
 
+def _code_points(arr: pa.Array, special: bool) -> pa.Array:
+    """UTF-8 -> code points for a whole string array with NumPy: every lead
+    byte starts a character; continuation bytes are folded in."""
+    offsets, data, valid = _utf8_parts(arr)
+    start = offsets[0]
+    b = data[start:offsets[-1]].astype(np.int64)
+    nb = len(b)
+    lead = (b & 0xC0) != 0x80
+    pos = np.flatnonzero(lead)
+    pad = np.concatenate([b, np.zeros(4, dtype=np.int64)])
+    b0 = pad[pos]
+    b1, b2, b3 = pad[pos + 1] & 0x3F, pad[pos + 2] & 0x3F, pad[pos + 3] & 0x3F
+    cp = np.where(b0 < 0x80, b0,
+         np.where(b0 < 0xE0, ((b0 & 0x1F) << 6) | b1,
+         np.where(b0 < 0xF0, ((b0 & 0x0F) << 12) | (b1 << 6) | b2,
+                  ((b0 & 0x07) << 18) | (b1 << 12) | (b2 << 6) | b3)))
+    # characters per row = lead bytes inside the row's byte range
+    lead_cum = np.r_[0, np.cumsum(lead)]
+    rel = offsets - start
+    n_chars = lead_cum[np.minimum(rel[1:], nb)] - lead_cum[np.minimum(rel[:-1], nb)]
+    n_chars = np.where(valid, n_chars, 0)
+    if special:
+        new_len = n_chars + 2 * valid.astype(np.int64)
+        new_off = np.r_[0, np.cumsum(new_len)]
+        values = np.empty(int(new_off[-1]), dtype=np.int32)
+        heads = new_off[:-1][valid]
+        values[heads] = CHAR_CLS
+        values[new_off[1:][valid] - 1] = CHAR_SEP
+        body_idx = np.arange(len(cp)) - np.repeat(lead_cum[np.minimum(rel[:-1], nb)], n_chars) \
+            + np.repeat(new_off[:-1] + 1, n_chars)
+        values[body_idx] = cp
+    else:
+        new_off = np.r_[0, np.cumsum(n_chars)]
+        values = cp.astype(np.int32)
+    mask = pa.array(~valid) if not valid.all() else None
+    return pa.LargeListArray.from_arrays(pa.array(new_off, pa.int64()),
+                                         pa.array(values, pa.int32()), mask=mask)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _char_tokens_special(s: pa.Array) -> pa.Array:
+    return _code_points(s, True).cast(pa.list_(pa.int32()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _char_tokens_raw(s: pa.Array) -> pa.Array:
+    return _code_points(s, False).cast(pa.list_(pa.int32()))
+
+
 def char_tokens(c, special: bool = True) -> Column:
     """Character-model ids: code points (also above U+FFFF), between the start
     and end marks. The empty string gives no code point."""
+    return (_char_tokens_special if special else _char_tokens_raw)(_col(c))
+
+
+def char_tokens_native(c, special: bool = True) -> Column:
+    """The same ids with native expressions only (slower: the per-character
+    lambda is interpreted)."""
     x = _col(c)
     cps = F.when(F.length(x) == 0, F.array().cast("array<int>")).otherwise(
         F.transform(F.split(x, ""), lambda ch: F.ascii(ch)))
