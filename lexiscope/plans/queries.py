@@ -618,3 +618,91 @@ def q_bpe_token_stats(spark, sf_dir):
                    bpe.bpe_encode_col("text", m).alias("tokens"))
     sizes = spark.createDataFrame([("bpe", BPE_VOCAB)], "tokenizer string, vocab_size long")
     return round_metrics(tokstats.analyze(tok, sizes))
+
+
+# ---------------------------------------------------------------------------
+# Vector utilities on ``embeddings``.
+# ---------------------------------------------------------------------------
+
+
+def _dims(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("idx", "value")).select(
+        key, F.col("idx").cast("bigint").alias("idx"), F.round("value", 6).alias("value"))
+
+
+@register("l2_normalize", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS nn FROM e),
+x AS (SELECT vec_id, unnest(v) AS value, unnest(range(len(v))) AS idx, nn FROM n)
+SELECT vec_id, idx, round(CASE WHEN nn > 0 THEN value / nn ELSE 0.0 END, 6) AS value FROM x""")
+def q_l2_normalize(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    return _dims(vectorize.normalize_rows(emb, "embedding"), "vec_id")
+
+
+@register("mean_pool", """
+WITH e AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v,
+                  unnest(range(len(embedding))) AS idx FROM embeddings),
+m AS (SELECT label, idx, avg(v) AS v FROM e GROUP BY label, idx),
+n AS (SELECT label, sqrt(sum(v * v)) AS nn FROM m GROUP BY label)
+SELECT label, idx, round(CASE WHEN nn > 0 THEN v / nn ELSE 0.0 END, 6) AS value
+FROM m JOIN n USING (label)""")
+def q_mean_pool(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    pooled = vectorize.mean_pool(emb, ["label"], "embedding")
+    return _dims(vectorize.normalize_rows(pooled, "embedding"), "label")
+
+
+# ---------------------------------------------------------------------------
+# Typo robustness: swap two adjacent characters of every evaluated query at
+# a position fixed by its id, evaluate again and report the drop.
+# ---------------------------------------------------------------------------
+
+TYPO_MULT = 7919
+
+
+def typo_swap(text, qid):
+    """Swap characters p and p+1 (0-based), p = (id * 7919) mod (length - 1);
+    texts shorter than 2 characters stay as they are."""
+    n = F.length(text)
+    p = F.pmod(qid.cast("long") * TYPO_MULT, F.greatest(n - 1, F.lit(1))).cast("int")
+    swapped = F.concat(F.substring(text, 1, p), F.substring(text, p + 2, 1),
+                       F.substring(text, p + 1, 1),
+                       F.substring(text, p + 3, 1 << 30))
+    return F.when(n >= 2, swapped).otherwise(text)
+
+
+def _typo_sql() -> str:
+    clean = _flagship_sql("SELECT * FROM wide")
+    typo = clean.replace(
+        "qtext AS (SELECT b.item_id AS query_id, b.text FROM benchmark b JOIN asked a ON a.query_id = b.item_id)",
+        f"""qtext AS (SELECT b.item_id AS query_id, CASE WHEN length(b.text) >= 2 THEN
+             substr(b.text, 1, p) || substr(b.text, p + 2, 1) || substr(b.text, p + 1, 1)
+             || substr(b.text, p + 3) ELSE b.text END AS text
+           FROM (SELECT *, ((item_id * {TYPO_MULT}) % greatest(length(text) - 1, 1))::INT AS p
+                 FROM benchmark) b JOIN asked a ON a.query_id = b.item_id)""")
+    return f"""WITH c AS ({clean}), t AS ({typo})
+SELECT c.model, c.mrr AS mrr_clean, t.mrr AS mrr_typo, round(c.mrr - t.mrr, 6) AS mrr_drop,
+       c.recall_at_10 AS recall_at_10_clean, t.recall_at_10 AS recall_at_10_typo,
+       round(c.recall_at_10 - t.recall_at_10, 6) AS recall_at_10_drop
+FROM c JOIN t USING (model)"""
+
+
+@register("typo_robustness", _typo_sql())
+def q_typo_robustness(spark, sf_dir):
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    models = [MODELS["byte-hashed"], MODELS["char-hashed"]]
+    qtext = aligned.join(qs.select("query_id"), "query_id")
+    clean = round_metrics(jobs.evaluate(kept, qtext, qr, models))
+    typo_q = qtext.withColumn("text", typo_swap(F.col("text"), F.col("query_id")))
+    typo = round_metrics(jobs.evaluate(kept, typo_q, qr, models))
+    c = clean.select("model", F.col("mrr").alias("mrr_clean"),
+                     F.col("recall_at_10").alias("recall_at_10_clean"))
+    t = typo.select("model", F.col("mrr").alias("mrr_typo"),
+                    F.col("recall_at_10").alias("recall_at_10_typo"))
+    j = c.join(t, "model")
+    return j.select("model", "mrr_clean", "mrr_typo",
+                    F.round(F.col("mrr_clean") - F.col("mrr_typo"), 6).alias("mrr_drop"),
+                    "recall_at_10_clean", "recall_at_10_typo",
+                    F.round(F.col("recall_at_10_clean") - F.col("recall_at_10_typo"), 6)
+                    .alias("recall_at_10_drop"))
