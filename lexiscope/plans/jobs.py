@@ -65,3 +65,55 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
         pq = pq.withColumn("model", F.lit(m.name)).withColumn("dim", F.lit(m.dim))
         per_query = pq if per_query is None else per_query.unionByName(pq)
     return average_metrics(per_query, ks, group_cols=("model", "dim"))
+
+
+def score_hits(hits: DataFrame, qrels: DataFrame, asked: DataFrame, model: str, *,
+               ks=DEFAULT_KS) -> DataFrame:
+    """Averaged metrics of one model's ranked hits (one row)."""
+    flagged = match_relevant(hits, qrels)
+    pq = per_query_metrics(flagged, relevant_counts(qrels), asked.select("query_id"), ks)
+    return average_metrics(pq.withColumn("model", F.lit(model)), ks, group_cols=("model",))
+
+
+def test_queries(queries: DataFrame, val_ratio: float = 0.5) -> DataFrame:
+    """The scored part of the positional split."""
+    return (split_by_position(queries, val_ratio, pos="pos", id_col="query_id")
+            .where(F.col("split") == "test").drop("split"))
+
+
+def embed_all_models(corpus: DataFrame, models: list[Model], path: str, *,
+                     mode: str = "overwrite", id_col: str = "doc_id") -> dict[str, bool]:
+    """One embedding table per model (Parquet partition ``model=<name>``).
+    A failing model is reported and the next one runs."""
+    from ..sources.io import embedding_table_write
+
+    done: dict[str, bool] = {}
+    for m in models:
+        try:
+            vecs, _ = embed_corpus(corpus, m, doc_id=id_col)
+            embedding_table_write(vecs.withColumnRenamed("doc_id", "id"), path, m.name, m.dim,
+                                  mode=mode, id_col="id")
+            done[m.name] = True
+        except Exception:  # noqa: BLE001 - reported per model, like the reference
+            done[m.name] = False
+    return done
+
+
+def analyze_tokenizers(docs: DataFrame, tokenizers: dict, *, text: str = "text",
+                       pos: str = "pos", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(comparison table, top tokens): every tokenizer's output in one frame,
+    summarised by one ``groupBy(tokenizer)``. ``tokenizers`` maps a name to
+    (column function, vocabulary size)."""
+    from ..operators import tokstats
+
+    spark = docs.sparkSession
+    frames = [docs.select(F.lit(name).alias("tokenizer"), F.col(doc_id).alias("doc_id"),
+                          F.col(pos).alias("pos"), F.col(text).alias("text"),
+                          fn(F.col(text)).alias("tokens"))
+              for name, (fn, _) in tokenizers.items()]
+    tok = frames[0]
+    for f in frames[1:]:
+        tok = tok.unionByName(f)
+    sizes = spark.createDataFrame([(n, int(v)) for n, (_, v) in tokenizers.items()],
+                                  "tokenizer string, vocab_size long")
+    return tokstats.analyze(tok, sizes), tokstats.token_frequency(tok, top=5)

@@ -706,3 +706,63 @@ def q_typo_robustness(spark, sf_dir):
                     "recall_at_10_clean", "recall_at_10_typo",
                     F.round(F.col("recall_at_10_clean") - F.col("recall_at_10_typo"), 6)
                     .alias("recall_at_10_drop"))
+
+
+# ---------------------------------------------------------------------------
+# Tokenizer comparison with trained tokenizers (rows only: BPE and WordPiece
+# encoders have no SQL form over whole texts) and trained vectors.
+# ---------------------------------------------------------------------------
+
+from ..operators import wordpiece  # noqa: E402
+
+WP_VOCAB = 2000
+
+
+@register("tokenizer_comparison")
+def q_tokenizer_comparison(spark, sf_dir):
+    d = _analysis_docs(spark, sf_dir)
+    merges = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    vocab = wordpiece.build_vocab(d, "text", WP_VOCAB)
+    toks = {
+        "byte": (lambda c: byte_tokens(c), BYTE_VOCAB_SIZE),
+        "char": (lambda c: char_tokens(c), CHAR_VOCAB_SIZE),
+        "bpe": (lambda c: bpe.bpe_encode_col(c, merges), BPE_VOCAB),
+        "bpe-ranked": (lambda c: bpe.bpe_encode_ranked_col(c, merges), BPE_VOCAB),
+        "wordpiece": (lambda c: wordpiece.wordpiece_tokens(c, vocab), len(vocab)),
+    }
+    stats, _ = jobs.analyze_tokenizers(d, toks)
+    return round_metrics(stats)
+
+
+@register("wordpiece_frequency")
+def q_wordpiece_frequency(spark, sf_dir):
+    d = _analysis_docs(spark, sf_dir)
+    vocab = wordpiece.build_vocab(d, "text", WP_VOCAB)
+    tok = d.select(F.lit("wordpiece").alias("tokenizer"), "doc_id", "pos", "text",
+                   wordpiece.wordpiece_tokens(F.col("text"), vocab).alias("tokens"))
+    return tokstats.token_frequency(tok, top=5)
+
+
+@register("word2vec_metrics")
+def q_word2vec_metrics(spark, sf_dir):
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    qtext = aligned.join(qs.select("query_id"), "query_id")
+    asked = jobs.test_queries(qtext).persist()
+    words = kept.select("doc_id", wordpiece.basic_words(
+        jobs.content_for_embedding("title", "text")).alias("words"))
+    model = vectorize.fit_word2vec(words, "words", dim=64, min_count=1, seed=42, max_iter=1)
+    doc_vecs = vectorize.embed_word2vec(model, words)
+    q_vecs = vectorize.embed_word2vec(
+        model, asked.select("query_id", wordpiece.basic_words("text").alias("words")))
+    hits = topk_cosine(q_vecs, doc_vecs, max(DEFAULT_KS))
+    return round_metrics(jobs.score_hits(hits, qr, asked, "word2vec"))
+
+
+@register("pca_reduce")
+def q_pca_reduce(spark, sf_dir):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    model = PCA(k=16, inputCol="v", outputCol="p").fit(emb)
+    return model.transform(emb).select("vec_id", vector_to_array("p").alias("embedding"))
