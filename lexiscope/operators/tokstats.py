@@ -191,3 +191,28 @@ def analyze(tokenized: DataFrame, vocab_sizes: DataFrame, tokens: str = "tokens"
         "avg_tokens_per_doc", "median_tokens_per_doc", "min_tokens_per_doc",
         "max_tokens_per_doc", "avg_tokens_per_word", "avg_tokens_per_char",
         "avg_tokens_per_byte", "compression_ratio")
+
+
+# The eight special-case strings of the reference's analysis,
+# in its order (name, text).
+SPECIAL_CASES = (
+    ("Standard English", "The quick brown fox jumps over the lazy dog."),
+    ("Numbers", "The year 2024 has 365 days and 12 months."),
+    ("Mixed Case", "iPhone, JavaScript, and HTML5 are popular."),
+    ("Punctuation", "Hello! How are you? I'm fine, thanks."),
+    ("Unicode", "Café, naïve, résumé, 日本語"),
+    ("Code", "def hello_world(): return 'Hello, World!'"),
+    ("URL", "https://www.example.com/path?query=value"),
+    ("Email", "user.name+tag@example.com"),
+)
+
+
+def special_case_matrix(spark, tokenizers: dict, cases=SPECIAL_CASES) -> DataFrame:
+    """Token counts of fixed strings x tokenizers: one row per case with the
+    text cut for display and one count column per tokenizer."""
+    from ..functions.text import display_truncate
+
+    base = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(cases)],
+                                 "idx int, case string, text string")
+    cols = [F.size(fn(F.col("text"))).alias(name) for name, fn in tokenizers.items()]
+    return base.select("idx", "case", display_truncate("text").alias("text"), *cols).orderBy("idx")
