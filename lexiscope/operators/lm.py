@@ -29,8 +29,10 @@ def lm_windows(seqs: DataFrame, tokens: str = "tokens", seq_length: int = 128,
     last = n - seq_length - (0 if include_last else 1)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)),
                       lambda i: i < last if not include_last else i <= last)
-    starts = F.when(last > (-1 if include_last else 0), starts).otherwise(F.array().cast("array<int>"))
-    ex = seqs.select("*", F.explode(starts).alias("start"))
+    starts = F.when(last > (-1 if include_last else 0), starts)
+    # explode_outer: a plain explode makes Spark add a filter on its input,
+    # which would evaluate an upstream Python tokenizer a second time
+    ex = seqs.select("*", F.explode_outer(starts).alias("start")).where(F.col("start").isNotNull())
     return ex.select(
         *[c for c in seqs.columns if c != tokens], "start",
         F.slice(tokens, F.col("start") + 1, seq_length).alias("input"),
@@ -41,7 +43,10 @@ def _pairs(seqs: DataFrame, tokens: str, keys=()) -> DataFrame:
     t = F.col(tokens)
     n = F.size(t)
     z = F.arrays_zip(F.slice(t, 1, n - 1).alias("ctx"), F.slice(t, 2, n - 1).alias("tok"))
-    return (seqs.where(n >= 2).select(*keys, F.explode(z).alias("_p"))
+    # no filter on the token column and explode_outer: either would evaluate
+    # an upstream Python tokenizer twice
+    return (seqs.select(*keys, F.explode_outer(F.when(n >= 2, z)).alias("_p"))
+            .where(F.col("_p").isNotNull())
             .select(*keys, F.col("_p.ctx").alias("ctx"), F.col("_p.tok").alias("tok")))
 
 
@@ -88,11 +93,17 @@ def lm_eval(train_counts: DataFrame, eval_pairs: DataFrame, vocab_size: int,
 
 
 def _with_chars(res: DataFrame, chars: DataFrame) -> DataFrame:
-    # both sides are single-row global aggregates
-    tot = chars.agg(F.sum("n_chars").alias("_chars")).withColumn("_k", F.lit(1))
-    out = res.withColumn("_k", F.lit(1)).join(tot, "_k")
+    """Put the character total next to the one-row result: both are global
+    aggregates, stacked and folded by one more aggregate (no join)."""
+    cols = res.columns
+    a = res.withColumn("_chars", F.lit(None).cast("long"))
+    b = chars.agg(F.sum("n_chars").cast("long").alias("_chars"))
+    for c in cols:
+        b = b.withColumn(c, F.lit(None).cast(res.schema[c].dataType))
+    both = a.unionByName(b)
+    out = both.agg(*[F.max(c).alias(c) for c in cols], F.max("_chars").alias("_chars"))
     return out.withColumn("bits_per_char",
-                          F.col("sum_nll") / (F.lit(LN2) * F.col("_chars"))).drop("_k", "_chars")
+                          F.col("sum_nll") / (F.lit(LN2) * F.col("_chars"))).drop("_chars")
 
 
 def lm_select(train_counts: DataFrame, eval_pairs: DataFrame, vocab_size: int,

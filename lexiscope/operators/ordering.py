@@ -49,23 +49,29 @@ def number_rows(df: DataFrame, order_cols: list[str], name: str = "pos",
 def split_by_position(df: DataFrame, ratio: float = 0.5, pos: str = "pos",
                       id_col: str | None = None) -> DataFrame:
     """First ``int(n * ratio)`` rows by ``pos`` are ``validation``, the rest
-    ``test`` (only test is scored by the evaluation)."""
+    ``test`` (only test is scored by the evaluation). Only the order keys are
+    numbered; with ``id_col`` the split is joined back on it."""
     order = [pos] + ([id_col] if id_col and id_col != pos else [])
-    numbered = number_rows(df, order, name="_rank", with_total=True)
+    numbered = number_rows(df.select(*order), order, name="_rank", with_total=True)
     cut = F.floor(F.col("_total") * F.lit(float(ratio)))
-    return (numbered.withColumn("split", F.when(F.col("_rank") < cut, F.lit("validation"))
-                                .otherwise(F.lit("test"))).drop("_rank", "_total"))
+    labels = numbered.select(*order, F.when(F.col("_rank") < cut, F.lit("validation"))
+                             .otherwise(F.lit("test")).alias("split"))
+    return df.join(labels, order, "inner")
 
 
 def split_80_10_10(df: DataFrame, id_col: str, seed: int = 42,
                    fractions=(0.8, 0.1)) -> DataFrame:
     """Exact-size split: order by ``md5(seed || id)``, first ``int(0.8 n)``
-    train, next ``int(0.1 n)`` validation, rest test."""
-    keyed = df.withColumn("_key", F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))))
+    train, next ``int(0.1 n)`` validation, rest test. ``id_col`` must be
+    unique."""
+    keyed = df.select(id_col).withColumn(
+        "_key", F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))))
     numbered = number_rows(keyed, ["_key", id_col], name="_rank", with_total=True)
     n_train = F.floor(F.col("_total") * F.lit(float(fractions[0])))
     n_val = F.floor(F.col("_total") * F.lit(float(fractions[1])))
     r = F.col("_rank")
-    return numbered.withColumn(
-        "split", F.when(r < n_train, "train").when(r < n_train + n_val, "validation")
-        .otherwise("test")).drop("_key", "_rank", "_total")
+    labels = numbered.select(id_col, F.when(r < n_train, "train")
+                             .when(r < n_train + n_val, "validation")
+                             .otherwise("test").alias("split"))
+    # only ids and keys were numbered; the rows get their label by id
+    return df.join(labels, id_col, "inner")

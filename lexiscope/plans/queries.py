@@ -345,7 +345,7 @@ _EMB_DOCS = "SELECT doc_id, source || ': ' || text AS text FROM documents"
 
 
 def _sparse_rows(vecs: DataFrame) -> DataFrame:
-    ex = vecs.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    ex = vecs.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight"))
     return ex.where(F.col("weight") != 0).select(
         "doc_id", F.col("bucket").cast("bigint").alias("bucket"),
         F.round("weight", 6).alias("weight"))
