@@ -185,7 +185,9 @@ def analyze(tokenized: DataFrame, vocab_sizes: DataFrame, tokens: str = "tokens"
     """The tokenizer comparison table: one row per tokenizer."""
     counted = per_doc_counts(tokenized, text, tokens)
     docs = doc_level_stats(counted, group)
-    voc = vocab_utilization(tokenized, vocab_sizes, tokens, group).drop("total_tokens")
+    # two passes over the tokens: per-document counts and distinct ids
+    voc = vocab_sizes.join(distinct_tokens(tokenized, tokens, group), group).withColumn(
+        "vocab_utilization", F.col("unique_tokens_used") / F.col("vocab_size") * 100.0)
     return docs.join(voc, group).select(
         group, "vocab_size", "unique_tokens_used", "total_tokens", "vocab_utilization",
         "avg_tokens_per_doc", "median_tokens_per_doc", "min_tokens_per_doc",

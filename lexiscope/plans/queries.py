@@ -107,13 +107,15 @@ def _analysis_docs(spark, sf_dir):
         "doc_id", "pos", content_for_analysis("title", "text").alias("text"))
 
 
-def _tokenized(spark, sf_dir):
+def _tokenized(spark, sf_dir, which=("byte", "char")):
     d = _analysis_docs(spark, sf_dir)
-    by = d.select(F.lit("byte").alias("tokenizer"), "doc_id", "pos", "text",
-                  byte_tokens("text").alias("tokens"))
-    ch = d.select(F.lit("char").alias("tokenizer"), "doc_id", "pos", "text",
-                  char_tokens("text").alias("tokens"))
-    return by.unionByName(ch)
+    fns = {"byte": byte_tokens, "char": char_tokens}
+    frames = [d.select(F.lit(n).alias("tokenizer"), "doc_id", "pos", "text",
+                       fns[n]("text").alias("tokens")) for n in which]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def _vocab_sizes(spark):
@@ -167,18 +169,18 @@ stats AS (
   FROM sizes s JOIN voc v USING (tokenizer) JOIN docstats d USING (tokenizer))"""
 
 
-def _stats(spark, sf_dir):
-    return round_metrics(tokstats.analyze(_tokenized(spark, sf_dir), _vocab_sizes(spark)))
+def _stats(spark, sf_dir, which=("byte", "char")):
+    return round_metrics(tokstats.analyze(_tokenized(spark, sf_dir, which), _vocab_sizes(spark)))
 
 
 @register("byte_token_stats", _TOK_SQL + "\nSELECT * FROM stats WHERE tokenizer = 'byte'")
 def q_byte_token_stats(spark, sf_dir):
-    return _stats(spark, sf_dir).where(F.col("tokenizer") == "byte")
+    return _stats(spark, sf_dir, ("byte",))
 
 
 @register("char_token_stats", _TOK_SQL + "\nSELECT * FROM stats WHERE tokenizer = 'char'")
 def q_char_token_stats(spark, sf_dir):
-    return _stats(spark, sf_dir).where(F.col("tokenizer") == "char")
+    return _stats(spark, sf_dir, ("char",))
 
 
 @register("tokens_per_doc_stats", _TOK_SQL + """

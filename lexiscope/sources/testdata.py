@@ -110,7 +110,7 @@ def qrels_by_containment(docs: DataFrame, items: DataFrame, *, doc_id: str = "do
         chunk = items if n_chunks == 1 else items.where(
             F.pmod(F.xxhash64("_id"), F.lit(n_chunks)) == c)
         patterns: dict[str, list[int]] = {}
-        for row in chunk.toLocalIterator():
+        for row in chunk.collect():  # one chunk: bounded by max_pattern_bytes
             patterns.setdefault(row["_t"], []).append(int(row["_id"]))
         bc = spark.sparkContext.broadcast(patterns)
         part = d.mapInPandas(_containment_fn(bc, doc_id, doc_text), schema)
