@@ -21,6 +21,44 @@ from ..functions.text import count_bytes, count_characters, count_words
 _SHIFT = 21  # pair code = left << 21 | right
 
 
+def pair_count_arrays(arr: pa.Array, weights: np.ndarray | None = None,
+                      order: np.ndarray | None = None) -> dict:
+    """Weighted adjacent-pair counts of one list<int> Arrow array as NumPy
+    arrays ``left, right, cnt`` (+ ``first_pos, first_idx`` when ``order``
+    gives each row's position)."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    n_rows = len(arr)
+    valid = np.asarray(arr.is_valid())
+    vals = np.asarray(arr.flatten().fill_null(0), dtype=np.int64)
+    offs = np.asarray(arr.offsets, dtype=np.int64)
+    offs = offs - offs[0]
+    lengths = np.where(valid, np.diff(offs), 0)
+    empty = {"left": np.zeros(0, np.int32), "right": np.zeros(0, np.int32),
+             "cnt": np.zeros(0, np.int64), "first_pos": np.zeros(0, np.int64),
+             "first_idx": np.zeros(0, np.int64)}
+    if len(vals) < 2:
+        return empty
+    row = np.repeat(np.arange(n_rows, dtype=np.int64), lengths)
+    ok = row[:-1] == row[1:]
+    codes = ((vals[:-1] << _SHIFT) | vals[1:])[ok]
+    erow = row[:-1][ok]
+    if len(codes) == 0:
+        return empty
+    uniq, inv = np.unique(codes, return_inverse=True)
+    w = weights[erow] if weights is not None else np.ones(len(codes))
+    out = {"left": (uniq >> _SHIFT).astype(np.int32),
+           "right": (uniq & ((1 << _SHIFT) - 1)).astype(np.int32),
+           "cnt": np.bincount(inv, weights=w, minlength=len(uniq)).astype(np.int64)}
+    if order is not None:
+        idx = (np.arange(len(vals), dtype=np.int64) - np.repeat(offs[:-1], lengths))[:-1][ok]
+        pos = order[erow]
+        o = np.lexsort((idx, pos, inv))
+        firsts = o[np.r_[0, np.flatnonzero(np.diff(inv[o])) + 1]]
+        out["first_pos"], out["first_idx"] = pos[firsts], idx[firsts]
+    return out
+
+
 def _partial_counts_fn(tokens, group_cols, weight, order, pairs):
     def run(batches):
         for rb in batches:
