@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 LN2 = math.log(2.0)
@@ -137,3 +140,58 @@ def oov_rate(train_words: DataFrame, test_words: DataFrame, word: str = "word")
         .alias("oov_tokens"),
         F.sum("n").cast("long").alias("test_tokens")).withColumn(
         "oov_rate", F.col("oov_tokens") / F.col("test_tokens"))
+
+
+def lm_generate_batch(seeds: DataFrame, counts: DataFrame, vocab_size: int, *,
+                      tokens: str = "tokens", key: str = "doc_id", length: int = 50,
+                      temperature: float = 1.0, top_k: int | None = None,
+                      alpha: float = 0.1, seed: int = 42) -> DataFrame:
+    """Extend every seed sequence by ``length`` tokens from the smoothed
+    bigram model. The next token is drawn from p(. | last)^(1/temperature),
+    restricted to the ``top_k`` most likely when given, with a random stream
+    seeded by (seed, key): reruns and lost tasks give the same text.
+
+    The model table has at most V x V rows and is shipped with the function
+    (its size is checked); the seeds are processed batch by batch.
+    """
+    rows = counts.select("ctx", "tok", "cnt").collect()  # bounded by V x V
+    if len(rows) > 4_000_000:
+        raise ValueError("bigram table too large to ship; reduce the vocabulary")
+    ctx = np.array([r["ctx"] for r in rows], dtype=np.int64)
+    tok = np.array([r["tok"] for r in rows], dtype=np.int64)
+    cnt = np.array([r["cnt"] for r in rows], dtype=np.float64)
+    tables: dict[int, tuple] = {}
+    order = np.argsort(ctx, kind="stable")
+    ctx, tok, cnt = ctx[order], tok[order], cnt[order]
+    bounds = np.r_[0, np.flatnonzero(np.diff(ctx)) + 1, len(ctx)]
+    for i in range(len(bounds) - 1):
+        a, b = bounds[i], bounds[i + 1]
+        tables[int(ctx[a])] = (tok[a:b], cnt[a:b])
+
+    def next_dist(last: int):
+        p = np.full(vocab_size, alpha)
+        tc = tables.get(last)
+        if tc is not None:
+            p[tc[0]] += tc[1]
+        p = p / p.sum()
+        if temperature != 1.0:
+            p = np.power(p, 1.0 / temperature)
+        if top_k:
+            cut = np.partition(p, -top_k)[-top_k]
+            p = np.where(p >= cut, p, 0.0)
+        return p / p.sum()
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _gen(ks: pa.Array, seqs: pa.Array) -> pa.Array:
+        out_off, flat = [0], []
+        for k, s in zip(ks.to_pylist(), seqs.to_pylist()):
+            rng = np.random.default_rng([seed, int(k) & 0x7FFFFFFFFFFFFFFF])
+            cur = list(s or [])
+            for _ in range(length):
+                last = cur[-1] if cur else 0
+                cur.append(int(rng.choice(vocab_size, p=next_dist(last))))
+            flat.extend(cur)
+            out_off.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(out_off, pa.int32()), pa.array(flat, pa.int32()))
+
+    return seeds.select(key, _gen(F.col(key).cast("long"), F.col(tokens)).alias("generated"))

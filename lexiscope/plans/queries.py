@@ -768,3 +768,17 @@ def q_pca_reduce(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
     model = PCA(k=16, inputCol="v", outputCol="p").fit(emb)
     return model.transform(emb).select("vec_id", vector_to_array("p").alias("embedding"))
+
+
+@register("lm_generate_batch")
+def q_lm_generate_batch(spark, sf_dir):
+    """Continue the first 8 tokens of every test document by 50 tokens."""
+    d = _lm_docs(spark, sf_dir)
+    counts = lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
+    seeds = d.where(F.col("split") == "test").select("doc_id", F.slice("tokens", 1, 8).alias("tokens"))
+    gen = lm.lm_generate_batch(seeds, counts, LM_VOCAB, length=50, top_k=20)
+    return gen.select("doc_id", F.size("generated").alias("n_tokens"),
+                      byte_decode("generated").alias("text"))
+
+
+from ..functions.tokens import byte_decode  # noqa: E402
