@@ -782,3 +782,56 @@ def q_lm_generate_batch(spark, sf_dir):
 
 
 from ..functions.tokens import byte_decode  # noqa: E402
+
+
+# ---------------------------------------------------------------------------
+# Token statistics per text source: prose (documents), markup (pages) and
+# dialogue (conversations), byte and character tokenizers.
+# ---------------------------------------------------------------------------
+
+_SOURCES_SQL = {
+    "documents": "SELECT doc_id, doc_id AS pos, source || ' ' || text AS text FROM documents",
+    "pages": "SELECT page_id AS doc_id, page_id AS pos, coalesce(html, '') AS text FROM pages",
+    "conversations": ("SELECT conv_id * 100000 + turn AS doc_id, conv_id * 100000 + turn AS pos, "
+                      "coalesce(text, '') AS text FROM conversations"),
+}
+
+
+def _sources_sql() -> str:
+    docs = " UNION ALL ".join(f"SELECT '{n}' AS src, * FROM ({q})" for n, q in _SOURCES_SQL.items())
+    sql = _TOK_SQL.replace(f"WITH d AS ({_DOCS_SQL}),", f"WITH d AS ({docs}),")
+    sql = sql.replace("SELECT 'byte' AS tokenizer, doc_id, pos, text,",
+                      "SELECT src || '/byte' AS tokenizer, doc_id, pos, text,")
+    sql = sql.replace("SELECT 'char' AS tokenizer, doc_id, pos, text,",
+                      "SELECT src || '/char' AS tokenizer, doc_id, pos, text,")
+    sizes = ", ".join(f"('{n}/byte', {BYTE_VOCAB_SIZE}), ('{n}/char', {CHAR_VOCAB_SIZE})"
+                      for n in _SOURCES_SQL)
+    sql = sql.replace(f"VALUES ('byte', {BYTE_VOCAB_SIZE}), ('char', {CHAR_VOCAB_SIZE})",
+                      f"VALUES {sizes}")
+    return sql + "\nSELECT * FROM stats"
+
+
+@register("source_token_stats", _sources_sql())
+def q_source_token_stats(spark, sf_dir):
+    srcs = {
+        "documents": _analysis_docs(spark, sf_dir).select("doc_id", "pos", "text"),
+        "pages": table(spark, sf_dir, "pages").select(
+            F.col("page_id").alias("doc_id"), F.col("page_id").alias("pos"),
+            F.coalesce("html", F.lit("")).alias("text")),
+        "conversations": table(spark, sf_dir, "conversations").select(
+            (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"),
+            (F.col("conv_id") * 100000 + F.col("turn")).alias("pos"),
+            F.coalesce("text", F.lit("")).alias("text")),
+    }
+    frames, sizes = [], []
+    for name, d in srcs.items():
+        for tname, fn, vsize in (("byte", byte_tokens, BYTE_VOCAB_SIZE),
+                                 ("char", char_tokens, CHAR_VOCAB_SIZE)):
+            frames.append(d.select(F.lit(f"{name}/{tname}").alias("tokenizer"), "doc_id", "pos",
+                                   "text", fn("text").alias("tokens")))
+            sizes.append((f"{name}/{tname}", vsize))
+    tok = frames[0]
+    for f in frames[1:]:
+        tok = tok.unionByName(f)
+    vs = spark.createDataFrame(sizes, "tokenizer string, vocab_size long")
+    return round_metrics(tokstats.analyze(tok, vs))
