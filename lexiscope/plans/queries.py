@@ -772,12 +772,15 @@ def q_pca_reduce(spark, sf_dir):
 
 @register("lm_generate_batch")
 def q_lm_generate_batch(spark, sf_dir):
-    """Continue the first 8 tokens of every test document by 50 tokens."""
+    """Continue every benchmark passage (whole text as the seed) by 50 tokens
+    of the bigram model trained on the training documents."""
     d = _lm_docs(spark, sf_dir)
     counts = lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
-    seeds = d.where(F.col("split") == "test").select("doc_id", F.slice("tokens", 1, 8).alias("tokens"))
+    seeds = test_queries(spark, sf_dir).select(
+        F.col("query_id").alias("doc_id"),
+        F.filter(byte_tokens("text"), lambda t: t != 1).alias("tokens"))  # drop the end mark
     gen = lm.lm_generate_batch(seeds, counts, LM_VOCAB, length=50, top_k=20)
-    return gen.select("doc_id", F.size("generated").alias("n_tokens"),
+    return gen.select(F.col("doc_id").alias("query_id"), F.size("generated").alias("n_tokens"),
                       byte_decode("generated").alias("text"))
 
 

@@ -79,3 +79,52 @@ def test_write_filtered_jsonl_keeps_nulls(spark, tmp_path):
     txt = "".join(open(tmp_path / "o" / f).read() for f in os.listdir(tmp_path / "o")
                   if f.endswith(".json"))
     assert json.loads(txt.strip()) == {"_id": "d1", "title": None, "text": "x"}
+
+
+def _read_dir(path, suffix):
+    return "".join(open(os.path.join(path, f), encoding="utf-8").read()
+                   for f in sorted(os.listdir(path)) if f.endswith(suffix))
+
+
+def test_dump_and_read_corpus_text(spark, tmp_path):
+    df = spark.createDataFrame([(2, "c\nd"), (0, "a"), (1, "b b")], "pos long, text string")
+    io.dump_corpus_text(df, str(tmp_path / "t"), n_docs=2)
+    assert sorted(_read_dir(tmp_path / "t", ".txt").splitlines()) == ["a", "b b"]
+    back = io.read_corpus_text(spark, str(tmp_path / "t"))
+    assert sorted(r.text for r in back.collect()) == ["a\n", "b b\n"]
+
+
+def test_metrics_and_stats_csv(spark, tmp_path):
+    m = spark.createDataFrame([("m", 4, 0.35385, 1.0, 0.5, 0.25, 0.125, 0.2, 0.1, 0.05, 0.01)],
+                              "model string, num_queries long, mrr double, recall_at_1 double, "
+                              "recall_at_5 double, recall_at_10 double, recall_at_15 double, "
+                              "precision_at_1 double, precision_at_5 double, "
+                              "precision_at_10 double, precision_at_15 double")
+    io.metrics_csv_write(m, str(tmp_path / "m"))
+    lines = _read_dir(tmp_path / "m", ".csv").splitlines()
+    assert lines[0].startswith("model,num_queries,mrr,recall@1")
+    assert lines[1].startswith("m,4,0.3539,1.0000")
+
+
+def test_vocab_dump(spark, tmp_path):
+    v = spark.createDataFrame([(257, bytearray(b"ab")), (97, bytearray(b"a"))],
+                              "token_id int, bytes binary")
+    io.vocab_dump(v, str(tmp_path / "v"))
+    assert _read_dir(tmp_path / "v", ".csv").splitlines() == ["97\t61", "257\t6162"]
+
+
+def test_embed_external(spark):
+    import numpy as np
+
+    from lexiscope.operators.vectorize import embed_external
+
+    def make_fn():
+        def predict(texts):
+            return np.stack([[len(t), t.count("a"), 1.0] for t in texts]).astype(np.float32)
+        return predict
+
+    df = spark.createDataFrame([("1", "banana"), ("2", "kiwi")], "id string, text string")
+    got = {r.id: r.embedding for r in embed_external(df, "text", make_fn, 3).collect()}
+    assert got == {"1": [6.0, 3.0, 1.0], "2": [4.0, 0.0, 1.0]}
+    with pytest.raises(Exception):
+        embed_external(df, "text", make_fn, 4).collect()
