@@ -214,7 +214,8 @@ def token_frequency(tokenized: DataFrame, top: int = 5, tokens: str = "tokens",
         F.min(F.struct(F.col("first_pos").alias("_doc"), F.col("first_idx").alias("_idx")))
         .alias("_first"))
     w = Window.partitionBy(group).orderBy(F.col("cnt").desc(), F.col("_first").asc())
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return (counts.withColumn("rank", F.row_number().over(w).cast("long"))
+            .where(F.col("rank") <= top)
             .select(group, "rank", "token", "cnt"))
 
 

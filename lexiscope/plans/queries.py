@@ -519,7 +519,7 @@ def q_ngram_counts(spark, sf_dir):
 ev AS (SELECT ctx, tok, count(*) AS n FROM pairs WHERE split = 'test' GROUP BY ctx, tok),
 j AS (SELECT ev.n, coalesce(tc.cnt, 0) AS c, coalesce(ctxc.cc, 0) AS cc
       FROM ev LEFT JOIN train_counts tc USING (ctx, tok) LEFT JOIN ctxc USING (ctx)),
-s AS (SELECT sum(n) AS n_pairs, sum(n * -ln((c + {ALPHA}) / (cc + {ALPHA} * {LM_VOCAB}))) AS nll
+s AS (SELECT sum(n)::BIGINT AS n_pairs, sum(n * -ln((c + {ALPHA}) / (cc + {ALPHA} * {LM_VOCAB}))) AS nll
       FROM j),
 ch AS (SELECT sum(length(text)) AS chars FROM lmdocs WHERE split = 'test')
 SELECT n_pairs, round(nll / n_pairs, 6) AS loss, round(exp(nll / n_pairs), 6) AS perplexity,
