@@ -13,6 +13,16 @@ WHITESPACE_CLASS = (
 )
 WHITESPACE_RUN = WHITESPACE_CLASS + "+"
 WORD = "[^" + WHITESPACE_CLASS[1:] + "+"
+# The same characters as a plain string, for ``translate`` (much cheaper than
+# a regex with this class): every one of them becomes a space.
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                    + "".join(chr(c) for c in range(0x2000, 0x200B))
+                    + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def _spaces(x: Column) -> Column:
+    """Every whitespace character -> one plain space."""
+    return F.translate(x, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
 
 
 def _col(c) -> Column:
@@ -21,12 +31,14 @@ def _col(c) -> Column:
 
 def clean_text(c) -> Column:
     """Every run of whitespace becomes one space, then strip; null gives ''."""
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), WHITESPACE_RUN, " "))
+    return F.trim(F.regexp_replace(_spaces(F.coalesce(_col(c), F.lit(""))), " +", " "))
 
 
 def count_words(c) -> Column:
-    """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.coalesce(F.regexp_count(_col(c), F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of whitespace-separated words (Python ``len(s.split())``): map
+    whitespace to spaces, strip, count the space runs between words."""
+    t = F.trim(_spaces(F.coalesce(_col(c), F.lit(""))))
+    return F.when(t == "", F.lit(0)).otherwise(F.regexp_count(t, F.lit(" +")) + 1).cast("long")
 
 
 def count_characters(c) -> Column:
