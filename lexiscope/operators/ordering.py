@@ -24,7 +24,9 @@ def number_rows(df: DataFrame, order_cols: list[str], name: str = "pos",
     partition gets the same numbers. ``with_total`` adds ``_total`` (row count).
     """
     spark = df.sparkSession
-    n_parts = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # as many ranges as the input has partitions (at least the parallelism)
+    n_parts = num_partitions or max(spark.sparkContext.defaultParallelism,
+                                    df.rdd.getNumPartitions())
     sorted_df = (df.repartitionByRange(n_parts, *order_cols)
                  .sortWithinPartitions(*order_cols)
                  .withColumn("_pid", F.spark_partition_id())
