@@ -838,3 +838,21 @@ def q_source_token_stats(spark, sf_dir):
         tok = tok.unionByName(f)
     vs = spark.createDataFrame(sizes, "tokenizer string, vocab_size long")
     return round_metrics(tokstats.analyze(tok, vs))
+
+
+@register("retrieval_all_models")
+def q_retrieval_all_models(spark, sf_dir):
+    """The reference's results table: every tokenizer (byte, character,
+    trained BPE, corpus WordPiece) with the same hashed vectorizer, evaluated
+    on the test passages in one job; one row per model."""
+    from .registry import Model, Tokenizer, bpe_tokenizer
+
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    merges = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    vocab = wordpiece.build_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
+    wp = Tokenizer("wordpiece", len(vocab), lambda c: wordpiece.wordpiece_tokens(c, vocab))
+    models = [MODELS["byte-hashed"], MODELS["char-hashed"],
+              Model("bpe-hashed", bpe_tokenizer("bpe", merges, BPE_VOCAB)),
+              Model("wordpiece-hashed", wp)]
+    qtext = aligned.join(qs.select("query_id"), "query_id")
+    return round_metrics(jobs.evaluate(kept, qtext, qr, models))
