@@ -91,6 +91,13 @@ def _partial_counts_fn(tokens, group_cols, weight, order, pairs):
                 codes, erow, eidx = vals, row, idx
             if len(codes) == 0:
                 continue
+            if not pairs and weight is None and int(codes.max()) < (1 << 22):
+                gvals = {g: rb.column(g).to_pylist() for g in group_cols}
+                if all(len(set(x)) == 1 for x in gvals.values()):
+                    # one group in this batch (each union branch is one tokenizer)
+                    yield from _dense_token_counts(codes, erow, eidx, rb, order,
+                                                   {g: x[0] for g, x in gvals.items()})
+                    continue
             if group_cols:
                 gkeys = pd.MultiIndex.from_arrays(
                     [rb.column(g).to_pandas() for g in group_cols]) if len(group_cols) > 1 \
@@ -131,6 +138,31 @@ def _partial_counts_fn(tokens, group_cols, weight, order, pairs):
     return run
 
 
+def _dense_token_counts(vals, erow, eidx, rb, order, group_vals):
+    """Token counts (and first appearance) of one batch with ``bincount`` and
+    ``minimum.at`` over the id space: linear in the tokens, no sort of them."""
+    v = int(vals.max()) + 1
+    cnt = np.bincount(vals, minlength=v)
+    nz = np.flatnonzero(cnt)
+    out = {g: pa.array([val] * len(nz)) for g, val in group_vals.items()}
+    out["token"] = pa.array(nz.astype(np.int32))
+    out["cnt"] = pa.array(cnt[nz].astype(np.int64))
+    if order:
+        row_pos = np.asarray(rb.column(order).to_numpy(zero_copy_only=False), dtype=np.int64)
+        by_pos = np.argsort(row_pos, kind="stable")          # rows, not tokens
+        row_rank = np.empty_like(by_pos)
+        row_rank[by_pos] = np.arange(len(by_pos))
+        span = int(eidx.max()) + 1
+        key = row_rank[erow] * span + eidx
+        first = np.full(v, np.iinfo(np.int64).max, dtype=np.int64)
+        np.minimum.at(first, vals, key)
+        k = first[nz]
+        rows = by_pos[k // span]
+        out["first_pos"] = pa.array(row_pos[rows])
+        out["first_idx"] = pa.array((k % span).astype(np.int64))
+    yield pa.RecordBatch.from_pydict(out)
+
+
 def partial_token_counts(df: DataFrame, tokens: str = "tokens", group_cols=(),
                          weight: str | None = None, order: str | None = None,
                          pairs: bool = False) -> DataFrame:

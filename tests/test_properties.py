@@ -80,3 +80,20 @@ def test_recall_never_falls_and_precision_identity(spark):
         assert rec == sorted(rec)
         for k in metrics.DEFAULT_KS:
             assert abs(r[f"precision_at_{k}"] * k - r[f"recall_at_{k}"] * r.n_relevant) < 1e-9
+
+
+def test_token_frequency_first_appearance_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [("t", i, rnd.randint(0, 10**6), [rnd.randint(0, 9) for _ in range(rnd.randint(0, 25))])
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "tokenizer string, doc_id long, pos long, tokens array<int>")
+    for parts in (1, 7):
+        got = [(r.token, r.cnt) for r in
+               tokstats.token_frequency(df.repartition(parts), top=5).orderBy("rank").collect()]
+        cnt, first = Counter(), {}
+        for _, _, pos, ts in rows:
+            for i, t in enumerate(ts):
+                cnt[t] += 1
+                first[t] = min(first.get(t, (pos, i)), (pos, i))
+        exp = sorted(cnt, key=lambda t: (-cnt[t], first[t]))[:5]
+        assert got == [(t, cnt[t]) for t in exp]
