@@ -619,7 +619,12 @@ def q_bpe_token_stats(spark, sf_dir):
     tok = d.select(F.lit("bpe").alias("tokenizer"), "doc_id", "pos", "text",
                    bpe.bpe_encode_col("text", m).alias("tokens"))
     sizes = spark.createDataFrame([("bpe", BPE_VOCAB)], "tokenizer string, vocab_size long")
-    return round_metrics(tokstats.analyze(tok, sizes))
+    # second figure: use of the ids the greedy encoder can emit at all
+    reachable = len(bpe.reachable_ids(m))
+    out = tokstats.analyze(tok, sizes).withColumn("reachable_ids", F.lit(reachable))
+    out = out.withColumn("reachable_utilization",
+                         F.col("unique_tokens_used") / F.lit(float(reachable)) * 100.0)
+    return round_metrics(out)
 
 
 # ---------------------------------------------------------------------------
