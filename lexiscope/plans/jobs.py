@@ -3,6 +3,8 @@ DataFrames; every stage hands the next a DataFrame (or a written table)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +26,39 @@ def prepare(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n_titles: i
     return kept, aligned, prep.aligned_qrels(qrels, aligned)
 
 
+def fit_idfs(corpus: DataFrame, models: list[Model], *, title: str = "title",
+             text: str = "text") -> dict[str, list[float] | None]:
+    """The idf of every model in one pass over the corpus: one Summarizer per
+    model's term-count column inside a single aggregation (each result is
+    ``dim`` numbers)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    with_idf = [m for m in models if m.use_idf]
+    out: dict[str, list[float] | None] = {m.name: None for m in models}
+    if not with_idf:
+        return out
+    content = content_for_embedding(title, text)
+    tfs = corpus.select(*[hashed_tf(m.tokenizer.tokens(content), m.dim, m.ngram).alias(f"tf{i}")
+                          for i, m in enumerate(with_idf)])
+    row = tfs.select(*[Summarizer.metrics("numNonZeros", "count")
+                       .summary(array_to_vector(F.col(f"tf{i}"))).alias(f"s{i}")
+                       for i in range(len(with_idf))]).collect()[0]
+    for i, m in enumerate(with_idf):
+        n = int(row[f"s{i}"]["count"])
+        nnz = row[f"s{i}"]["numNonZeros"].toArray()
+        out[m.name] = [math.log((n + 1.0) / (float(x) + 1.0)) for x in nnz]
+    return out
+
+
 def embed_corpus(corpus: DataFrame, model: Model, *, doc_id: str = "doc_id",
-                 title: str = "title", text: str = "text"):
+                 title: str = "title", text: str = "text", idf=None):
     """(vectors, idf): one row per document with ``embedding`` of width
-    ``model.dim``; the idf is fitted on this corpus."""
+    ``model.dim``; the idf is fitted on this corpus unless given."""
     tok = corpus.select(F.col(doc_id).alias("doc_id"), F.col(title).alias("title"),
                         F.col(text).alias("text"),
                         model.tokenizer.tokens(content_for_embedding(title, text)).alias("tokens"))
-    idf = None
-    if model.use_idf:
+    if model.use_idf and idf is None:
         _, idf = fit_idf(tok.select(hashed_tf("tokens", model.dim, model.ngram).alias("tf")), "tf")
     vecs = embed_hashed(tok, "tokens", model.dim, model.ngram, use_idf=model.use_idf, idf=idf)
     return vecs.drop("tokens"), idf
@@ -55,9 +81,10 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
     asked = (split_by_position(queries, val_ratio, pos="pos", id_col="query_id")
              .where(F.col("split") == "test").drop("split")).persist()
     n_rel = relevant_counts(qrels)
+    idfs = fit_idfs(corpus, models)
     per_query = None
     for m in models:
-        doc_vecs, idf = embed_corpus(corpus, m)
+        doc_vecs, idf = embed_corpus(corpus, m, idf=idfs[m.name])
         q_vecs = embed_queries(asked, m, idf)
         hits = topk_cosine(q_vecs, doc_vecs, max(ks))
         flagged = match_relevant(hits, qrels)
