@@ -133,3 +133,9 @@ def test_vector_fixture(spark):
     got = [(r.doc_id, r.distance) for r in topk_cosine(q, docs, 5).orderBy("rank").collect()]
     assert [g[0] for g in got] == [0, 1, 3, 2, 4]
     assert abs(got[2][1] - 0.4) < 1e-6 and got[3][1] == 1.0 and math.isnan(got[4][1])
+
+
+def test_head_sample(spark):
+    df = spark.createDataFrame([(p, str(p)) for p in (50, 10, 30, 20, 40)], "pos long, v string")
+    assert sorted(r.pos for r in prep.head_sample(df, 3).collect()) == [10, 20, 30]
+    assert prep.head_sample(df, None).count() == 5
