@@ -65,6 +65,8 @@ def _containment_fn(bc, doc_col, text_col):
         import ahocorasick
 
         patterns = bc.value
+        if not patterns:
+            return
         auto = ahocorasick.Automaton()
         for text, ids in patterns.items():
             auto.add_word(text, ids)
