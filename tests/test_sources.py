@@ -67,8 +67,11 @@ def test_csv_sinks(spark, tmp_path):
     v = spark.createDataFrame([("1", "a\tb", "x  y", [0.1, 0.2])],
                               "id string, title string, text string, embedding array<float>")
     io.embedding_csv_write(v, str(tmp_path / "e"))
-    line = [l for f in os.listdir(tmp_path / "e") if f.endswith(".csv")
-            for l in open(tmp_path / "e" / f)][1]
+    lines = [l for f in sorted(os.listdir(tmp_path / "e")) if f.endswith(".csv")
+             for l in open(tmp_path / "e" / f)]
+    data = [l for l in lines if not l.startswith("id,")]
+    assert len(data) == 1 and all(l == "id,title,text,embedding\n" for l in lines if l not in data)
+    line = data[0]
     assert line.startswith("1,a b,x y,")
     assert json.loads(line.split(",", 3)[3].strip().strip('"')) == [0.10000000149011612, 0.20000000298023224]
 
