@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +62,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _containment_fn(bc, doc_col, text_col):
     def run(batches):
         import ahocorasick
+        import pyarrow as pa
 
         patterns = bc.value
         if not patterns:
@@ -71,18 +71,19 @@ def _containment_fn(bc, doc_col, text_col):
         for text, ids in patterns.items():
             auto.add_word(text, ids)
         auto.make_automaton()
-        for pdf in batches:
+        for rb in batches:
             q_out, d_out = [], []
-            for did, text in zip(pdf[doc_col].to_numpy(), pdf[text_col].to_numpy()):
-                if not isinstance(text, str) or not text:
+            for did, text in zip(rb.column(doc_col).to_pylist(), rb.column(text_col).to_pylist()):
+                if not text:
                     continue
                 found = set()
                 for _, ids in auto.iter(text):
                     found.update(ids)
                 q_out.extend(found)
                 d_out.extend([did] * len(found))
-            yield pd.DataFrame({"query_id": pd.array(q_out, dtype="int64"),
-                                "doc_id": pd.array(d_out, dtype="int64")})
+            if q_out:
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_out, pa.int64()),
+                                                  "doc_id": pa.array(d_out, pa.int64())})
 
     return run
 
@@ -115,7 +116,7 @@ def qrels_by_containment(docs: DataFrame, items: DataFrame, *, doc_id: str = "do
         for row in chunk.collect():  # one chunk: bounded by max_pattern_bytes
             patterns.setdefault(row["_t"], []).append(int(row["_id"]))
         bc = spark.sparkContext.broadcast(patterns)
-        part = d.mapInPandas(_containment_fn(bc, doc_id, doc_text), schema)
+        part = d.mapInArrow(_containment_fn(bc, doc_id, doc_text), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
