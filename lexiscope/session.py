@@ -34,8 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is. Only
-    when it is unset (local tests) a scratch folder is created and set.
+    On a cluster this setting points at shared storage and is used as is; there
+    it must be set. Only a local session (tests) gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -43,26 +43,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="lexiscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return configured
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
-
-
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``lexiscope`` importable in the Python workers of this session
-    (what ``--py-files`` does): zip the package next to it and ``addPyFile``
-    the archive once per application. Python functions of the library are
-    pickled by reference, so executors need the package."""
+    (what ``--py-files`` does): zip it into the driver's temporary folder and
+    ``addPyFile`` the archive once per application; the driver serves it to the
+    executors and removes the folder when it ends. Python functions of the
+    library are pickled by reference, so executors need the package."""
+    import atexit
+    import shutil
     import zipfile
 
     sc = spark.sparkContext
@@ -70,11 +69,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    out_dir = os.path.join(root, ".ship")
-    try:
-        os.makedirs(out_dir, exist_ok=True)
-    except OSError:
-        out_dir = tempfile.mkdtemp(prefix="lexiscope-ship-")
+    out_dir = tempfile.mkdtemp(prefix="lexiscope-ship-")
+    atexit.register(shutil.rmtree, out_dir, ignore_errors=True)
     path = os.path.join(out_dir, f"lexiscope-{sc.applicationId}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, files in os.walk(pkg):
