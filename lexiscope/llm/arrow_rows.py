@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES) ->
     n = batch.num_rows
     if n == 0:
         return
-    sizes = np.nan_to_num(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    sizes = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     ends = np.cumsum(sizes.astype(np.int64) + 64)
     start = 0
     while start < n:
@@ -41,7 +42,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES) ->
 
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of a string array; null counts as empty."""
-    b = pa.compute.fill_null(arr, "").cast(pa.large_binary())
+    b = pc.fill_null(arr, "").cast(pa.large_binary())
     offsets = np.frombuffer(b.buffers()[1], dtype=np.int64)[b.offset:b.offset + len(b) + 1]
     raw = b.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,7 @@ def count_tokens(df: DataFrame, column: str = "text", model: str = MODEL, limit:
         offsets, _ = utf8(arr)
         n = pa.array(count_batch(arr.to_pylist(), model), pa.int64())
         return [pa.array(offsets[1:] - offsets[:-1], pa.int64()), n,
-                pa.compute.greater(n, limit)]
+                pc.greater(n, limit)]
 
     return map_texts(df, column, [T.StructField("n_bytes", T.LongType()),
                                   T.StructField("n_tokens", T.LongType()),
