@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import decontaminate, langid, packing, token_counts
+from lexiscope.llm import decontaminate, langid, packing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_benchmark_decontamination": (decontaminate.op1_benchmark_decontamination, decontaminate.OP1_SQL),
+    "op6_substring_dedup": (substring_dedup.op6_substring_dedup, None),
     "op7_language_id": (langid.op7_language_id, None),
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
     "op8_token_counts": (token_counts.op8_token_counts, None),
