@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH_BYTES = 4 << 20
 
@@ -50,28 +51,31 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def map_texts(df: DataFrame, column: str, fields: list[T.StructField],
-              fn: Callable[[pa.Array], list], max_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``df`` with the columns of ``fields`` added, or put in place of columns
-    of the same name. ``fn`` gets the texts of some rows (Arrow strings, with
-    nulls) and returns one Arrow array or list for each field."""
+              fn: Callable[[pa.Array], list], max_bytes: int = BATCH_BYTES,
+              keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all if None) with those of ``fields``
+    added, or put in place of columns of the same name. ``fn`` gets the texts of
+    some rows (Arrow strings, with nulls) and returns one Arrow array or list for
+    each field."""
     new = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in new]
-    work = "__text__"
-    src = df.select(*[col(f.name) for f in kept], col(column).cast("string").alias(work))
+    kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
+    source = [col(f.name) for f in kept]
+    at = next((i for i, f in enumerate(kept) if f.name == column and f.dataType == T.StringType()), len(kept))
+    work = column if at < len(kept) else "__text__"
+    if at == len(kept):
+        source.append(col(column).cast("string").alias(work))
     schema = T.StructType(kept + list(fields))
-    from pyspark.sql.pandas.types import to_arrow_schema
     target = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, work, max_bytes):
-                made = fn(part.column(part.num_columns - 1))
-                arrays = [part.column(i) for i in range(len(kept))] + list(made)
+                arrays = part.columns[:len(kept)] + list(fn(part.column(at)))
                 yield pa.RecordBatch.from_arrays(
                     [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)
                      for x, f in zip(arrays, target, strict=True)], schema=target)
 
-    return src.mapInArrow(run, schema)
+    return df.select(*source).mapInArrow(run, schema)
 
 
 def rows_to(df: DataFrame, column: str, schema: str | T.StructType,

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexiscope.llm.arrow_rows import map_texts, table, utf8
+from lexiscope.llm.arrow_rows import col, map_texts, table, utf8
 from lexiscope.session import checkpoint_dir
 
 WINDOW = 10
@@ -155,10 +156,11 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return (out + raw[at:]).decode()
 
 
-REPORT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-          T.StructField("items", T.ArrayType(T.StringType())),
-          T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
-          T.StructField("clean_text", T.StringType())]
+def report_fields(prefix: str = "") -> list[T.StructField]:
+    return [T.StructField(prefix + "n_words", T.LongType()), T.StructField(prefix + "n_hit", T.LongType()),
+            T.StructField(prefix + "items", T.ArrayType(T.StringType())),
+            T.StructField(prefix + "spans", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField(prefix + "clean_text", T.StringType())]
 
 
 def _item_parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
@@ -171,16 +173,17 @@ def _item_parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                   part_bytes: int = PART_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit (words inside an occurrence of a window),
+                   part_bytes: int = PART_BYTES, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` (of it the columns ``keep``, all if None) with n_words, n_hit (words inside an occurrence of a window),
     items (ids of the items found, as sorted strings), spans ([start, end) byte
-    pairs of the hit runs) and clean_text (the text without those spans).
+    pairs of the hit runs) and clean_text (the text without those spans), named with ``prefix`` in front.
 
     A null text has no words and stays null; an empty text or an item without
     words hits nothing; an item without id counts as 'None'; repeated documents
     are each reported; an empty benchmark hits nothing; columns of ``docs``
     named like the new ones are replaced."""
     spark = docs.sparkSession
+    fields = report_fields(prefix)
     parts = _item_parts(benchmark, part_bytes)
     shared = [spark.sparkContext.broadcast(TestIndex([tuple(r) for r in p.collect()], window))
               for p in parts] if len(parts) == 1 else None
@@ -209,8 +212,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     if shared:
         index = shared[0]
-        return map_texts(docs, "text", REPORT,
-                         lambda arr: report(arr, *index.value.scan(*utf8(arr))))
+        return map_texts(docs, "text", fields, lambda arr: report(arr, *index.value.scan(*utf8(arr))), keep=keep)
 
     # several parts: a pass for each, the hits so far in an extra column
     checkpoint_dir(spark)
@@ -231,9 +233,9 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     out = out.withColumn("__hits", F.concat(*[F.col(m.name) for m in marks])) \
              .withColumn("__found", F.array_sort(F.array_distinct(F.concat(*[F.col(f.name) for f in found]))))
     out = out.drop(*[x.name for x in marks + found])
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in {r.name for r in REPORT}] + REPORT)
-    keep = [f.name for f in schema.fields[:-len(REPORT)]]
-    from pyspark.sql.pandas.types import to_arrow_schema
+    new = {f.name for f in fields}
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)] + fields)
+    keep = [f.name for f in schema.fields[:-len(fields)]]
     target = to_arrow_schema(schema)
 
     def merge(batches):
@@ -264,17 +266,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove must be 'spans' or 'documents', not {remove!r}")
     names = docs.columns
-    report = scan_documents(docs.select(F.struct(*names).alias("__row"), "text"), benchmark, window)
+    report = scan_documents(docs, benchmark, window, prefix="__d_")
     if remove == "documents":
-        return report.where("n_hit = 0").select("__row.*")
-    kept = report.where("n_hit = 0 or n_hit < n_words")
-    return kept.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"__row.`{c}`") for c in names])
+        return report.where("__d_n_hit = 0").select(*names)
+    kept = report.where("__d_n_hit = 0 or __d_n_hit < __d_n_words")
+    return kept.select(*[F.col("__d_clean_text").alias("text") if c == "text" else col(c) for c in names])
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Which words of each document lie in passages of ``benchmark``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_documents(docs, table(spark, sf_dir, "benchmark"))
+    found = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),

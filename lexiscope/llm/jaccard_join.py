@@ -353,10 +353,11 @@ def _exact(docs: DataFrame, members: DataFrame, threshold: float, words: int) ->
 def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
                    words: int = WORDS) -> DataFrame:
     """A row for each row of ``docs``: doc_id, text_hash (xxhash64 of the text),
-    class_id, n_links and n_copies.
+    class_id, class_hash, n_links and n_copies.
 
-    ``class_id`` is the smallest doc_id of the documents connected by links of
-    similarity ``threshold`` or more; ``n_links`` counts the other documents
+    ``class_id`` and ``class_hash`` are the doc_id and text hash of the first of
+    the documents connected by links of similarity ``threshold`` or more (by id,
+    then hash); ``n_links`` counts the other documents
     linked to this one directly, equal shingle sets included; ``n_copies``
     those with an equal set. A null, empty or wordless text links to nothing
     and is a class of its own. Null doc_ids rank last: a class of such rows
@@ -380,17 +381,19 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         .join(joined, "node", "left") \
         .select("node", "links", F.coalesce("wide", "root").alias("group"))
 
-    known = classes.select("node", "check", "size", "id").join(groups, "node", "left") \
+    known = classes.select("node", "check", "size", rank.alias("first")).join(groups, "node", "left") \
         .withColumn("group", F.coalesce("group", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
-    smallest = known.groupBy("group").agg(F.min("id").alias("class_id"))
-    known = known.join(smallest, "group").select("node", "check", "size", "links", "class_id")
+    smallest = known.groupBy("group").agg(F.min("first").alias("head"))
+    known = known.join(smallest, "group").select("node", "check", "size", "links", "head")
+    alone = F.col("n") == 0
     return sets.drop("sig").join(known, ["node", "check"], "left").select(
         F.col("id").alias("doc_id"), F.col("th").alias("text_hash"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
+        F.when(alone, F.col("th")).otherwise(F.col("head.th")).alias("class_hash"),
         F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).alias("n_links"),
         F.coalesce(F.col("size") - 1, F.lit(0)).alias("n_copies"))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
-    return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+    return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash", "class_hash")

@@ -126,8 +126,10 @@ class Classifier:
         return langs, scores
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) from whole texts.
+def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE,
+             keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``docs`` (of it the columns ``keep``, all if None) with ``lang_pred`` and
+    ``score`` (0 to 1) from whole texts, named with ``prefix`` in front.
 
     ``und`` with score 0 for a null text, one without a letter, or when there
     are no profiles. Ties go to the language first in the alphabet. Repeated
@@ -138,8 +140,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         langs, scores = shared.value.predict([t or "" for t in arr.to_pylist()])
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return map_texts(docs, "text", [T.StructField("lang_pred", T.StringType()),
-                                    T.StructField("score", T.DoubleType())], predict)
+    return map_texts(docs, "text", [T.StructField(prefix + "lang_pred", T.StringType()),
+                                    T.StructField(prefix + "score", T.DoubleType())], predict, keep=keep)
 
 
 def fold(docs: DataFrame, parts: int = 3):
@@ -151,5 +153,5 @@ def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every whole document; learned from two folds of three."""
     docs = table(spark, sf_dir, "documents")
     profiles = learn_profiles(docs.where(fold(docs) != 1))
-    return identify(docs.select("doc_id", "text"), profiles).select(
+    return identify(docs, profiles, keep=["doc_id"]).select(
         "doc_id", F.coalesce(fold(docs) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexiscope.llm.arrow_rows import rows_to, table, vocabulary
 from lexiscope.session import checkpoint_dir
@@ -35,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 CACHE_ENTRIES = 800_000
-SALT_ROWS = 50_000
+SALT_ROWS = 2_000
 _LOADED: dict = {}
 
 
@@ -324,7 +325,6 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
     kept = [c for c in items.columns]
     ranked = ranked.select(*kept, F.col("length").cast("long").alias("__len"), F.col("__rank").cast("long"))
     schema = items.schema.add("sequence_id", "long").add("offset", "long")
-    from pyspark.sql.pandas.types import to_arrow_schema
     target = to_arrow_schema(schema)
 
     def place(batches):

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexiscope.llm.arrow_rows import rows_to, table
 
@@ -124,22 +125,24 @@ def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
-FIELDS = [T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType()))),
-          T.StructField("n_removed", T.IntegerType()), T.StructField("removed_words", T.LongType()),
-          T.StructField("kept_text", T.StringType())]
+def report_fields(prefix: str = "") -> list[T.StructField]:
+    return [T.StructField(prefix + "removed", T.ArrayType(T.ArrayType(T.IntegerType()))),
+            T.StructField(prefix + "n_removed", T.IntegerType()), T.StructField(prefix + "removed_words", T.LongType()),
+            T.StructField(prefix + "kept_text", T.StringType())]
 
 
 def dedup_units(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS,
-                min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
+                min_run_words: int = MIN_RUN_WORDS, prefix: str = "") -> DataFrame:
     """``docs`` with ``removed`` ([start, end) character pairs in the original
-    text), ``n_removed``, ``removed_words`` and ``kept_text``.
+    text), ``n_removed``, ``removed_words`` and ``kept_text``, named with ``prefix``
+    in front.
 
     Rows that repeat both doc_id and text are one document and come out alike.
     Rows without doc_id rank last, then by text hash. A null text stays null
     with nothing removed; an empty one stays empty; a text whose units are all
     repeats becomes empty. Columns named like the new ones are replaced."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    new = {f.name for f in FIELDS}
+    fields = report_fields(prefix)
+    new = {f.name for f in fields}
     kept = [f for f in docs.schema.fields if f.name not in new]
     row = docs.select(*[F.col(f"`{f.name}`") for f in kept]).withColumn("text", F.col("text").cast("string"))
     row = row.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) \
@@ -147,7 +150,7 @@ def dedup_units(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS,
     first = _first_places(row.where("text <> ''"))
     joined = row.join(first, ["__id", "__no_id", "__hash"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "__places")
     kept = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in kept]
-    schema = T.StructType(kept + FIELDS)
+    schema = T.StructType(kept + fields)
     target = to_arrow_schema(schema)
     n = len(kept)
     at = [f.name for f in kept].index("text")

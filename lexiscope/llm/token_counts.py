@@ -15,10 +15,9 @@ from itertools import chain
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiscope.llm.arrow_rows import map_texts, utf8, vocabulary
+from lexiscope.llm.arrow_rows import map_texts, table, utf8, vocabulary
 
 MODEL = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
@@ -75,8 +74,9 @@ def count_batch(texts: list[str], model: str = MODEL) -> list[int]:
             for t, c in zip(texts, cut, strict=True)]
 
 
-def count_tokens(df: DataFrame, column: str = "text", model: str = MODEL, limit: int = 4096) -> DataFrame:
-    """``df`` with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``.
+def count_tokens(df: DataFrame, column: str = "text", model: str = MODEL, limit: int = 4096,
+                 keep: list[str] | None = None) -> DataFrame:
+    """``df`` (of it the columns ``keep``, all if None) with ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit``.
 
     A null or empty text has 0 of both. Repeated rows each get their count; an
     empty table gives an empty table; columns named like the new ones are
@@ -89,11 +89,9 @@ def count_tokens(df: DataFrame, column: str = "text", model: str = MODEL, limit:
 
     return map_texts(df, column, [T.StructField("n_bytes", T.LongType()),
                                   T.StructField("n_tokens", T.LongType()),
-                                  T.StructField("over_limit", T.BooleanType())], lengths)
+                                  T.StructField("over_limit", T.BooleanType())], lengths, keep=keep)
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every whole text of ``documents``."""
-    from lexiscope.llm.arrow_rows import table
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", F.col("over_limit"))
+    return count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
