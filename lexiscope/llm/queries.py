@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import decontaminate, jaccard_join, langid, packing, substring_dedup, token_counts
+from lexiscope.llm import decontaminate, jaccard_join, langid, lz_fingerprint, packing, substring_dedup, token_counts
 
 QUERIES = {
     "op1_benchmark_decontamination": (decontaminate.op1_benchmark_decontamination, decontaminate.OP1_SQL),
@@ -11,4 +11,5 @@ QUERIES = {
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
     "op8_token_counts": (token_counts.op8_token_counts, None),
     "op9_ngram_jaccard_join": (jaccard_join.op9_ngram_jaccard_join, None),
+    "op10_document_fingerprints": (lz_fingerprint.op10_document_fingerprints, None),
 }
