@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import decontaminate, jaccard_join, langid, lz_fingerprint, packing, substring_dedup, token_counts, toxicity
+from lexiscope.llm import decontaminate, html_text, jaccard_join, langid, lz_fingerprint, packing, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": (decontaminate.op1_benchmark_decontamination, decontaminate.OP1_SQL),
     "op6_substring_dedup": (substring_dedup.op6_substring_dedup, None),
     "op7_language_id": (langid.op7_language_id, None),
     "op2_toxicity": (toxicity.op2_toxicity, None),
+    "op3_html_extraction": (html_text.op3_html_extraction, None),
     "op4_best_fit_packing": (packing.op4_best_fit_packing, None),
     "op8_token_counts": (token_counts.op8_token_counts, None),
     "op9_ngram_jaccard_join": (jaccard_join.op9_ngram_jaccard_join, None),
