@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import decontaminate, html_text, jaccard_join, langid, lz_fingerprint, packing, substring_dedup, token_counts, toxicity
+from lexiscope.llm import decontaminate, html_text, jaccard_join, langid, license_scan, lz_fingerprint, packing, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": (decontaminate.op1_benchmark_decontamination, decontaminate.OP1_SQL),
+    "op5_license_scan": (license_scan.op5_license_scan, None),
     "op6_substring_dedup": (substring_dedup.op6_substring_dedup, None),
     "op7_language_id": (langid.op7_language_id, None),
     "op2_toxicity": (toxicity.op2_toxicity, None),
