@@ -40,7 +40,8 @@ def _loaded(model: str):
 
 def segments(text: str) -> list[str]:
     """Cut before each run of spaces that follows another character. One space
-    of the run goes: the model puts one before each text it encodes."""
+    of the run goes: the model puts one before each text it encodes. A text that
+    ends in one space ends in an empty segment."""
     parts = text.split(" ")
     if "" not in parts:
         return parts
@@ -69,6 +70,7 @@ def count_batch(texts: list[str], model: str = MODEL) -> list[int]:
     for i in range(0, len(missing), 20_000):
         part = missing[i:i + 20_000]
         known.update(zip(part, map(len, sp.encode(part, num_threads=1)), strict=True))
+    known[""] = len(sp.encode("a ")) - len(sp.encode("a"))  # one space at the end of a text
     length = known.__getitem__
     return [0 if not t else sum(map(length, c)) if c is not None else len(sp.encode(t))
             for t, c in zip(texts, cut, strict=True)]
