@@ -1,9 +1,8 @@
 """Readers and writers of the reference's file formats.
 
 All readers use explicit schemas and Spark's own readers, so files are split
-and parsed in parallel. Rows keep their file order in ``pos`` (increasing by
-file split and line; dense positions come from
-``lexiscope.operators.ordering.number_rows`` when "first N" needs them).
+and parsed in parallel. Rows keep their order in ``pos``, a string that sorts by
+file (in order of their paths), place of the split in the file, and row.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_text as _clean
 from ..functions.text import content_for_embedding, flatten_newlines
-from ..operators.ordering import number_rows
+from ..operators.ordering import first_rows
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("_id", T.StringType()), T.StructField("title", T.StringType()),
@@ -27,8 +26,20 @@ QRELS_SCHEMA = T.StructType([
     T.StructField("score", T.StringType())])
 
 
-def _with_pos(df: DataFrame) -> DataFrame:
-    return df.withColumn("pos", F.monotonically_increasing_id())
+def _with_pos(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Add the order of the rows of a file scan. ``monotonically_increasing_id``
+    alone follows the packing of splits into tasks, largest first."""
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    files = df.sparkSession.createDataFrame(list(enumerate(sorted(df.inputFiles()))), "_file int, _path string") \
+        .select("_file", plain("_path").alias("_path"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # the place is taken in the scan, before anything can move rows
+    placed = df.select("*", plain(F.col("_metadata.file_path")).alias("_path"),
+                       F.col("_metadata.file_block_start").alias("_start"), row.alias("_row"))
+    file = F.coalesce(F.col("_file"), F.raise_error(F.concat(F.lit("no file named "), F.col("_path"))).cast("int"))
+    pos = F.concat_ws("-", F.lpad(file.cast("string"), 8, "0"), F.lpad(F.col("_start").cast("string"), 14, "0"),
+                      F.lpad(F.col("_row").cast("string"), 10, "0"))
+    return placed.join(F.broadcast(files), "_path", "left").select(*df.columns, pos.alias(name))
 
 
 def read_corpus_tolerant(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCHEMA,
@@ -36,17 +47,16 @@ def read_corpus_tolerant(spark: SparkSession, path: str, schema: T.StructType =
     """JSON lines; blank lines are dropped by the reader, malformed lines and
     rows without a usable ``_id`` are skipped, missing title/text become ''.
 
-    With ``with_counts`` also returns a one-row frame of skipped counts. The
-    parsed rows are persisted first: Spark does not allow a query over the
-    corrupt-record column alone on an uncached read.
+    With ``with_counts`` also returns a one-row frame of skipped counts, from a
+    read of its own that also parses the other columns: Spark does not allow a
+    query over the corrupt-record column alone.
     """
     s = T.StructType(list(schema.fields) + [T.StructField("_corrupt", T.StringType())])
     raw = (spark.read.schema(s).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    raw = _with_pos(raw).persist()
     bad = F.col("_corrupt").isNotNull()
     no_id = F.col("_id").isNull() | (F.col("_id") == "")
-    ok = raw.where(~bad & ~no_id).select(
+    ok = _with_pos(raw).where(~bad & ~no_id).select(
         "_id", F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("text", F.lit("")).alias("text"), "pos")
     if not with_counts:
@@ -74,12 +84,10 @@ def read_filtered_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_docs_capped(spark: SparkSession, path: str, max_docs: int | None = None) -> DataFrame:
     """First ``max_docs`` **physical lines** (blank lines use up the cap and
     are then dropped); text = ``title + ' ' + text``. ``None`` or 0: no cap."""
-    lines = spark.read.text(path).withColumn("_fpos", F.monotonically_increasing_id())
+    lines = _with_pos(spark.read.text(path), "line")
     if max_docs:
-        lines = number_rows(lines, ["_fpos"], name="line").where(F.col("line") < max_docs)
-    else:
-        lines = lines.withColumnRenamed("_fpos", "line")
-    lines = lines.where(F.trim(F.col("value")) != "")
+        lines = first_rows(lines, max_docs, ["line"])
+    lines = lines.where(_clean("value") != "")
     parsed = lines.select("line", F.from_json("value", CORPUS_SCHEMA,
                                               {"mode": "FAILFAST"}).alias("d"))
     return parsed.select(
@@ -114,24 +122,33 @@ def dump_corpus_text(corpus: DataFrame, path: str, n_docs: int | None = None,
     text replaced by a space, one text per line."""
     src = corpus
     if n_docs:
-        src = number_rows(corpus.select(pos, text), [pos], name="_rank") \
-            .where(F.col("_rank") < n_docs)
+        src = first_rows(corpus.select(pos, text), n_docs, [pos])
     src.select(flatten_newlines(text).alias("value")).write.mode("overwrite").text(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def embedding_table_write(vectors: DataFrame, path: str, model: str, dim: int,
                           mode: str = "overwrite", id_col: str = "id",
                           unique: bool = True) -> None:
     """Parquet table partitioned by ``model``. ``overwrite`` replaces only
     this model's partition (dynamic partition overwrite); ``append`` adds rows.
     Every vector must have width ``dim``; ids must be unique unless
-    ``unique=False``. Vectors are stored single precision."""
+    ``unique=False``, with ``append`` also against the rows of the model that the
+    table holds. Vectors are stored single precision."""
     checked = vectors.withColumn(
         "embedding", F.when(F.size("embedding") == dim, F.col("embedding").cast("array<float>"))
         .otherwise(F.raise_error(F.lit(f"embedding width is not {dim}"))))
     if unique:
-        dup = checked.groupBy(id_col).count().where(F.col("count") > 1).limit(1).count()
-        if dup:
+        ids = vectors.select(F.col(id_col).cast("string").alias("_id"))
+        if mode == "append" and _exists(vectors.sparkSession, path):
+            held = vectors.sparkSession.read.parquet(path)
+            ids = ids.unionByName(held.where(F.col("model") == model).select(F.col(id_col).cast("string").alias("_id")))
+        if not ids.groupBy("_id").count().where(F.col("count") > 1).isEmpty():
             raise ValueError(f"duplicate {id_col} in embedding table for {model}")
     (checked.withColumn("model", F.lit(model))
      .write.mode(mode).option("partitionOverwriteMode", "dynamic")

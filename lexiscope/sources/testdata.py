@@ -33,10 +33,10 @@ TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over ``defaultParallelism`` partitions when the
-    scan yields fewer splits than that (small files); on a cluster reading
-    many files the scan is left as it is, so no shuffle is added."""
+    scan reads a single file (the small test tables); with many files the scan
+    is left as it is, so no shuffle is added."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < 2:
         return df.repartition(target)
     return df
 
