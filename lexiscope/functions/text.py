@@ -75,6 +75,11 @@ def display_truncate(c, width: int = 40) -> Column:
         .otherwise(x)
 
 
-def truncate_tokens(tokens, n: int) -> Column:
-    """First ``n`` tokens."""
-    return F.slice(_col(tokens), 1, n)
+def truncate_tokens(tokens, n: int, end_marks: int = 0) -> Column:
+    """At most ``n`` tokens: the first ones, with the last ``end_marks`` (the
+    special tokens behind a text) kept inside the limit."""
+    t = _col(tokens)
+    if not end_marks:
+        return F.slice(t, 1, n)
+    kept = F.concat(F.slice(t, 1, n - end_marks), F.slice(t, -end_marks, end_marks))
+    return F.when(F.size(t) <= n, t).otherwise(kept)

@@ -58,20 +58,13 @@ def ngram_counts(seqs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return _pairs(seqs, tokens).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def window_pairs(windows: DataFrame) -> DataFrame:
-    """(ctx, tok) prediction pairs of windows: input[j] -> target[j]."""
-    z = F.arrays_zip(F.col("input").alias("ctx"), F.col("target").alias("tok"))
-    return windows.select(F.explode(z).alias("_p")).select(
-        F.col("_p.ctx").alias("ctx"), F.col("_p.tok").alias("tok"))
-
-
 def ngram_prob(counts: DataFrame, vocab_size: int, alpha: float = 0.1) -> DataFrame:
-    """Add-alpha p(tok | ctx) for the observed pairs, plus the per-context
-    mass for unseen ones: ``ctx, tok, p`` and ``ctx, p_unseen``."""
+    """Add-alpha probabilities of the observed pairs: ``ctx, tok, p`` and
+    ``p_unseen``, that of each token never seen behind the context."""
     ctx = counts.groupBy("ctx").agg(F.sum("cnt").alias("ctx_cnt"))
-    p = counts.join(ctx, "ctx").select(
-        "ctx", "tok", ((F.col("cnt") + alpha) / (F.col("ctx_cnt") + alpha * vocab_size)).alias("p"))
-    return p
+    total = F.col("ctx_cnt") + alpha * vocab_size
+    return counts.join(ctx, "ctx").select("ctx", "tok", ((F.col("cnt") + alpha) / total).alias("p"),
+                                          (F.lit(alpha) / total).alias("p_unseen"))
 
 
 def lm_eval(train_counts: DataFrame, eval_pairs: DataFrame, vocab_size: int,
@@ -142,56 +135,65 @@ def oov_rate(train_words: DataFrame, test_words: DataFrame, word: str = "word")
         "oov_rate", F.col("oov_tokens") / F.col("test_tokens"))
 
 
+# Cells of the probability table that is shipped to the executors.
+MAX_TABLE_CELLS = 16_000_000
+
+
+def _uniform(seed: int, key: np.ndarray, step: int) -> np.ndarray:
+    """A number in [0, 1) for each key, fixed by (seed, key, step)."""
+    with np.errstate(over="ignore"):
+        x = key.view(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + step * 0xD1342543DE82EF95) % (1 << 64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def next_token_table(counts: DataFrame, vocab_size: int, temperature: float = 1.0,
+                     top_k: int | None = None, alpha: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the tokens by falling probability (equal ones by id),
+    only the first ``top_k`` of them, and the running sums of their share.
+    Raises before anything is collected if the table would be too large."""
+    if vocab_size * vocab_size > MAX_TABLE_CELLS:
+        raise ValueError(f"a vocabulary of {vocab_size} is too large for a bigram table on every executor")
+    p = np.full((vocab_size, vocab_size), alpha)
+    t = counts.select(F.col("ctx").cast("int"), F.col("tok").cast("int"), F.col("cnt").cast("double")).toArrow()
+    p[t["ctx"].to_numpy(), t["tok"].to_numpy()] += t["cnt"].to_numpy()  # at most V x V rows
+    p = (p / p.sum(axis=1, keepdims=True)) ** (1.0 / temperature)
+    order = np.argsort(-p, axis=1, kind="stable")[:, :top_k or vocab_size]
+    sums = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+    return order.astype(np.int32), sums / sums[:, -1:]
+
+
 def lm_generate_batch(seeds: DataFrame, counts: DataFrame, vocab_size: int, *,
                       tokens: str = "tokens", key: str = "doc_id", length: int = 50,
-                      temperature: float = 1.0, top_k: int | None = None,
+                      new_tokens: int | None = None, temperature: float = 1.0, top_k: int | None = None,
                       alpha: float = 0.1, seed: int = 42) -> DataFrame:
-    """Extend every seed sequence by ``length`` tokens from the smoothed
-    bigram model. The next token is drawn from p(. | last)^(1/temperature),
-    restricted to the ``top_k`` most likely when given, with a random stream
-    seeded by (seed, key): reruns and lost tasks give the same text.
-
-    The model table has at most V x V rows and is shipped with the function
-    (its size is checked); the seeds are processed batch by batch.
+    """Extend every seed sequence by tokens of the smoothed bigram model to
+    ``length`` tokens in all (a longer seed stays as it is), or by
+    ``new_tokens`` where given. The next token is drawn from
+    p(. | last)^(1/temperature), among the ``top_k`` most likely when given,
+    with numbers fixed by (seed, key, step): reruns and lost tasks give the same
+    text. An empty or null seed goes on from token 0.
+
+    The probability table has V x V cells, is checked before it is collected and
+    shipped with the function. A batch of seeds takes each step together.
     """
-    rows = counts.select("ctx", "tok", "cnt").collect()  # bounded by V x V
-    if len(rows) > 4_000_000:
-        raise ValueError("bigram table too large to ship; reduce the vocabulary")
-    ctx = np.array([r["ctx"] for r in rows], dtype=np.int64)
-    tok = np.array([r["tok"] for r in rows], dtype=np.int64)
-    cnt = np.array([r["cnt"] for r in rows], dtype=np.float64)
-    tables: dict[int, tuple] = {}
-    order = np.argsort(ctx, kind="stable")
-    ctx, tok, cnt = ctx[order], tok[order], cnt[order]
-    bounds = np.r_[0, np.flatnonzero(np.diff(ctx)) + 1, len(ctx)]
-    for i in range(len(bounds) - 1):
-        a, b = bounds[i], bounds[i + 1]
-        tables[int(ctx[a])] = (tok[a:b], cnt[a:b])
-
-    def next_dist(last: int):
-        p = np.full(vocab_size, alpha)
-        tc = tables.get(last)
-        if tc is not None:
-            p[tc[0]] += tc[1]
-        p = p / p.sum()
-        if temperature != 1.0:
-            p = np.power(p, 1.0 / temperature)
-        if top_k:
-            cut = np.partition(p, -top_k)[-top_k]
-            p = np.where(p >= cut, p, 0.0)
-        return p / p.sum()
+    shared = seeds.sparkSession.sparkContext.broadcast(next_token_table(counts, vocab_size, temperature, top_k, alpha))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def _gen(ks: pa.Array, seqs: pa.Array) -> pa.Array:
-        out_off, flat = [0], []
-        for k, s in zip(ks.to_pylist(), seqs.to_pylist()):
-            rng = np.random.default_rng([seed, int(k) & 0x7FFFFFFFFFFFFFFF])
-            cur = list(s or [])
-            for _ in range(length):
-                last = cur[-1] if cur else 0
-                cur.append(int(rng.choice(vocab_size, p=next_dist(last))))
-            flat.extend(cur)
-            out_off.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(out_off, pa.int32()), pa.array(flat, pa.int32()))
-
-    return seeds.select(key, _gen(F.col(key).cast("long"), F.col(tokens)).alias("generated"))
+        order, sums = shared.value
+        keys = np.ascontiguousarray(ks.to_numpy(zero_copy_only=False), dtype=np.int64)
+        out = [list(s or []) for s in seqs.to_pylist()]
+        last = np.array([s[-1] if s else 0 for s in out], dtype=np.int64)
+        want = np.array([new_tokens if new_tokens is not None else max(0, length - len(s)) for s in out], dtype=np.int64)
+        drawn = np.zeros((len(out), int(want.max(initial=0))), dtype=np.int32)
+        for step in range(drawn.shape[1]):
+            u = _uniform(seed, keys, step)
+            pick = np.minimum((sums[last] <= u[:, None]).sum(axis=1), order.shape[1] - 1)
+            last = order[last, pick].astype(np.int64)
+            drawn[:, step] = last
+        lists = [s + drawn[i, :want[i]].tolist() for i, s in enumerate(out)]
+        return pa.array(lists, pa.list_(pa.int32()))
+
+    return seeds.select(key, _gen(F.xxhash64(key), F.col(tokens)).alias("generated"))

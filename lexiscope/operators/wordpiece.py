@@ -5,7 +5,8 @@ downloaded here, so the vocabulary is built from the corpus (or given by the
 user as a ``token, token_id`` table):
 
 * special tokens, every character seen (as a word start and as a ``##``
-  continuation), then the most frequent words, by frequency;
+  continuation), then the most frequent words, by frequency, in the room that
+  is left; a size that cannot hold the characters is an error;
 * words come from basic tokenisation: lower case, split on whitespace, every
   punctuation character is its own word.
 
@@ -21,59 +22,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import clean_text
+
 # The special tokens, in id order.
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 PUNCT_RE = r"[\p{P}\p{S}]"
-MAX_WORD_CHARS = 100
 
 
 def basic_words(text) -> Column:
     """Lower-cased words; punctuation characters split off as words."""
     t = F.lower(F.col(text) if isinstance(text, str) else text)
     spaced = F.regexp_replace(t, "(" + PUNCT_RE + ")", " $1 ")
-    return F.filter(F.split(F.trim(spaced), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(clean_text(spaced), " "), lambda w: w != "")
 
 
 def build_vocab(docs: DataFrame, text: str = "text", vocab_size: int = 2000) -> list[str]:
-    """Specials + characters (plain and ``##``) + most frequent words."""
+    """Specials + all characters (plain and ``##``, most frequent first) + the
+    most frequent words. There are at most as many characters as Unicode has."""
     words = docs.select(F.explode(basic_words(text)).alias("w"))
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    chars = (words.select(F.explode(F.split("w", "")).alias("c")).where(F.col("c") != "")
-             .distinct().orderBy("c").limit(vocab_size).collect())
+    chars = (counts.select(F.explode(F.split("w", "")).alias("c"), "n").where(F.col("c") != "")
+             .groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").collect())
     base = list(SPECIALS) + [r["c"] for r in chars] + ["##" + r["c"] for r in chars]
-    room = max(0, vocab_size - len(base))
-    top = counts.where(F.length("w") > 1).orderBy(F.col("n").desc(), F.col("w")).limit(room).collect()
-    vocab = base + [r["w"] for r in top]
-    return vocab[:max(vocab_size, len(SPECIALS))]
-
-
-def _encode_word(word: str, vocab: dict, unk: int) -> list[int]:
-    if len(word) > MAX_WORD_CHARS:
-        return [unk]
-    out = []
-    start = 0
-    while start < len(word):
-        end = len(word)
-        cur = None
-        while start < end:
-            piece = word[start:end] if start == 0 else "##" + word[start:end]
-            if piece in vocab:
-                cur = vocab[piece]
-                break
-            end -= 1
-        if cur is None:
-            return [unk]
-        out.append(cur)
-        start = end
-    return out
-
-
-def wordpiece_tokens(text, vocab: list[str], special: bool = True) -> Column:
+    if len(base) > vocab_size:
+        raise ValueError(f"a vocabulary of {vocab_size} cannot hold the {len(chars)} characters of the texts "
+                         f"({len(base)} entries)")
+    top = counts.where(F.length("w") > 1).orderBy(F.col("n").desc(), F.col("w")).limit(vocab_size - len(base)).collect()
+    return base + [r["w"] for r in top]
+
+
+class WordEncoder:
+    """Ids of words, longest match first; each distinct word is matched once
+    and a bounded number is remembered."""
+
+    LIMIT = 200_000
+
+    def __init__(self, index: dict[str, int], max_word_chars: int | None = None):
+        self.index, self.max_word_chars = index, max_word_chars
+        self.unknown = [index["[UNK]"]]
+        self.longest = max(map(len, index), default=1)
+        self.known: dict[str, list[int]] = {}
+
+    def ids(self, word: str) -> list[int]:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            out = self.known[word] = self._match(word)
+        return out
+
+    def _match(self, word: str) -> list[int]:
+        if self.max_word_chars is not None and len(word) > self.max_word_chars:
+            return self.unknown
+        out, at = [], 0
+        while at < len(word):
+            mark = "##" if at else ""
+            ends = range(min(len(word), at + self.longest), at, -1)
+            end = next((e for e in ends if mark + word[at:e] in self.index), None)
+            if end is None:
+                return self.unknown
+            out.append(self.index[mark + word[at:end]])
+            at = end
+        return out
+
+
+def wordpiece_tokens(text, vocab: list[str], special: bool = True, max_word_chars: int | None = None) -> Column:
     """Word-piece ids of a text column (greedy longest match first, ``##``
     continuation, ``[UNK]`` for a word that cannot be covered); ``[CLS]`` and
-    ``[SEP]`` around each text when ``special``."""
+    ``[SEP]`` around each text when ``special``. With ``max_word_chars`` a longer
+    word is ``[UNK]``; off by default."""
     index = {tok: i for i, tok in enumerate(vocab)}
-    unk, cls, sep = index["[UNK]"], index["[CLS]"], index["[SEP]"]
+    cls, sep = index["[CLS]"], index["[SEP]"]
+    encoder = WordEncoder(index, max_word_chars)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def _enc(words: pa.Array) -> pa.Array:
@@ -84,7 +104,7 @@ def wordpiece_tokens(text, vocab: list[str], special: bool = True) -> Column:
                 if special:
                     flat.append(cls)
                 for w in ws:
-                    flat.extend(_encode_word(w, index, unk))
+                    flat.extend(encoder.ids(w))
                 if special:
                     flat.append(sep)
             off.append(len(flat))

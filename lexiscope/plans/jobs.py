@@ -15,6 +15,7 @@ from ..operators.metrics import (DEFAULT_KS, average_metrics, match_relevant, pe
 from ..operators.ordering import split_by_position
 from ..operators.retrieve import topk_cosine
 from ..operators.vectorize import embed_hashed, fit_idf, hashed_tf
+from ..session import checkpoint_dir
 from .registry import Model
 
 
@@ -77,9 +78,10 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
     """Retrieval quality of every model on the test part of ``queries``:
     one row per model with ``num_queries, mrr, recall_at_k, precision_at_k``
     and ``dim``. All models are averaged by one ``groupBy(model)``."""
-    # the evaluated queries are few and read by every model: keep them
-    asked = (split_by_position(queries, val_ratio, pos="pos", id_col="query_id")
-             .where(F.col("split") == "test").drop("split")).persist()
+    # the evaluated queries are few and read by every model: written once
+    checkpoint_dir(corpus.sparkSession)
+    queries, corpus = queries.checkpoint(), corpus.checkpoint()
+    asked = test_queries(queries, val_ratio).checkpoint()
     n_rel = relevant_counts(qrels)
     idfs = fit_idfs(corpus, models)
     per_query = None
@@ -110,20 +112,31 @@ def test_queries(queries: DataFrame, val_ratio: float = 0.5) -> DataFrame:
 
 def embed_all_models(corpus: DataFrame, models: list[Model], path: str, *,
                      mode: str = "overwrite", id_col: str = "doc_id") -> dict[str, bool]:
-    """One embedding table per model (Parquet partition ``model=<name>``).
-    A failing model is reported and the next one runs."""
+    """One embedding table per model (Parquet partition ``model=<name>``). When
+    a model fails the others still run; the failures are raised together at the
+    end, each with its cause."""
     from ..sources.io import embedding_table_write
 
-    done: dict[str, bool] = {}
+    failed: list[Exception] = []
     for m in models:
         try:
             vecs, _ = embed_corpus(corpus, m, doc_id=id_col)
             embedding_table_write(vecs.withColumnRenamed("doc_id", "id"), path, m.name, m.dim,
                                   mode=mode, id_col="id")
-            done[m.name] = True
-        except Exception:  # noqa: BLE001 - reported per model, like the reference
-            done[m.name] = False
-    return done
+        except Exception as e:  # noqa: BLE001 - raised below
+            e.add_note(f"model {m.name}")
+            failed.append(e)
+    if failed:
+        raise ExceptionGroup(f"{len(failed)} of {len(models)} models failed", failed)
+    return {m.name: True for m in models}
+
+
+def search_table(spark, path: str, model: Model, queries: DataFrame, k: int = 15, *, idf=None) -> DataFrame:
+    """Hits of ``queries`` in the stored vectors of a model, without embedding
+    the corpus again. ``idf`` is the one the table was written with."""
+    stored = spark.read.parquet(path).where(F.col("model") == model.name) \
+        .select(F.col("id").alias("doc_id"), "embedding")
+    return topk_cosine(embed_queries(queries, model, idf), stored, k)
 
 
 def analyze_tokenizers(docs: DataFrame, tokenizers: dict, *, text: str = "text",

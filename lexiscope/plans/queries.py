@@ -7,14 +7,16 @@ it). Every query reads whole tables.
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import average_metrics, per_query_metrics, round_metrics
 from ..operators.retrieve import topk_cosine
+from ..session import checkpoint_dir
 from ..sources.testdata import table
 from .oracle import cosine_sql, metrics_sql
 
@@ -258,16 +260,19 @@ from ..operators.ordering import split_by_position  # noqa: E402
 from ..sources.testdata import qrels as test_qrels  # noqa: E402
 from ..sources.testdata import queries as test_queries  # noqa: E402
 
-N_TITLES = 10
+N_TITLES = 10  # where first-N is the feature; the evaluations take the job's 3,000
+EVAL_TITLES = 3000
 
 _QRELS_SQL = """SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d
   ON contains(d.text, b.text) WHERE length(b.text) > 0"""
-_KEPT_SQL = f"""kept_titles AS (SELECT source, min(doc_id) AS f FROM documents GROUP BY source
-                ORDER BY f LIMIT {N_TITLES}),
+def _kept_sql(n):
+    return f"""kept_titles AS (SELECT source, min(doc_id) AS f FROM documents GROUP BY source
+                ORDER BY f LIMIT {n}),
 kept AS (SELECT doc_id, source AS title FROM documents d
          WHERE EXISTS (SELECT 1 FROM kept_titles t WHERE t.source IS NOT DISTINCT FROM d.source))"""
-_ALIGN_SQL = f"""WITH qrels AS ({_QRELS_SQL}),
-{_KEPT_SQL},
+def _align_sql(n):
+    return f"""WITH qrels AS ({_QRELS_SQL}),
+{_kept_sql(n)},
 aligned AS (
   SELECT b.item_id AS query_id FROM benchmark b
   WHERE b.item_id IN (SELECT query_id FROM qrels)
@@ -275,12 +280,13 @@ aligned AS (
                           WHERE doc_id NOT IN (SELECT doc_id FROM kept)))"""
 
 
-def _prepared(spark, sf_dir):
+def _prepared(spark, sf_dir, n_titles=N_TITLES):
     docs = corpus(spark, sf_dir)
-    kept = prep.first_n_titles(docs, N_TITLES)
+    kept = prep.first_n_titles(docs, n_titles)
     qs = test_queries(spark, sf_dir)
     # judgments are small (queries x relevant documents) and read several times
-    qr = test_qrels(spark, sf_dir).persist()
+    checkpoint_dir(spark)
+    qr = test_qrels(spark, sf_dir).checkpoint()
     aligned = prep.align_queries(qs, qr, kept)
     return docs, kept, qs, qr, aligned
 
@@ -290,7 +296,7 @@ def q_qrels_containment(spark, sf_dir):
     return test_qrels(spark, sf_dir)
 
 
-@register("first_n_titles", f"WITH {_KEPT_SQL}\nSELECT doc_id, title FROM kept")
+@register("first_n_titles", f"WITH {_kept_sql(N_TITLES)}\nSELECT doc_id, title FROM kept")
 def q_first_n_titles(spark, sf_dir):
     return prep.first_n_titles(corpus(spark, sf_dir), N_TITLES).select("doc_id", "title")
 
@@ -305,12 +311,12 @@ def q_queries_with_qrels(spark, sf_dir):
                                                " ").alias("corpus_ids"))
 
 
-@register("align_queries", _ALIGN_SQL + "\nSELECT query_id FROM aligned")
+@register("align_queries", _align_sql(N_TITLES) + "\nSELECT query_id FROM aligned")
 def q_align_queries(spark, sf_dir):
     return _prepared(spark, sf_dir)[4].select("query_id")
 
 
-@register("prep_counts", _ALIGN_SQL + """
+@register("prep_counts", _align_sql(N_TITLES) + """
 SELECT 'corpus_rows' AS metric, count(*)::BIGINT AS value FROM documents
 UNION ALL SELECT 'distinct_titles', count(DISTINCT source)::BIGINT FROM documents
 UNION ALL SELECT 'kept_rows', count(*)::BIGINT FROM kept
@@ -402,9 +408,11 @@ def q_hashed_topk(spark, sf_dir):
     return hits.select("query_id", "doc_id", "rank", F.round("distance", 6).alias("distance"))
 
 
-def _flagship_sql(select: str) -> str:
-    models = {"byte-hashed": "byte", "char-hashed": "char"}
-    return _ALIGN_SQL + f""",
+_MODELS_SQL = {"byte-hashed": "byte", "char-hashed": "char"}
+
+
+def _flagship_sql(select: str, models: dict[str, str] = _MODELS_SQL) -> str:
+    return _align_sql(EVAL_TITLES) + f""",
 asked AS (SELECT query_id FROM (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS r,
           count(*) OVER () AS n FROM aligned) WHERE r >= floor(n * 0.5)),
 docs AS (SELECT d.doc_id, d.source || ': ' || d.text AS text
@@ -425,7 +433,7 @@ wide AS (WITH {metrics_sql('top', 'nrel', 'asked_m', ('model',))})
 
 
 def _flagship(spark, sf_dir):
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
     qtext = aligned.join(qs.select("query_id"), "query_id")
     res = jobs.evaluate(kept, qtext, qr, [MODELS["byte-hashed"], MODELS["char-hashed"]],
                         ks=DEFAULT_KS)
@@ -450,6 +458,34 @@ def q_accuracy_per_dimension(spark, sf_dir):
                       F.round(F.col("recall_at_10") / F.col("dim"), 9).alias("recall_at_10_per_dim"))
 
 
+def _string_id_sql() -> str:
+    sql = _flagship_sql("SELECT model, num_queries, mrr, recall_at_10, precision_at_10 FROM wide", {"byte-hashed": "byte"})
+    by_query = "row_number() OVER (ORDER BY query_id) - 1 AS r"
+    assert by_query in sql and sql.startswith("WITH ")
+    sql = sql.replace(by_query, "row_number() OVER (ORDER BY substr(query_id, 2)::BIGINT) - 1 AS r")
+    return ("WITH documents AS (SELECT 'd' || doc_id AS doc_id, source, text FROM main.documents),\n"
+            "benchmark AS (SELECT 'q' || item_id AS item_id, text FROM main.benchmark),\n") + sql[len("WITH "):]
+
+
+@register("string_id_search", _string_id_sql())
+def q_string_id_search(spark, sf_dir):
+    """Ids that are strings through every step: prepare, write the vectors of
+    the corpus as a table, read it back, search it, score the hits."""
+    model = MODELS["byte-hashed"]
+    docs = corpus(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    qs = test_queries(spark, sf_dir).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    judged = test_qrels(spark, sf_dir).select(F.concat(F.lit("q"), "query_id").alias("query_id"),
+                                              F.concat(F.lit("d"), "doc_id").alias("doc_id"))
+    base = checkpoint_dir(spark)
+    kept, aligned, rel = jobs.prepare(docs, qs, judged.checkpoint(), EVAL_TITLES)
+    path = f"{base.rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    jobs.embed_all_models(kept, [model], path)
+    asked = jobs.test_queries(aligned)
+    hits = jobs.search_table(spark, path, model, asked, max(DEFAULT_KS), idf=jobs.fit_idfs(kept, [model])[model.name])
+    return round_metrics(jobs.score_hits(hits, rel, asked, model.name)).select(
+        "model", "num_queries", "mrr", "recall_at_10", "precision_at_10")
+
+
 # ---------------------------------------------------------------------------
 # Language-model data and scoring (byte-model tokens of the analysis text).
 # ---------------------------------------------------------------------------
@@ -486,6 +522,11 @@ def _lm_docs(spark, sf_dir):
     return d.withColumn("tokens", byte_tokens("text"))
 
 
+def _md5_of(tokens: str):
+    """Digest of a whole token list."""
+    return F.md5(F.array_join(F.transform(tokens, lambda x: x.cast("string")), ","))
+
+
 @register("split_80_10_10", "WITH " + _SPLIT_SQL + "\nSELECT doc_id, split FROM split")
 def q_split_80_10_10(spark, sf_dir):
     return split_80_10_10(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", seed=42)
@@ -494,19 +535,27 @@ def q_split_80_10_10(spark, sf_dir):
 @register("lm_windows", f"""WITH d AS (
   SELECT doc_id, {TOKENS_SQL['byte'].format(t="(source || ' ' || text)")} AS t FROM documents),
 w AS (SELECT doc_id, t, unnest(range(0, len(t) - {SEQ_LEN} - 1, {STRIDE})) AS start FROM d)
-SELECT doc_id, start, t[start + 1] AS input_first, t[start + {SEQ_LEN}] AS input_last,
-       t[start + 2] AS target_first, t[start + {SEQ_LEN} + 1] AS target_last,
-       {SEQ_LEN} AS input_len FROM w""")
+SELECT doc_id, start, md5(array_to_string(t[start + 1:start + {SEQ_LEN}], ',')) AS input_md5,
+       md5(array_to_string(t[start + 2:start + {SEQ_LEN} + 1], ',')) AS target_md5 FROM w""")
 def q_lm_windows(spark, sf_dir):
     d = corpus(spark, sf_dir).select(
         "doc_id", byte_tokens(content_for_analysis("title", "text")).alias("tokens"))
     w = lm.lm_windows(d, "tokens", SEQ_LEN, STRIDE)
     return w.select("doc_id", F.col("start").cast("bigint").alias("start"),
-                    F.col("input")[0].alias("input_first"),
-                    F.col("input")[SEQ_LEN - 1].alias("input_last"),
-                    F.col("target")[0].alias("target_first"),
-                    F.col("target")[SEQ_LEN - 1].alias("target_last"),
-                    F.size("input").alias("input_len"))
+                    _md5_of("input").alias("input_md5"), _md5_of("target").alias("target_md5"))
+
+
+MAX_TOKENS = 512
+
+
+@register("truncate_tokens", f"""SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ',')) AS ids_md5
+FROM (SELECT doc_id, CASE WHEN len(t) > {MAX_TOKENS} THEN t[1:{MAX_TOKENS - 1}] || [1] ELSE t END AS t
+      FROM (SELECT doc_id, {TOKENS_SQL['byte'].format(t="(source || ' ' || text)")} AS t FROM documents))""")
+def q_truncate_tokens(spark, sf_dir):
+    """Byte-model ids cut to the model's limit, its end mark inside."""
+    cut = replace(MODELS["byte-hashed"].tokenizer, max_length=MAX_TOKENS)
+    d = corpus(spark, sf_dir).select("doc_id", cut.tokens(content_for_analysis("title", "text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), _md5_of("t").alias("ids_md5"))
 
 
 @register("ngram_counts", "WITH " + _LM_DOCS_SQL + "\nSELECT ctx, tok, cnt FROM train_counts")
@@ -584,47 +633,63 @@ from ..operators import bpe  # noqa: E402
 BPE_VOCAB = 320
 
 
-_MERGES_MEMO: dict = {}
+# A fixed table of ASCII merges, so that SQL can encode as well: greedy encoding
+# takes the longest string that merges with a byte on the right can spell.
+FIXED_STRINGS = ("th", "the", "the ", "he", "in", "ing", "ing ", "er", "on", "an", "and", "and ", "re", "ti", "tio", "tion",
+                 " t", " th", "en", "es", "e ", ", ", "de", "la", "ch")
+
 
+def _fixed_merges() -> dict[tuple[int, int], int]:
+    """(left, right) -> id; every string but the last byte is one before it."""
+    ids = {bytes([i]): i for i in range(256)}
+    for text in FIXED_STRINGS:
+        ids[text.encode()] = 256 + len(ids) - 256
+    return {(ids[t.encode()[:-1]], t.encode()[-1]): ids[t.encode()] for t in FIXED_STRINGS}
 
-def _bpe_merges(spark, sf_dir):
-    """Train once per session and input: the merge table (bounded by the
-    vocabulary size) is reused by the encode and statistics queries."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), BPE_VOCAB)
-    if key not in _MERGES_MEMO:
-        docs = corpus(spark, sf_dir).select("pos", "text")
-        rows = bpe.bpe_train(docs, BPE_VOCAB).collect()
-        _MERGES_MEMO[key] = [tuple(r) for r in rows]
-    return spark.createDataFrame(_MERGES_MEMO[key], "left int, right int, new_id int, cnt long")
+
+_FIXED_TOKENS = """(SELECT flatten(list_transform(regexp_extract_all({t}, '{alternatives}|[\\s\\S]'),
+  lambda x: CASE {cases} ELSE list_transform(range(strlen(x)), lambda j: ('0x' || substr(hex(x), 2*j+1, 2))::INT) END)))"""
+
+
+def _fixed_tokens_sql(t: str) -> str:
+    longest_first = sorted(FIXED_STRINGS, key=lambda x: (-len(x), x))
+    cases = " ".join(f"WHEN x = '{x}' THEN [{256 + FIXED_STRINGS.index(x)}]" for x in FIXED_STRINGS)
+    return _FIXED_TOKENS.format(t=t, alternatives="|".join(longest_first), cases=cases).replace("\\\\", "\\")
 
 
 @register("bpe_train")
 def q_bpe_train(spark, sf_dir):
-    return _bpe_merges(spark, sf_dir)
+    return bpe.bpe_train(corpus(spark, sf_dir).select("pos", "text"), BPE_VOCAB)
 
 
-@register("bpe_encode")
+@register("bpe_encode", f"""SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ',')) AS ids_md5, true AS roundtrip
+FROM (SELECT doc_id, {_fixed_tokens_sql('text')} AS t FROM documents)""")
 def q_bpe_encode(spark, sf_dir):
-    m = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    m = _fixed_merges()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     enc = docs.select("doc_id", "text", bpe.bpe_encode_col("text", m).alias("ids"))
-    return enc.select("doc_id", F.size("ids").alias("n_tokens"),
+    return enc.select("doc_id", F.size("ids").alias("n_tokens"), _md5_of("ids").alias("ids_md5"),
                       (bpe.bpe_decode("ids", m) == F.col("text")).alias("roundtrip"))
 
 
-@register("bpe_token_stats")
+def _fixed_stats_sql() -> str:
+    bpe_tok = f"""tok AS (
+  SELECT 'bpe' AS tokenizer, doc_id, pos, text, {_fixed_tokens_sql('text')} AS tokens FROM d),
+counted AS ("""
+    sql = _TOK_SQL[:_TOK_SQL.index("tok AS (")] + bpe_tok + _TOK_SQL[_TOK_SQL.index("counted AS (") + len("counted AS ("):]
+    old = f"(VALUES ('byte', {BYTE_VOCAB_SIZE}), ('char', {CHAR_VOCAB_SIZE}))"
+    assert old in sql
+    return sql.replace(old, f"(VALUES ('bpe', {256 + len(FIXED_STRINGS)}))") + "\nSELECT * FROM stats"
+
+
+@register("bpe_token_stats", _fixed_stats_sql())
 def q_bpe_token_stats(spark, sf_dir):
-    m = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    m = _fixed_merges()
     d = _analysis_docs(spark, sf_dir)
     tok = d.select(F.lit("bpe").alias("tokenizer"), "doc_id", "pos", "text",
                    bpe.bpe_encode_col("text", m).alias("tokens"))
-    sizes = spark.createDataFrame([("bpe", BPE_VOCAB)], "tokenizer string, vocab_size long")
-    # second figure: use of the ids the greedy encoder can emit at all
-    reachable = len(bpe.reachable_ids(m))
-    out = tokstats.analyze(tok, sizes).withColumn("reachable_ids", F.lit(reachable))
-    out = out.withColumn("reachable_utilization",
-                         F.col("unique_tokens_used") / F.lit(float(reachable)) * 100.0)
-    return round_metrics(out)
+    sizes = spark.createDataFrame([("bpe", 256 + len(m))], "tokenizer string, vocab_size long")
+    return round_metrics(tokstats.analyze(tok, sizes))
 
 
 # ---------------------------------------------------------------------------
@@ -697,7 +762,7 @@ FROM c JOIN t USING (model)"""
 
 @register("typo_robustness", _typo_sql())
 def q_typo_robustness(spark, sf_dir):
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
     models = [MODELS["byte-hashed"], MODELS["char-hashed"]]
     qtext = aligned.join(qs.select("query_id"), "query_id")
     clean = round_metrics(jobs.evaluate(kept, qtext, qr, models))
@@ -728,13 +793,13 @@ WP_VOCAB = 2000
 @register("tokenizer_comparison")
 def q_tokenizer_comparison(spark, sf_dir):
     d = _analysis_docs(spark, sf_dir)
-    merges = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    merges = _fixed_merges()
     vocab = wordpiece.build_vocab(d, "text", WP_VOCAB)
     toks = {
         "byte": (lambda c: byte_tokens(c), BYTE_VOCAB_SIZE),
         "char": (lambda c: char_tokens(c), CHAR_VOCAB_SIZE),
-        "bpe": (lambda c: bpe.bpe_encode_col(c, merges), BPE_VOCAB),
-        "bpe-ranked": (lambda c: bpe.bpe_encode_ranked_col(c, merges), BPE_VOCAB),
+        "bpe": (lambda c: bpe.bpe_encode_col(c, merges), 256 + len(merges)),
+        "bpe-ranked": (lambda c: bpe.bpe_encode_ranked_col(c, merges), 256 + len(merges)),
         "wordpiece": (lambda c: wordpiece.wordpiece_tokens(c, vocab), len(vocab)),
     }
     stats, _ = jobs.analyze_tokenizers(d, toks)
@@ -752,12 +817,12 @@ def q_wordpiece_frequency(spark, sf_dir):
 
 @register("word2vec_metrics")
 def q_word2vec_metrics(spark, sf_dir):
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
     qtext = aligned.join(qs.select("query_id"), "query_id")
-    asked = jobs.test_queries(qtext).persist()
+    asked = jobs.test_queries(qtext).checkpoint()
     words = kept.select("doc_id", wordpiece.basic_words(
         jobs.content_for_embedding("title", "text")).alias("words"))
-    model = vectorize.fit_word2vec(words, "words", dim=64, min_count=1, seed=42, max_iter=1)
+    model = vectorize.fit_word2vec(words, "words", dim=64, min_count=5, seed=42, max_iter=5)
     doc_vecs = vectorize.embed_word2vec(model, words)
     q_vecs = vectorize.embed_word2vec(
         model, asked.select("query_id", wordpiece.basic_words("text").alias("words")))
@@ -765,13 +830,16 @@ def q_word2vec_metrics(spark, sf_dir):
     return round_metrics(jobs.score_hits(hits, qr, asked, "word2vec"))
 
 
+PCA_WIDTH = 32  # half the width of the given vectors (64)
+
+
 @register("pca_reduce")
 def q_pca_reduce(spark, sf_dir):
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     emb = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    model = PCA(k=16, inputCol="v", outputCol="p").fit(emb)
+    model = PCA(k=PCA_WIDTH, inputCol="v", outputCol="p").fit(emb)
     return model.transform(emb).select("vec_id", vector_to_array("p").alias("embedding"))
 
 
@@ -784,7 +852,7 @@ def q_lm_generate_batch(spark, sf_dir):
     seeds = test_queries(spark, sf_dir).select(
         F.col("query_id").alias("doc_id"),
         F.filter(byte_tokens("text"), lambda t: t != 1).alias("tokens"))  # drop the end mark
-    gen = lm.lm_generate_batch(seeds, counts, LM_VOCAB, length=50, top_k=20)
+    gen = lm.lm_generate_batch(seeds, counts, LM_VOCAB, new_tokens=50, top_k=20)
     return gen.select(F.col("doc_id").alias("query_id"), F.size("generated").alias("n_tokens"),
                       byte_decode("generated").alias("text"))
 
@@ -792,6 +860,21 @@ def q_lm_generate_batch(spark, sf_dir):
 from ..functions.tokens import byte_decode  # noqa: E402
 
 
+@register("lm_generate_greedy", "WITH RECURSIVE " + _LM_DOCS_SQL + f""",
+best AS (SELECT ctx, arg_min(tok, (-cnt, tok)) AS nxt FROM train_counts GROUP BY ctx),
+seeds AS (SELECT item_id AS query_id, {TOKENS_SQL['byte'].format(t="text")} AS t FROM benchmark),
+g AS (SELECT query_id, 0 AS step, CASE WHEN len(t) > 1 THEN t[len(t) - 1] ELSE 0 END AS last FROM seeds
+      UNION ALL
+      SELECT g.query_id, step + 1, coalesce(b.nxt, 0) FROM g LEFT JOIN best b ON b.ctx = g.last WHERE step < 20)
+SELECT query_id, string_agg(last::VARCHAR, ',' ORDER BY step) AS tokens FROM g WHERE step > 0 GROUP BY query_id""")
+def q_lm_generate_greedy(spark, sf_dir):
+    """The 20 tokens that follow each passage when the likeliest is taken."""
+    counts = lm.ngram_counts(_lm_docs(spark, sf_dir).where(F.col("split") == "train"), "tokens")
+    seeds = test_queries(spark, sf_dir).select("query_id", F.filter(byte_tokens("text"), lambda t: t != 1).alias("tokens"))
+    gen = lm.lm_generate_batch(seeds, counts, LM_VOCAB, key="query_id", new_tokens=20, top_k=1)
+    return gen.select("query_id", F.array_join(F.slice("generated", -20, 20).cast("array<string>"), ",").alias("tokens"))
+
+
 # ---------------------------------------------------------------------------
 # Token statistics per text source: prose (documents), markup (pages) and
 # dialogue (conversations), byte and character tokenizers.
@@ -852,12 +935,12 @@ def q_retrieval_all_models(spark, sf_dir):
     on the test passages in one job; one row per model."""
     from .registry import Model, Tokenizer, bpe_tokenizer
 
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir)
-    merges = bpe.merges_dict(_bpe_merges(spark, sf_dir))
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
+    merges = _fixed_merges()
     vocab = wordpiece.build_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
     wp = Tokenizer("wordpiece", len(vocab), lambda c: wordpiece.wordpiece_tokens(c, vocab))
     models = [MODELS["byte-hashed"], MODELS["char-hashed"],
-              Model("bpe-hashed", bpe_tokenizer("bpe", merges, BPE_VOCAB)),
+              Model("bpe-hashed", bpe_tokenizer("bpe", merges, 256 + len(merges))),
               Model("wordpiece-hashed", wp)]
     qtext = aligned.join(qs.select("query_id"), "query_id")
     return round_metrics(jobs.evaluate(kept, qtext, qr, models))

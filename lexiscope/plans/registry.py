@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 
+from ..functions.text import truncate_tokens
 from ..functions.tokens import BYTE_VOCAB_SIZE, CHAR_VOCAB_SIZE, byte_tokens, char_tokens
 
 
@@ -20,12 +21,11 @@ class Tokenizer:
     vocab_size: int
     column_fn: Callable[[Column], Column]
     max_length: int | None = None
+    end_marks: int = 0  # special tokens behind the text, kept by truncation
 
     def tokens(self, text: Column) -> Column:
-        from pyspark.sql import functions as F
-
         t = self.column_fn(text)
-        return F.slice(t, 1, self.max_length) if self.max_length else t
+        return truncate_tokens(t, self.max_length, self.end_marks) if self.max_length else t
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,8 @@ class Model:
 # Token limits of the reference's embedders: 512 for byte / subword models and
 # 2048 for the character model. Off by default here (whole texts); set
 # ``max_length`` to reproduce the truncation.
-BYTE = Tokenizer("byte", BYTE_VOCAB_SIZE, lambda c: byte_tokens(c))
-CHAR = Tokenizer("char", CHAR_VOCAB_SIZE, lambda c: char_tokens(c))
+BYTE = Tokenizer("byte", BYTE_VOCAB_SIZE, lambda c: byte_tokens(c), end_marks=1)
+CHAR = Tokenizer("char", CHAR_VOCAB_SIZE, lambda c: char_tokens(c), end_marks=1)
 
 MODELS: dict[str, Model] = {
     "byte-hashed": Model("byte-hashed", BYTE),

@@ -4,7 +4,7 @@
                 ``source`` plays the title;
 * queries     = ``benchmark``: ``item_id`` is the id and the order;
 * judgments   = (item, document) pairs where the document text contains the
-                item text (derived with a multi-pattern scan, see
+                item text (derived by anchors, see
                 :func:`qrels_by_containment`);
 * vectors     = ``embeddings`` (``vec_id``, 64 floats, ``label``).
 """
@@ -16,15 +16,10 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Upper bound of pattern text shipped to every executor in one scan.
-DEFAULT_PATTERN_BYTES = 64 << 20
-
-
 # Tables whose rows carry long texts: per-row work (tokenizing, scanning) is
 # heavy, so the scan's splits are spread over the cores when there are fewer
 # splits than cores.
@@ -59,65 +54,45 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("query_id"), F.col("text"), F.col("item_id").alias("pos"))
 
 
-def _containment_fn(bc, doc_col, text_col):
-    def run(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        patterns = bc.value
-        if not patterns:
-            return
-        auto = ahocorasick.Automaton()
-        for text, ids in patterns.items():
-            auto.add_word(text, ids)
-        auto.make_automaton()
-        for rb in batches:
-            q_out, d_out = [], []
-            for did, text in zip(rb.column(doc_col).to_pylist(), rb.column(text_col).to_pylist()):
-                if not text:
-                    continue
-                found = set()
-                for _, ids in auto.iter(text):
-                    found.update(ids)
-                q_out.extend(found)
-                d_out.extend([did] * len(found))
-            if q_out:
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_out, pa.int64()),
-                                                  "doc_id": pa.array(d_out, pa.int64())})
-
-    return run
+# Consecutive parts (between spaces) of an item that anchor it.
+ANCHOR = 3
+# Items without an anchor are compared with every document so many at a time.
+SHORT_ITEMS = 500
 
 
 def qrels_by_containment(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                          doc_text: str = "text", item_id: str = "query_id",
-                         item_text: str = "text",
-                         max_pattern_bytes: int = DEFAULT_PATTERN_BYTES) -> DataFrame:
+                         item_text: str = "text") -> DataFrame:
     """(query_id, doc_id) for every document whose text contains the item text.
 
-    Items are the small side: their texts are shipped to executors in chunks of
-    checked size and every document is scanned once per chunk with an
-    Aho-Corasick automaton, so the work is linear in the document text and no
-    item x document pairs are formed. Empty item texts are skipped (they would
-    match every document).
+    Where an item lies in a document, all its parts between spaces but the first
+    and last are parts of the document. So the hash of the ``ANCHOR`` parts
+    behind its first is joined with the hashes of all such runs of the
+    documents, and ``contains`` checks the candidates. Items with fewer parts
+    are few words long; they are compared with every document in groups of a
+    fixed number. Empty and null item texts are skipped (an empty one would
+    match every document). Ids keep their type.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("long").alias("_id"),
-                         F.col(item_text).alias("_t")).where(F.length("_t") > 0)
-    total = items.agg(F.sum(F.octet_length("_t")).alias("b")).collect()[0]["b"] or 0
-    n_chunks = max(1, math.ceil(total / max_pattern_bytes))
-    d = docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(doc_text).alias(doc_text))
-    schema = T.StructType([T.StructField("query_id", T.LongType()),
-                           T.StructField("doc_id", T.LongType())])
-    out = None
-    for c in range(n_chunks):
-        chunk = items if n_chunks == 1 else items.where(
-            F.pmod(F.xxhash64("_id"), F.lit(n_chunks)) == c)
-        patterns: dict[str, list[int]] = {}
-        for row in chunk.collect():  # one chunk: bounded by max_pattern_bytes
-            patterns.setdefault(row["_t"], []).append(int(row["_id"]))
-        bc = spark.sparkContext.broadcast(patterns)
-        part = d.mapInArrow(_containment_fn(bc, doc_id, doc_text), schema)
-        out = part if out is None else out.unionByName(part)
+    items = items.select(F.col(item_id).alias("query_id"), F.col(item_text).alias("_t"),
+                         F.split(item_text, " ").alias("_w")).where(F.length("_t") > 0)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_text"))
+    anchored = items.where(F.size("_w") >= ANCHOR + 2)
+    key = F.xxhash64(*[F.col("_w")[i + 1] for i in range(ANCHOR)])
+    words = d.select("doc_id", F.split("_text", " ").alias("_w")).where(F.size("_w") >= ANCHOR)
+    runs = words.select("doc_id", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.size("_w") - ANCHOR),
+        lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(ANCHOR)])))).alias("_k"))
+    near = runs.join(anchored.select("query_id", key.alias("_k")), "_k").select("doc_id", "query_id")
+    out = near.join(d, "doc_id").join(anchored.select("query_id", "_t"), "query_id") \
+        .where(F.contains("_text", "_t")).select("query_id", "doc_id").distinct()
+
+    short = items.where(F.size("_w") < ANCHOR + 2).select("query_id", "_t")
+    n = math.ceil(short.count() / SHORT_ITEMS)
+    for part in range(n):
+        few = short.where(F.pmod(F.xxhash64("query_id", "_t"), F.lit(n)) == part).collect()
+        known = F.array(*[F.struct(F.lit(r["query_id"]).alias("q"), F.lit(r["_t"]).alias("t")) for r in few])
+        hits = d.select("doc_id", F.explode(F.filter(known, lambda k: F.contains(F.col("_text"), k["t"]))).alias("_h"))
+        out = out.unionByName(hits.select(F.col("_h.q").alias("query_id"), "doc_id").distinct())
     return out
 
 
