@@ -183,13 +183,13 @@ def buckets(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     leaves = None
     for depth in range(1, DEPTH + 1):
         sizes = grown.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
-        sized = grown.join(sizes, "path").checkpoint()
+        sized = grown.join(sizes.hint("shuffle_hash"), "path").checkpoint()
         done = sized if depth == DEPTH else sized.where(F.col("members") <= BUCKET)
         leaves = done if leaves is None else leaves.unionByName(done)
         large = sized.where(F.col("members") > BUCKET)
         if depth == DEPTH or large.isEmpty():
             break
-        grown = _step(large.join(classes.select("node", "sig"), "node"), threshold)
+        grown = _step(large.join(classes.select("node", "sig").hint("shuffle_hash"), "node"), threshold)
     return leaves
 
 
@@ -251,7 +251,7 @@ def _bucket_links(leaves: DataFrame, classes: DataFrame, threshold: float) -> Da
     """Stars (first, node) over the classes that may reach the threshold."""
     least = COORDINATES * threshold - 5 * math.sqrt(COORDINATES * threshold * (1 - threshold))
     rows = into_blocks(leaves, "path", F.ceil(F.col("members") / F.lit(BLOCK)))
-    rows = rows.join(classes.select("node", "sig"), "node").select("path", "a", "b", "own", "node", "sig")
+    rows = rows.join(classes.select("node", "sig").hint("shuffle_hash"), "node").select("path", "a", "b", "own", "node", "sig")
     rows = rows.repartition("path", "a", "b").sortWithinPartitions("path", "a", "b", "node")
 
     def compare(batches):
@@ -311,7 +311,7 @@ def _exact(docs: DataFrame, members: DataFrame, threshold: float, words: int) ->
         .withColumn("th", F.xxhash64("text")).withColumn("no_id", F.col("id").isNull()) \
         .withColumn("id", F.coalesce("id", F.lit(0)))
     rows = members.withColumn("no_id", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0)))
-    found = texts.join(rows, ["id", "no_id", "th"]).select("text", "node", "check", "size", "group", "members", "shingles")
+    found = texts.join(rows.hint("shuffle_hash"), ["id", "no_id", "th"]).select("text", "node", "check", "size", "group", "members", "shingles")
 
     def make(part: pa.RecordBatch):
         sets = shingle_sets(*utf8(part.column(0)), words)
@@ -371,22 +371,22 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         .select("node", "check", "size", "n", "first.id", "first.th", "sig").checkpoint()
 
     near = connected_components(_bucket_links(buckets(classes, threshold, recall), classes, threshold))
-    totals = near.join(classes.select("node", "n"), "node").groupBy("group") \
-        .agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    members = near.join(totals, "group").join(classes.drop("sig", "n"), "node")
+    near = near.join(classes.drop("sig").hint("shuffle_hash"), "node").checkpoint()
+    totals = near.groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    members = near.drop("n").join(totals.hint("shuffle_hash"), "group")
     exact = _exact(docs, members, threshold, words).checkpoint()
     split = exact.where("not alone and root != node").select(F.col("root").alias("src"), F.col("node").alias("dst"))
     joined = connected_components(split.distinct()).select("node", F.col("group").alias("wide"))
     groups = exact.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("root")) \
-        .join(joined, "node", "left") \
+        .join(joined.hint("shuffle_hash"), "node", "left") \
         .select("node", "links", F.coalesce("wide", "root").alias("group"))
 
-    known = classes.select("node", "check", "size", rank.alias("first")).join(groups, "node", "left") \
+    known = classes.select("node", "check", "size", rank.alias("first")).join(groups.hint("shuffle_hash"), "node", "left") \
         .withColumn("group", F.coalesce("group", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
     smallest = known.groupBy("group").agg(F.min("first").alias("head"))
-    known = known.join(smallest, "group").select("node", "check", "size", "links", "head")
+    known = known.join(smallest.hint("shuffle_hash"), "group").select("node", "check", "size", "links", "head")
     alone = F.col("n") == 0
-    return sets.drop("sig").join(known, ["node", "check"], "left").select(
+    return sets.drop("sig").join(known.hint("shuffle_hash"), ["node", "check"], "left").select(
         F.col("id").alias("doc_id"), F.col("th").alias("text_hash"),
         F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
         F.when(alone, F.col("th")).otherwise(F.col("head.th")).alias("class_hash"),
