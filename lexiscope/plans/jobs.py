@@ -13,8 +13,8 @@ from ..operators import prep
 from ..operators.metrics import (DEFAULT_KS, average_metrics, match_relevant, per_query_metrics,
                                  relevant_counts)
 from ..operators.ordering import split_by_position
-from ..operators.retrieve import topk_cosine
-from ..operators.vectorize import embed_hashed, fit_idf, hashed_tf
+from ..operators.retrieve import topk_cosine, topk_cosine_models
+from ..operators.vectorize import embed_hashed, fit_idf, hashed_tf, hashed_vector
 from ..session import checkpoint_dir
 from .registry import Model
 
@@ -77,22 +77,23 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
              ks=DEFAULT_KS, val_ratio: float = 0.5) -> DataFrame:
     """Retrieval quality of every model on the test part of ``queries``:
     one row per model with ``num_queries, mrr, recall_at_k, precision_at_k``
-    and ``dim``. All models are averaged by one ``groupBy(model)``."""
-    # the evaluated queries are few and read by every model: written once
+    and ``dim``. One pass over the corpus fits the idf of all models, one makes
+    the vectors of all models and searches them."""
+    # the evaluated queries are few and read several times: written once
     checkpoint_dir(corpus.sparkSession)
-    queries, corpus = queries.checkpoint(), corpus.checkpoint()
     asked = test_queries(queries, val_ratio).checkpoint()
-    n_rel = relevant_counts(qrels)
     idfs = fit_idfs(corpus, models)
-    per_query = None
-    for m in models:
-        doc_vecs, idf = embed_corpus(corpus, m, idf=idfs[m.name])
-        q_vecs = embed_queries(asked, m, idf)
-        hits = topk_cosine(q_vecs, doc_vecs, max(ks))
-        flagged = match_relevant(hits, qrels)
-        pq = per_query_metrics(flagged, n_rel, asked.select("query_id"), ks)
-        pq = pq.withColumn("model", F.lit(m.name)).withColumn("dim", F.lit(m.dim))
-        per_query = pq if per_query is None else per_query.unionByName(pq)
+    content = content_for_embedding("title", "text")
+
+    def vectors(text):
+        return [hashed_vector(m.tokenizer.tokens(text), m.dim, m.ngram, idfs[m.name]).alias(m.name) for m in models]
+
+    hits = topk_cosine_models(asked.select("query_id", *vectors(F.col("text"))),
+                              corpus.select("doc_id", *vectors(content)), [m.name for m in models], max(ks))
+    names = F.array(*[F.struct(F.lit(m.name).alias("model"), F.lit(m.dim).alias("dim")) for m in models])
+    each = asked.select("query_id", F.explode(names).alias("m")).select("query_id", "m.model", "m.dim")
+    per_query = per_query_metrics(match_relevant(hits, qrels).join(each, ["query_id", "model"]), relevant_counts(qrels),
+                                  each, ks, group_cols=("model", "dim"))
     return average_metrics(per_query, ks, group_cols=("model", "dim"))
 
 
