@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from .tokstats import token_pair_counts
+
 LN2 = math.log(2.0)
 
 
@@ -42,20 +44,9 @@ def lm_windows(seqs: DataFrame, tokens: str = "tokens", seq_length: int = 128,
         F.slice(tokens, F.col("start") + 2, seq_length).alias("target"))
 
 
-def _pairs(seqs: DataFrame, tokens: str, keys=()) -> DataFrame:
-    t = F.col(tokens)
-    n = F.size(t)
-    z = F.arrays_zip(F.slice(t, 1, n - 1).alias("ctx"), F.slice(t, 2, n - 1).alias("tok"))
-    # no filter on the token column and explode_outer: either would evaluate
-    # an upstream Python tokenizer twice
-    return (seqs.select(*keys, F.explode_outer(F.when(n >= 2, z)).alias("_p"))
-            .where(F.col("_p").isNotNull())
-            .select(*keys, F.col("_p.ctx").alias("ctx"), F.col("_p.tok").alias("tok")))
-
-
 def ngram_counts(seqs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Bigram counts ``ctx, tok, cnt`` (partial aggregation per task)."""
-    return _pairs(seqs, tokens).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("cnt"))
+    """Bigram counts ``ctx, tok, cnt``, combined per Arrow batch and per task."""
+    return token_pair_counts(seqs, tokens).withColumnsRenamed({"left": "ctx", "right": "tok"})
 
 
 def ngram_prob(counts: DataFrame, vocab_size: int, alpha: float = 0.1) -> DataFrame:
@@ -67,12 +58,12 @@ def ngram_prob(counts: DataFrame, vocab_size: int, alpha: float = 0.1) -> DataFr
                                           (F.lit(alpha) / total).alias("p_unseen"))
 
 
-def lm_eval(train_counts: DataFrame, eval_pairs: DataFrame, vocab_size: int,
+def lm_eval(train_counts: DataFrame, eval_counts: DataFrame, vocab_size: int,
             alpha: float = 0.1, chars: DataFrame | None = None) -> DataFrame:
     """Loss (mean negative log-likelihood per predicted token), perplexity,
     bits per token (= loss / ln 2, the reference's coded value) and, given the
     character count of the evaluated text, bits per character."""
-    agg = eval_pairs.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n"))
+    agg = eval_counts.withColumnRenamed("cnt", "n")
     ctx = train_counts.groupBy("ctx").agg(F.sum("cnt").alias("ctx_cnt"))
     j = (agg.join(train_counts, ["ctx", "tok"], "left")
          .join(ctx, "ctx", "left")
@@ -102,11 +93,11 @@ def _with_chars(res: DataFrame, chars: DataFrame) -> DataFrame:
                           F.col("sum_nll") / (F.lit(LN2) * F.col("_chars"))).drop("_chars")
 
 
-def lm_select(train_counts: DataFrame, eval_pairs: DataFrame, vocab_size: int,
+def lm_select(train_counts: DataFrame, eval_counts: DataFrame, vocab_size: int,
               alphas=(0.01, 0.1, 1.0)) -> DataFrame:
     """Validation loss for every smoothing value in one job and the value
     with the lowest loss (strict: the first of equal losses in grid order)."""
-    agg = eval_pairs.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n"))
+    agg = eval_counts.withColumnRenamed("cnt", "n")
     ctx = train_counts.groupBy("ctx").agg(F.sum("cnt").alias("ctx_cnt"))
     j = (agg.join(train_counts, ["ctx", "tok"], "left").join(ctx, "ctx", "left")
          .select("n", F.coalesce("cnt", F.lit(0)).alias("c"),

@@ -75,6 +75,14 @@ def _partial_counts_fn(tokens, group_cols, weight, order, pairs):
             n_rows = rb.num_rows
             if n_rows == 0:
                 continue
+            if pairs and not group_cols:
+                w = (np.asarray(rb.column(weight).to_numpy(zero_copy_only=False), dtype=np.float64)
+                     if weight else None)
+                pos = np.asarray(rb.column(order).to_numpy(zero_copy_only=False), dtype=np.int64) if order else None
+                found = pair_count_arrays(arr, w, pos)
+                names = ["left", "right", "cnt"] + ["first_pos", "first_idx"] * bool(order)
+                yield pa.RecordBatch.from_pydict({c: pa.array(found[c]) for c in names})
+                continue
             valid = np.asarray(arr.is_valid())
             vals = np.asarray(arr.flatten().fill_null(0), dtype=np.int64)
             offs = np.asarray(arr.offsets, dtype=np.int64)
@@ -227,10 +235,11 @@ def distinct_tokens(tokenized: DataFrame, tokens: str = "tokens",
 
 def vocab_utilization(tokenized: DataFrame, vocab_sizes: DataFrame, tokens: str = "tokens",
                       group: str = "tokenizer") -> DataFrame:
-    """``vocab_size, unique_tokens_used, total_tokens, vocab_utilization`` (%)."""
-    totals = tokenized.groupBy(group).agg(F.sum(F.size(tokens)).cast("long").alias("total_tokens"))
-    return (vocab_sizes.join(distinct_tokens(tokenized, tokens, group), group)
-            .join(totals, group)
+    """``vocab_size, unique_tokens_used, total_tokens, vocab_utilization`` (%),
+    from one pass over the tokens."""
+    used = (partial_token_counts(tokenized, tokens, [group]).groupBy(group, "token").agg(F.sum("cnt").alias("cnt"))
+            .groupBy(group).agg(F.count(F.lit(1)).alias("unique_tokens_used"), F.sum("cnt").alias("total_tokens")))
+    return (vocab_sizes.join(used, group)
             .select(group, "vocab_size", "unique_tokens_used", "total_tokens",
                     (F.col("unique_tokens_used") / F.col("vocab_size") * 100.0)
                     .alias("vocab_utilization")))

@@ -578,7 +578,7 @@ def q_lm_eval(spark, sf_dir):
     d = _lm_docs(spark, sf_dir)
     counts = lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
     test = d.where(F.col("split") == "test")
-    pairs = lm._pairs(test, "tokens")
+    pairs = lm.ngram_counts(test, "tokens")
     res = lm.lm_eval(counts, pairs, LM_VOCAB, ALPHA,
                      chars=test.select(F.length("text").alias("n_chars")))
     return round_metrics(res)
@@ -597,7 +597,7 @@ SELECT grid_idx, alpha::DOUBLE AS alpha, round(loss, 6) AS loss,
 def q_lm_select(spark, sf_dir):
     d = _lm_docs(spark, sf_dir)
     counts = lm.ngram_counts(d.where(F.col("split") == "train"), "tokens")
-    pairs = lm._pairs(d.where(F.col("split") == "validation"), "tokens")
+    pairs = lm.ngram_counts(d.where(F.col("split") == "validation"), "tokens")
     res = lm.lm_select(counts, pairs, LM_VOCAB, ALPHAS)
     return round_metrics(res.select(F.col("grid_idx").cast("int"), "alpha", "loss", "best_alpha"))
 
