@@ -54,11 +54,17 @@ def fit_idfs(corpus: DataFrame, models: list[Model], *, title: str = "title",
 
 def embed_corpus(corpus: DataFrame, model: Model, *, doc_id: str = "doc_id",
                  title: str = "title", text: str = "text", idf=None):
-    """(vectors, idf): one row per document with ``embedding`` of width
-    ``model.dim``; the idf is fitted on this corpus unless given."""
+    """(vectors, state): one row per document with ``embedding`` of width
+    ``model.dim``; the state (the idf, or what the model's own vectorizer fits)
+    comes from this corpus unless given as ``idf``."""
     tok = corpus.select(F.col(doc_id).alias("doc_id"), F.col(title).alias("title"),
                         F.col(text).alias("text"),
                         model.tokenizer.tokens(content_for_embedding(title, text)).alias("tokens"))
+    if model.vectorizer is not None:
+        tok = tok.withColumnRenamed("text", "_own").withColumn("text", content_for_embedding("title", "_own"))
+        state = model.vectorizer.fit(tok) if idf is None else idf
+        vecs = model.vectorizer.transform(tok, state).drop("tokens", "text")
+        return vecs.withColumnRenamed("_own", "text"), state
     if model.use_idf and idf is None:
         _, idf = fit_idf(tok.select(hashed_tf("tokens", model.dim, model.ngram).alias("tf")), "tf")
     vecs = embed_hashed(tok, "tokens", model.dim, model.ngram, use_idf=model.use_idf, idf=idf)
@@ -67,8 +73,11 @@ def embed_corpus(corpus: DataFrame, model: Model, *, doc_id: str = "doc_id",
 
 def embed_queries(queries: DataFrame, model: Model, idf, *, query_id: str = "query_id",
                   text: str = "text") -> DataFrame:
-    tok = queries.select(F.col(query_id).alias("query_id"),
+    tok = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text"),
                          model.tokenizer.tokens(F.col(text)).alias("tokens"))
+    if model.vectorizer is not None:
+        return model.vectorizer.transform(tok, idf).drop("tokens", "text")
+    tok = tok.drop("text")
     return embed_hashed(tok, "tokens", model.dim, model.ngram, use_idf=model.use_idf,
                         idf=idf).drop("tokens")
 
@@ -77,19 +86,30 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
              ks=DEFAULT_KS, val_ratio: float = 0.5) -> DataFrame:
     """Retrieval quality of every model on the test part of ``queries``:
     one row per model with ``num_queries, mrr, recall_at_k, precision_at_k``
-    and ``dim``. One pass over the corpus fits the idf of all models, one makes
-    the vectors of all models and searches them."""
+    and ``dim``. One pass over the corpus fits the idf of all hashed models, one
+    makes their vectors and searches them; a model with a vectorizer of its own
+    is fitted and searched by itself."""
     # the evaluated queries are few and read several times: written once
     checkpoint_dir(corpus.sparkSession)
     asked = test_queries(queries, val_ratio).checkpoint()
-    idfs = fit_idfs(corpus, models)
-    content = content_for_embedding("title", "text")
+    hashed = [m for m in models if m.vectorizer is None]
+    parts = []
+    if hashed:
+        idfs = fit_idfs(corpus, hashed)
 
-    def vectors(text):
-        return [hashed_vector(m.tokenizer.tokens(text), m.dim, m.ngram, idfs[m.name]).alias(m.name) for m in models]
+        def vectors(text):
+            return [hashed_vector(m.tokenizer.tokens(text), m.dim, m.ngram, idfs[m.name]).alias(m.name) for m in hashed]
 
-    hits = topk_cosine_models(asked.select("query_id", *vectors(F.col("text"))),
-                              corpus.select("doc_id", *vectors(content)), [m.name for m in models], max(ks))
+        parts.append(topk_cosine_models(asked.select("query_id", *vectors(F.col("text"))),
+                                        corpus.select("doc_id", *vectors(content_for_embedding("title", "text"))),
+                                        [m.name for m in hashed], max(ks)))
+    for m in models:
+        if m.vectorizer is not None:
+            doc_vecs, state = embed_corpus(corpus, m)
+            parts.append(topk_cosine(embed_queries(asked, m, state), doc_vecs, max(ks)).withColumn("model", F.lit(m.name)))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
     names = F.array(*[F.struct(F.lit(m.name).alias("model"), F.lit(m.dim).alias("dim")) for m in models])
     each = asked.select("query_id", F.explode(names).alias("m")).select("query_id", "m.model", "m.dim")
     per_query = per_query_metrics(match_relevant(hits, qrels).join(each, ["query_id", "model"]), relevant_counts(qrels),

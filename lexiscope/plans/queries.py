@@ -818,16 +818,7 @@ def q_wordpiece_frequency(spark, sf_dir):
 @register("word2vec_metrics")
 def q_word2vec_metrics(spark, sf_dir):
     docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
-    qtext = aligned.join(qs.select("query_id"), "query_id")
-    asked = jobs.test_queries(qtext).checkpoint()
-    words = kept.select("doc_id", wordpiece.basic_words(
-        jobs.content_for_embedding("title", "text")).alias("words"))
-    model = vectorize.fit_word2vec(words, "words", dim=64, min_count=5, seed=42, max_iter=5)
-    doc_vecs = vectorize.embed_word2vec(model, words)
-    q_vecs = vectorize.embed_word2vec(
-        model, asked.select("query_id", wordpiece.basic_words("text").alias("words")))
-    hits = topk_cosine(q_vecs, doc_vecs, max(DEFAULT_KS))
-    return round_metrics(jobs.score_hits(hits, qr, asked, "word2vec"))
+    return round_metrics(jobs.evaluate(kept, aligned, qr, [MODELS["word2vec"]]).drop("dim"))
 
 
 PCA_WIDTH = 32  # half the width of the given vectors (64)
@@ -933,14 +924,10 @@ def q_retrieval_all_models(spark, sf_dir):
     """The reference's results table: every tokenizer (byte, character,
     trained BPE, corpus WordPiece) with the same hashed vectorizer, evaluated
     on the test passages in one job; one row per model."""
-    from .registry import Model, Tokenizer, bpe_tokenizer
+    from .registry import bpe_model, wordpiece_model
 
     docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
-    merges = _fixed_merges()
     vocab = wordpiece.build_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
-    wp = Tokenizer("wordpiece", len(vocab), lambda c: wordpiece.wordpiece_tokens(c, vocab))
-    models = [MODELS["byte-hashed"], MODELS["char-hashed"],
-              Model("bpe-hashed", bpe_tokenizer("bpe", merges, 256 + len(merges))),
-              Model("wordpiece-hashed", wp)]
+    models = [MODELS["byte-hashed"], MODELS["char-hashed"], bpe_model(_fixed_merges()), wordpiece_model(vocab)]
     qtext = aligned.join(qs.select("query_id"), "query_id")
     return round_metrics(jobs.evaluate(kept, qtext, qr, models))

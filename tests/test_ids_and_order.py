@@ -177,3 +177,25 @@ def test_judgments_by_brute_force(spark):
                                         spark.createDataFrame(items, "query_id string, text string"))
     assert {tuple(r) for r in got.collect()} == {(q, d) for q, t in items if t for d, text in docs if t in text}
     assert got.count() == len({tuple(r) for r in got.collect()})
+
+
+def test_models_with_their_own_vectorizer(spark, tmp_path):
+    from lexiscope.plans.registry import WordVectors, external_model
+
+    def make():
+        return lambda texts: np.array([[t.count("a"), t.count("b"), 1.0] for t in texts], dtype=np.float32)
+
+    corpus = spark.createDataFrame([(f"d{i}", "t", ["a a", "b b"][i % 2] + " c" * (i // 2), i) for i in range(6)],
+                                   "doc_id string, title string, text string, pos int")
+    queries = spark.createDataFrame([(f"q{i}", ["a a", "b b"][i % 2], i) for i in range(4)], "query_id string, text string, pos int")
+    qrels = spark.createDataFrame([(f"q{i}", f"d{i % 2}") for i in range(4)], "query_id string, doc_id string")
+    words = Model("words", MODELS["word2vec"].tokenizer, dim=8, vectorizer=WordVectors(8, min_count=1))
+    models = [MODELS["byte-hashed"], words, external_model("own", make, 3)]
+    res = {r["model"]: r for r in jobs.evaluate(corpus, queries, qrels, models).collect()}
+    assert set(res) == {"byte-hashed", "words", "own"} and res["own"]["mrr"] == 1.0
+    assert all(r["num_queries"] == 2 for r in res.values())
+    assert jobs.embed_all_models(corpus, models, str(tmp_path / "v")) == {m.name: True for m in models}
+    table = spark.read.parquet(str(tmp_path / "v"))
+    assert {r["model"]: r["count"] for r in table.groupBy("model").count().collect()} == {m.name: 6 for m in models}
+    assert {tuple(r) for r in table.where("model = 'own'").select("id", "text").collect()} == \
+        {(r["doc_id"], r["text"]) for r in corpus.collect()}
