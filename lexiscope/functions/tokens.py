@@ -144,17 +144,6 @@ def char_tokens(c, special: bool = True) -> Column:
     return (_char_tokens_special if special else _char_tokens_raw)(_col(c))
 
 
-def char_tokens_native(c, special: bool = True) -> Column:
-    """The same ids with native expressions only (slower: the per-character
-    lambda is interpreted)."""
-    x = _col(c)
-    cps = F.when(F.length(x) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(x, ""), lambda ch: F.ascii(ch)))
-    if special:
-        cps = F.concat(F.array(F.lit(CHAR_CLS)), cps, F.array(F.lit(CHAR_SEP)))
-    return cps
-
-
 def byte_decode(ids) -> Column:
     """Byte-model ids -> text; special ids dropped, broken UTF-8 -> U+FFFD."""
     kept = F.filter(_col(ids), lambda i: (i >= BYTE_OFFSET) & (i < BYTE_OFFSET + 256))
@@ -162,12 +151,6 @@ def byte_decode(ids) -> Column:
     return F.make_valid_utf8(F.unhex(F.array_join(hexes, "")).cast("string"))
 
 
-def raw_bytes_decode(ids) -> Column:
-    """Raw byte values 0..255 -> text, broken UTF-8 -> U+FFFD."""
-    hexes = F.transform(_col(ids), lambda i: F.lpad(F.hex(i), 2, "0"))
-    return F.make_valid_utf8(F.unhex(F.array_join(hexes, "")).cast("string"))
-
-
 def char_decode(ids) -> Column:
     """Character-model ids -> text; special code points dropped."""
     kept = F.filter(_col(ids), lambda i: ~i.isin(*CHAR_SPECIALS))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_text as _clean
 from ..functions.text import content_for_embedding, flatten_newlines
 from ..operators.ordering import first_rows
+from ..operators.prep import require_id
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("_id", T.StringType()), T.StructField("title", T.StringType()),
@@ -56,7 +57,7 @@ def read_corpus_tolerant(spark: SparkSession, path: str, schema: T.StructType =
            .option("columnNameOfCorruptRecord", "_corrupt").json(path))
     bad = F.col("_corrupt").isNotNull()
     no_id = F.col("_id").isNull() | (F.col("_id") == "")
-    ok = _with_pos(raw).where(~bad & ~no_id).select(
+    ok = require_id(_with_pos(raw).where(~bad)).select(
         "_id", F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("text", F.lit("")).alias("text"), "pos")
     if not with_counts:

@@ -199,3 +199,33 @@ def test_models_with_their_own_vectorizer(spark, tmp_path):
     assert {r["model"]: r["count"] for r in table.groupBy("model").count().collect()} == {m.name: 6 for m in models}
     assert {tuple(r) for r in table.where("model = 'own'").select("id", "text").collect()} == \
         {(r["doc_id"], r["text"]) for r in corpus.collect()}
+
+
+def test_filtered_queries_come_back(spark, tmp_path):
+    rows = [("q1", "a b", ["d1", "d2"]), ("q2", "c", None)]
+    df = spark.createDataFrame(rows, "_id string, text string, `corpus-id` array<string>").coalesce(1)
+    io.write_filtered_jsonl(df, str(tmp_path / "q"))
+    got = io.read_filtered_queries(spark, str(tmp_path / "q")).orderBy("pos").drop("pos").collect()
+    assert [tuple(r) for r in got] == rows
+
+
+def test_one_query_and_vocabulary_dump(spark, tmp_path):
+    from lexiscope.operators import bpe
+
+    docs = spark.createDataFrame([("x", [1.0, 0.0]), ("w", [1.0, 0.0]), ("z", [0.6, 0.8]), ("o", [0.0, 0.0])],
+                                 "doc_id string, embedding array<double>")
+    got = retrieve.topk_single(docs, [1.0, 0.0], 3).collect()
+    assert [r["doc_id"] for r in got] == ["w", "x", "z"] and got[2]["distance"] == pytest.approx(0.4)
+    io.vocab_dump(bpe.bpe_vocab(spark, {(97, 98): 256}), str(tmp_path / "v"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "v")).collect()]
+    assert len(lines) == 257 and "97\t61" in lines and lines[-1] == "256\t6162"
+
+
+def test_statistics_table_as_csv(spark, tmp_path):
+    stats = spark.createDataFrame([("byte", 256, 80, 31.25, 10.0, 9.0, 1.5, 1.0, 1.0, 1.0)],
+                                  "tokenizer string, vocab_size int, unique_tokens_used int, vocab_utilization double, "
+                                  "avg_tokens_per_doc double, median_tokens_per_doc double, avg_tokens_per_word double, "
+                                  "avg_tokens_per_char double, avg_tokens_per_byte double, compression_ratio double")
+    io.token_stats_csv_write(stats, str(tmp_path / "s"))
+    (row,) = spark.read.option("header", True).csv(str(tmp_path / "s")).collect()
+    assert row["vocab_utilization"] == "31.25%" and row["avg_tokens_per_word"] == "1.500"
