@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from lexiscope.llm.arrow_rows import map_texts, rows_to, table
 
 PROFILE = 300
+BATCH_BYTES = 1 << 20  # an n-gram takes 16 bytes, a letter makes three, and they are sorted
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _EDGE = 1  # stands for the end of a word; no letter has this code point
@@ -82,7 +83,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]
                 [pa.array([lang] * len(values), pa.string()), pa.array(values, pa.int64()),
                  pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = rows_to(rows, "text", "lang string, gram long, n long", count) \
+    counts = rows_to(rows, "text", "lang string, gram long, n long", count, BATCH_BYTES) \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = counts.withColumn("rank", rank).where(F.col("rank") <= size)
@@ -141,7 +142,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
     return map_texts(docs, "text", [T.StructField(prefix + "lang_pred", T.StringType()),
-                                    T.StructField(prefix + "score", T.DoubleType())], predict, keep=keep)
+                                    T.StructField(prefix + "score", T.DoubleType())],
+                     predict, BATCH_BYTES, keep)
 
 
 def fold(docs: DataFrame, parts: int = 3):
