@@ -206,7 +206,8 @@ class Model:
 
     def worst(self, texts: list[str]) -> tuple[list[list[tuple[float, str]]], np.ndarray]:
         """The ``TOP`` units of the largest margins of each text, and the
-        features of its score: some of those margins between 0 and 1, and the
+        features of its score: some of those margins, up to 1 and from there to 5
+        (a machine's training asks for 1; far above it stand sure units), and the
         logarithm of the number of units."""
         cut = [units(t) for t in texts]
         every = {u for c in cut for u in c}
@@ -221,7 +222,8 @@ class Model:
         top = [nlargest(TOP, zip(map(get, c), c, strict=True)) for c in cut]
         margins = np.array([[m for m, _ in t] + [self.bias] * (TOP - len(t)) for t in top]).reshape(-1, TOP)
         size = np.log(np.maximum([len(c) for c in cut], 50.0)).reshape(-1, 1)
-        return top, np.hstack([np.clip(margins[:, [0, 1, 2, 4, 7]], 0, 1), size])
+        m = margins[:, [0, 1, 2, 4, 7]]
+        return top, np.hstack([np.clip(m, 0, 1), np.clip(m, 1, 5) - 1, size])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         _, x = self.worst(texts)
@@ -263,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     sample = sample.select("text", F.least(F.greatest("toxic", F.lit(0)), F.lit(1)).alias("toxic")).checkpoint()
     totals = sample.agg(F.sum("toxic").alias("up"), F.count("*").alias("n")).first()
     n_up, n_down = int(totals["up"] or 0), int(totals["n"]) - int(totals["up"] or 0)
-    flat = Model(np.zeros(FEATURES), 0.0, np.array([0.0] * 6 + [float(np.log((n_up + 0.5) / (n_down + 0.5)))]))
+    flat = Model(np.zeros(FEATURES), 0.0, np.array([0.0] * 11 + [float(np.log((n_up + 0.5) / (n_down + 0.5)))]))
     if not n_up or not n_down:
         return flat
     counts = unit_counts(sample).where(F.length("unit") > 2)
@@ -313,7 +315,7 @@ def train(good: dict[str, int], bad: list[str]) -> Model:
     w, bias = train_svm(x, y, weight)
     vector = np.zeros(FEATURES)
     vector[landmarks.features] = landmarks.rows.T @ (nystroem @ w)
-    return Model(vector, bias, np.zeros(7))
+    return Model(vector, bias, np.zeros(12))
 
 
 def pick_landmarks(good: list[str], bad: list[str], n: int = LANDMARKS) -> list[str]:
