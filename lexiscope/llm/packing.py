@@ -19,6 +19,7 @@ capacity as it can:
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from itertools import chain
@@ -37,6 +38,7 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_ENTRIES = 800_000
 SALT_ROWS = 2_000
+MARKS = string.punctuation
 _LOADED: dict = {}
 
 
@@ -62,33 +64,28 @@ class _Encoder:
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: list[str]) -> None:
-        """Letters with commas or points behind them are encoded a hundred
-        words at a time: each run of letters is one word of the tokenizer, and
-        a word's last id marks its end."""
-        marks = {p[len(p.rstrip(".,")):] for p in parts}
-        mark = dict(zip(marks, self._raw(list(marks)), strict=True))
-        stems = {p.rstrip(".,") for p in parts}
-        words = [s for s in stems if s.isalpha()]
-        ids = {}
+        """Letters with ASCII marks behind them are two words of the tokenizer,
+        the letters and the marks; the letters are encoded a hundred words at a
+        time, and a word's last id marks its end."""
+        known, rest, split = self.known, [], []
+        for p in parts:
+            stem = p.rstrip(MARKS)
+            if stem.isalpha():
+                split.append((p, stem, p[len(stem):]))
+            else:
+                rest.append(p)
+        words = list({stem for _, stem, _ in split}.difference(known))
+        rest += {m for _, _, m in split}.difference(known, rest)
+        known.update(zip(rest, self._raw(rest), strict=True))
         for i in range(0, len(words), 20_000):
             groups = [words[j:j + 100] for j in range(i, min(i + 20_000, len(words)), 100)]
             for group, raw in zip(groups, self._raw([" ".join(g) for g in groups]), strict=True):
-                ends = (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1) * 4
+                ends = ((np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
                 if len(ends) != len(group):
-                    ids.update(zip(group, self._raw(group), strict=True))
+                    known.update(zip(group, self._raw(group), strict=True))
                     continue
-                at = 0
-                for word, end in zip(group, ends.tolist(), strict=True):
-                    ids[word] = raw[at:end]
-                    at = end
-        rest = []
-        for p in parts:
-            stem = p.rstrip(".,")
-            if stem in ids:
-                self.known[p] = ids[stem] + mark[p[len(stem):]]
-            else:
-                rest.append(p)
-        self.known.update(zip(rest, self._raw(rest), strict=True))
+                known.update((w, raw[s:e]) for w, s, e in zip(group, [0, *ends[:-1]], ends, strict=True))
+        known.update((p, known[stem] + known[marks]) for p, stem, marks in split if marks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = []
