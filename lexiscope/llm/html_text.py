@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiscope.llm.arrow_rows import rows_to, table
+from lexiscope.session import checkpoint_dir
 
 LEAST_PAGES = 5
 SHARE = 0.5
+BROADCAST_DIGESTS = 500_000  # digests and hosts of all templates that are sent to every executor
 
 _TAG = re.compile(r"<(?:!--|(?P<decl>[!?][^>]*+>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
                   r"(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>)")
@@ -286,11 +288,17 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()),
                                           pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["host", "digest"])
 
+    checkpoint_dir(pages.sparkSession)
     counts = rows_to(base.select("url", "html"), "html", "host string, digest long", count) \
-        .groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+        .groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages) \
+        .checkpoint()  # read twice below
     total = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
     template = counts.where("digest != 0").join(total, "host").where(F.col("n") >= share * F.col("pages")) \
         .groupBy("host").agg(F.collect_list("digest").alias("template"))
+    template = template.checkpoint()
+    held = template.agg(F.sum(F.size("template") + 1)).first()[0] or 0
+    if held <= BROADCAST_DIGESTS:  # else a join by host, of which skew is split
+        template = F.broadcast(template)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     work = base.withColumn("host", host).join(template, "host", "left").select("page_id", "url", "html", "template")
     schema = T.StructType([base.schema["page_id"], base.schema["url"],
