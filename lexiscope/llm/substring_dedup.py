@@ -148,7 +148,7 @@ def dedup_units(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS,
     row = row.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))) \
         .withColumn("__no_id", F.col("doc_id").isNull()).withColumn("__hash", F.xxhash64("text"))
     first = _first_places(row.where("text <> ''"))
-    joined = row.join(first, ["__id", "__no_id", "__hash"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "__places")
+    joined = row.join(first.hint("shuffle_hash"), ["__id", "__no_id", "__hash"], "left").select(*[F.col(f"`{f.name}`") for f in kept], "__places")
     kept = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in kept]
     schema = T.StructType(kept + fields)
     target = to_arrow_schema(schema)
