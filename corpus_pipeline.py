@@ -19,16 +19,15 @@ from lexiscope.llm import decontaminate, jaccard_join, langid, packing, substrin
 from lexiscope.llm.arrow_rows import table
 from lexiscope.session import checkpoint_dir, ship_package
 
-#: A document this far from every learned profile is in none of the languages.
-LEAST_SCORE = 0.2
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, or in no language learned from those
-    that name theirs. The language named in ``lang`` is not overwritten."""
+    """Drop documents without a letter, or with no letter of those that name their
+    language: in none of the languages learned. A low score alone drops nothing,
+    as it falls with the length of a text and the size of its alphabet. The
+    language named in ``lang`` is not overwritten."""
     ship_package(spark)
-    scored = langid.identify(docs, langid.learn_profiles(docs), prefix="__")
-    kept = scored.where((F.col("__lang_pred") != langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE))
+    scored = langid.identify(docs, langid.learn_profiles(docs), prefix="__", letters=langid.learn_letters(docs))
+    kept = scored.where(F.col("__lang_pred") != langid.UNDETERMINED)
     return kept.select(*docs.columns)
 
 

@@ -96,9 +96,24 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]
     return profiles
 
 
+def learn_letters(docs: DataFrame) -> list[int]:
+    """The code points of all letters, in lower case, of the rows of ``docs`` with
+    a text and a lang; at most as many as there are letters."""
+    rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"))
+
+    def letters(part: pa.RecordBatch):
+        chars = np.frombuffer("".join(part.column(0).to_pylist()).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        seen = np.zeros(0x110000, dtype=bool)
+        seen[chars] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen & _letter_table()).astype(np.int32))], names=["letter"])
+
+    return sorted(r["letter"] for r in rows_to(rows, "text", "letter int", letters, BATCH_BYTES).distinct().collect())
+
+
 class Classifier:
-    def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE):
+    def __init__(self, profiles: dict[str, list[int]], size: int = PROFILE, letters: list[int] | None = None):
         self.size, self.langs = size, sorted(profiles)
+        self.letters = None if letters is None else np.array(sorted(letters), dtype=np.int64)
         self.grams = np.unique(np.array([g for p in profiles.values() for g in p], dtype=np.int64))
         self.ranks = np.full((len(self.langs), len(self.grams) + 1), -1, dtype=np.int64)
         for i, lang in enumerate(self.langs):
@@ -115,6 +130,10 @@ class Classifier:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
+            if self.letters is not None and not any(np.isin(g, self.letters).any() for g in (grams[a:min(b, a + 64)], grams[a:b])):
+                langs.append(UNDETERMINED)
+                scores.append(0.0)
+                continue
             own = _ranked(grams[a:b], self.size)
             at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
             at = np.where(self.grams[at] == own, at, len(self.grams))
@@ -128,14 +147,15 @@ class Classifier:
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE,
-             keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+             keep: list[str] | None = None, prefix: str = "", letters: list[int] | None = None) -> DataFrame:
     """``docs`` (of it the columns ``keep``, all if None) with ``lang_pred`` and
     ``score`` (0 to 1) from whole texts, named with ``prefix`` in front.
 
     ``und`` with score 0 for a null text, one without a letter, or when there
-    are no profiles. Ties go to the language first in the alphabet. Repeated
+    are no profiles, or, where ``letters`` are given, for one with none of them;
+    neither its length nor the size of its alphabet counts. Ties go to the language first in the alphabet. Repeated
     rows get the same answer; columns named like the new ones are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(Classifier(profiles, size))
+    shared = docs.sparkSession.sparkContext.broadcast(Classifier(profiles, size, letters))
 
     def predict(arr: pa.Array) -> list:
         langs, scores = shared.value.predict([t or "" for t in arr.to_pylist()])

@@ -213,6 +213,24 @@ def test_language_profiles_equal_brute_force(spark):
     assert langid.learn_profiles(docs) == want
 
 
+def test_short_clean_texts_pass_the_language_stage(spark):
+    rng = np.random.default_rng(5)
+    weights = 1 / np.arange(1, 3001)
+
+    def unspaced(n):
+        return "".join(chr(0x4E00 + k) for k in rng.choice(3000, n, p=weights / weights.sum()))
+
+    english = [r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").where("lang = 'en'").limit(40).collect()]
+    learn = [(i, t, "en") for i, t in enumerate(english)] + [(100 + i, unspaced(500), "zz") for i in range(40)]
+    short = [(1000 + i, unspaced(20 if i % 2 else 60), None) for i in range(60)]
+    short += [(2000 + i, w, None) for i, w in enumerate(["Yes", "zoom", "Ok go", "jazz quiz", "a"])]
+    docs = spark.createDataFrame([*learn, *short, (3000, "αβγ δεζ", None), (3001, "?! 12", None)], "doc_id long, text string, lang string")
+    ids = sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect())
+    assert ids == [r[0] for r in learn + short]
+    scored = langid.identify(docs, langid.learn_profiles(docs)).where("doc_id between 1000 and 1059")
+    assert scored.where("score < 0.2").count() > 0  # which a least score would drop
+
+
 def test_held_out_accuracy(spark):
     dir01 = SF001.replace("0.001", "0.01")
     truth = spark.read.parquet(f"{dir01}/documents.parquet").select("doc_id", "lang")
