@@ -1,7 +1,7 @@
 """Substring dedup by line hashing.
 
 A text is cut into lines, and each line into sentences (after ``.``, ``!`` or
-``?`` and a space), so that a passage set inside a line is found as well as one
+``?`` and a space, or after a sentence mark that no space need follow), so that a passage set inside a line is found as well as one
 on a line of its own. A unit is normalised (lower case, every run of
 characters other than letters and digits one space) and hashed to 128 bits.
 
@@ -12,9 +12,11 @@ a document is the list of its places that are first: a row for each digest,
 grouped by the document it was found in, never by the digest.
 
 A unit that is not the first of its digest is a repeat. A line goes if it is a
-repeat of at least ``min_line_words`` words. Else a run of sentences next to
-each other on a line, all repeats, goes if it has ``min_run_words`` words or
-more. Shorter repeats stay: languages repeat them by themselves.
+repeat of at least ``min_line_words`` words. A run of sentences next to each
+other, all repeats, goes if it has ``min_run_words`` words or more, also over
+line ends; a line of one sentence is one. Shorter repeats stay: languages repeat
+them by themselves. In scripts without spaces between words, characters are
+counted instead (``_length``).
 """
 
 from __future__ import annotations
@@ -32,8 +34,24 @@ from lexiscope.llm.arrow_rows import rows_to, table
 MIN_LINE_WORDS = 8
 MIN_RUN_WORDS = 25
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?! )[^.!?]*)*(?:[.!?]+ +|$)")
+_FULL = "\u3002\uff01\uff1f\uff61\uff0e\u0964\u0965\u061f\u06d4"  # sentence marks that no space need follow
+_CLOSING = "\u300d\u300f\u201d\u2019\uff09\u300b\u3009\u3011"
+_SENTENCE = re.compile(rf"[^.!?{_FULL}]*(?:[.!?]+(?! )[^.!?{_FULL}]*)*(?:[.!?]+ +|[{_FULL}][.!?{_FULL}]*[{_CLOSING}]* *|$)")
 _OTHER = re.compile(r"[\W_]+")
+#: Scripts without spaces between words: Han, kana and Yi, of which two characters count as a word; Thai, Lao, Tibetan,
+#: Burmese and Khmer, of which three letters do.
+_DENSE = re.compile("[\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\uf900-\ufaff"
+                    "\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+_THIN = re.compile("[\u0e00-\u109f\u1780-\u17ff]")
+
+
+def _length(norm: str) -> int:
+    """The words of a normalised text."""
+    if norm.isascii():
+        return norm.count(" ") + 1
+    rest, dense = _DENSE.subn(" ", norm)
+    rest, thin = _THIN.subn(" ", rest)
+    return len(rest.split()) + (dense + 1) // 2 + (thin + 2) // 3
 
 
 def units(text: str) -> list[tuple[int, int, int, str, int]]:
@@ -45,13 +63,13 @@ def units(text: str) -> list[tuple[int, int, int, str, int]]:
         whole = _OTHER.sub(" ", line.group().lower()).strip()
         if not whole:
             continue
-        out.append((line.start(), line.end(), number, whole, whole.count(" ") + 1))
+        out.append((line.start(), line.end(), number, whole, _length(whole)))
         spans = [m.span() for m in _SENTENCE.finditer(text, line.start(), line.end()) if m.end() > m.start()]
         if len(spans) > 1:
             for s, e in spans:
                 norm = _OTHER.sub(" ", text[s:e].lower()).strip()
                 if norm:
-                    out.append((s, e, number, norm, norm.count(" ") + 1))
+                    out.append((s, e, number, norm, _length(norm)))
     return out
 
 
@@ -86,8 +104,10 @@ def _first_places(docs: DataFrame) -> DataFrame:
 
 def _removals(text: str, first: set[int], min_line: int, min_run: int) -> list[tuple[int, int]]:
     """The spans of ``text`` to take out."""
-    out: list[tuple[int, int]] = []
     found = units(text)
+    lines: list[tuple[int, int]] = []  # repeated lines, long enough to go alone
+    runs: list[list[int]] = []  # start, end and words of repeats next to each other
+    going = False
     i = 0
     while i < len(found):
         j = i + 1
@@ -95,17 +115,22 @@ def _removals(text: str, first: set[int], min_line: int, min_run: int) -> list[t
             j += 1
         start, end, _, _, words = found[i]
         if i not in first and words >= min_line:
-            out.append((start, end))
-        else:
-            k = i + 1
-            while k < j:
-                m = k
-                while m < j and m not in first:
-                    m += 1
-                if m > k and sum(found[x][4] for x in range(k, m)) >= min_run:
-                    out.append((found[k][0], found[m - 1][1]))
-                k = m + 1
+            lines.append((start, end))
+        for k in range(i + 1 if j > i + 1 else i, j):
+            if k in first:
+                going = False
+            elif going:
+                runs[-1][1:] = [found[k][1], runs[-1][2] + found[k][4]]
+            else:
+                runs.append([found[k][0], found[k][1], found[k][4]])
+                going = True
         i = j
+    out: list[tuple[int, int]] = []
+    for s, e in sorted([(s, e) for s, e, words in runs if words >= min_run] + lines, key=lambda x: (x[0], -x[1])):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+        elif e > out[-1][1]:
+            out[-1] = (out[-1][0], e)
     return out
 
 

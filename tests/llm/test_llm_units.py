@@ -255,6 +255,36 @@ def test_units_cover_lines_and_sentences():
     assert substring_dedup.units("...\n  \n") == []
 
 
+def removed_from_second(one, two):
+    """What goes from a text behind another."""
+    seen = {u[3] for u in substring_dedup.units(one)}
+    first = {}
+    for k, u in enumerate(substring_dedup.units(two)):
+        if u[3] not in seen:
+            first.setdefault(u[3], k)
+    spans = substring_dedup._removals(two, set(first.values()), 8, 25)
+    return [two[s:e] for s, e in spans], substring_dedup._cut_out(two, spans)
+
+
+def test_runs_go_on_over_line_ends():
+    verse = "\n".join(" ".join(f"w{i}x{k}" for k in range(7)) for i in range(8))
+    assert removed_from_second(verse, f"New title\n{verse}\nNew end") == ([verse], "New title\nNew end")
+    assert removed_from_second(verse, verse[:verse.index("w3x0")] + "New end")[0] == []  # 21 words
+    inside = "a b c d e f g h i j. k l m n o p q r.\ns t u v w x y z a b c."
+    assert removed_from_second("Old. " + inside + " Old", "New one. " + inside + " New two") == ([inside + " "], "New one. New two")
+
+
+def test_scripts_without_spaces_are_measured_in_characters():
+    rng = random.Random(3)
+    clauses = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(12)) for _ in range(10)]
+    whole = "".join(c + "\uff0c\u3002"[i % 2] for i, c in enumerate(clauses))
+    assert len(substring_dedup.units(whole)) == 6
+    before, behind = chr(0x8000) * 3 + "\u3002", chr(0x8001) * 3
+    assert removed_from_second(whole, before + whole + behind) == ([whole], before + behind)
+    short = "".join(clauses[:2])[:14]
+    assert removed_from_second(short, short)[0] == [] and removed_from_second(whole, clauses[0] + "\uff0c" + clauses[1])[1] == ""
+
+
 def test_cut_out_keeps_lines_whole():
     cut = substring_dedup._cut_out
     assert cut("a\nb\nc", [(2, 3)]) == "a\nc"
