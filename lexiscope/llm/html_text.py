@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates removed.
 
 A page becomes a tree of elements. What never is main text goes by its tag, role
-or the words of its class and id: menus, headers, footers, sidebars, notices,
+or its class and id: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. Site templates go by
 counting: every other element's subtree is hashed, Spark counts the pages of each
 host that hold it, and a subtree on ``SHARE`` of a host's pages or more, and on
@@ -56,6 +56,14 @@ DROPPED_WORDS = frozenset("ad ads advert adverts advertisement advertising adsen
                           "subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager "
                           "masthead footer comment comments commentlist disqus respond reply replies related recommended "
                           "share sharing social widget toolbar login search".split())
+#: Words that beside one of them still make a boilerplate name: "share-buttons", not "share-prices".
+BESIDE_WORDS = DROPPED_WORDS | frozenset("box bar block container wrapper wrap area section list links link button buttons icon icons form "
+                                         "panel message unit slot label top bottom left right inline post posts article articles entry "
+                                         "content site page main global media thread js".split())
+#: Alone these name a part of the text as well.
+NOT_ALONE = frozenset("notice notices alert".split())
+#: Elements of running text. Their ids are made from headings, so they do not count.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr thead tbody tfoot caption blockquote pre figure figcaption address".split())
 #: The parts of a class name that make it one of the page's frame: "site-header", not "article-header".
 FRAME = frozenset("site page top main global".split())
 #: A start tag closes an open element of these kinds, up to the container.
@@ -74,6 +82,12 @@ class Element:
         self.digest = 0
 
 
+def _boilerplate_name(name: str) -> bool:
+    """All of a class name or id is known boilerplate, not a word of it."""
+    words = {w for w in _WORD.findall(name) if not w.isdigit()}
+    return bool(words & DROPPED_WORDS) and words <= BESIDE_WORDS and not words <= NOT_ALONE
+
+
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     if tag in DROPPED or tag == "header" and not inside:
         return True
@@ -88,9 +102,13 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
         if name == "role" and value in DROPPED_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            if tag in RUNNING and (inside or name == "id") or inside and name == "id" and tag == "section":
+                continue
             for one in value.split():
                 words = set(_WORD.findall(one))
-                if words & DROPPED_WORDS or "header" in words and (len(words) == 1 and not inside or words & FRAME):
+                if _boilerplate_name(one) or words & DROPPED_WORDS and not inside and name == "class" and tag not in RUNNING:
+                    return True
+                if tag not in RUNNING and "header" in words and (len(words) == 1 and not inside or words & FRAME):
                     return True
         if tag == "article" and name == "class" and set(_WORD.findall(value)) & {"comment", "comments", "reply"}:
             return True

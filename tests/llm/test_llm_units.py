@@ -307,6 +307,17 @@ def test_main_text_of_a_page():
     assert html_text.main_text(html_text.parse("<p hidden>x</p><table><tr><td>1<td>2<tr><td>3</table>")) == "1 2\n3"
 
 
+def test_names_made_from_headings_are_text():
+    inside = ('<h2 id="search-engines">Search engines</h2><p id="share-prices">Share prices fell.</p><section id="related-work">'
+              '<h2 class="related">Related work</h2><p class="notice">As known.</p></section><section id="search"><p>s</p></section>'
+              '<div class="search-theory">t</div><div class="alert alert-info">Mind this.</div>')
+    drop = '<div class="share-buttons">x</div><ul class="related-posts"><li>x</ul><div class="ad">x</div><div id="comments">x</div>'
+    want = "Search engines\nShare prices fell.\nRelated work\nAs known.\ns\nt\nMind this."
+    assert html_text.main_text(html_text.parse(f"<article>{inside}{drop}</article>")) == want
+    plain = '<h2 id="search-engines">Search engines</h2><section id="related-work"><p id="share-prices">p</p></section>'
+    assert html_text.main_text(html_text.parse(plain + drop + '<div class="footer-links">x</div>')) == "Search engines\np"
+
+
 def test_template_subtrees_go_but_running_text_stays():
     root = html_text.parse("<div>same <a href=x>box</a></div><div>own</div><article><p>same</p><div>note</div>text</article>")
     digests = html_text.digest_elements(root)
