@@ -5,14 +5,16 @@ or its class and id: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. Site templates go by
 counting: every other element's subtree is hashed, Spark counts the pages of each
 host that hold it, and a subtree on ``SHARE`` of a host's pages or more, and on
-``LEAST_PAGES`` at least, is deleted wherever it stands. Inside an article the
-blocks of running text (paragraphs, headings, lists, tables, quotations) are not
-subject to that: a passage that many articles share is text, not template.
+``LEAST_PAGES`` at least, is deleted wherever it stands. Containers (everything
+but running text: paragraphs, headings, lists, tables, quotations) go from
+``MANY_PAGES`` and ``LOW_SHARE`` on, as a host has pages of many kinds. Inside an
+article running text is not subject to counting: a passage that many articles
+share is text, not template.
 
 The main text is that of the outermost ``article`` elements; without one that of
-``main``, without that of the body. A subtree that half the pages of a host hold
-is one of at most twice as many as a page has elements on average, so the list of
-a host is short however many pages it has.
+``main``, without that of the body. The templates of all hosts stay in Spark when
+they are many: the digests of each page are joined with them by host and digest,
+and what matches is grouped by page.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from lexiscope.session import checkpoint_dir
 
 LEAST_PAGES = 5
 SHARE = 0.5
+MANY_PAGES = 20
+LOW_SHARE = 0.01
 BROADCAST_DIGESTS = 500_000  # digests and hosts of all templates that are sent to every executor
+HOST_DIGESTS = 5_000  # templates of one host that are sent along with each of its pages
 
 _TAG = re.compile(r"<(?:!--|(?P<decl>[!?][^>]*+>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
                   r"(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>)")
@@ -194,7 +199,8 @@ def parse(page: str) -> Element:
 
 def digest_elements(root: Element) -> list[int]:
     """Hash every subtree and return those that may be a site's template: not
-    boilerplate by rule, with some text, and no running text of an article."""
+    boilerplate by rule, with some text, and no running text of an article. Odd
+    numbers are running text."""
     import xxhash
     out: list[int] = []
     order, todo = [], [root]
@@ -215,7 +221,7 @@ def digest_elements(root: Element) -> list[int]:
                 if s:
                     h.update(s)
                     filled = True
-        e.digest = h.intdigest()
+        e.digest = h.intdigest() & ~1 | (e.tag in TEXT_BLOCKS)
         if filled:
             full.add(id(e))
             if e is not root and not e.gone and e.tag not in ("article", "main") and not (e.inside and e.tag in TEXT_BLOCKS):
@@ -285,7 +291,33 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def _with_own_templates(base: DataFrame, template: DataFrame, small: bool) -> DataFrame:
+    """``base`` with the digests of each page that are templates of its host, by
+    joins alone. Pages alike in url and html have the same."""
+    keys = ["__url", "__html"]
+    keyed = base.withColumn("__url", F.xxhash64("url", F.lit(1), "html")).withColumn("__html", F.xxhash64("html", F.lit(2), "url"))
+
+    def own(part: pa.RecordBatch):
+        first, second, hosts, found = [], [], [], []
+        for a, b, url, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            digests = set(digest_elements(parse(page or "")))
+            digests.discard(0)
+            first.extend([a] * len(digests))
+            second.extend([b] * len(digests))
+            hosts.extend([host_of(url)] * len(digests))
+            found.extend(digests)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(hosts, pa.string()),
+             pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*keys, "host", "digest"])
+
+    held = rows_to(keyed.select(*keys, "url", "html"), "html", "__url long, __html long, host string, digest long", own)
+    matched = held.join(F.broadcast(template) if small else template, ["host", "digest"], "left_semi")
+    lists = matched.groupBy(*keys).agg(F.collect_set("digest").alias("template"))
+    return keyed.join(lists, keys, "left")
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES,
+            low_share: float = LOW_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages``.
 
     A null or empty html has an empty text; a page without a url, or with one
@@ -311,14 +343,19 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
         .groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages) \
         .checkpoint()  # read twice below
     total = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
-    template = counts.where("digest != 0").join(total, "host").where(F.col("n") >= share * F.col("pages")) \
-        .groupBy("host").agg(F.collect_list("digest").alias("template"))
-    template = template.checkpoint()
-    held = template.agg(F.sum(F.size("template") + 1)).first()[0] or 0
-    if held <= BROADCAST_DIGESTS:  # else a join by host, of which skew is split
-        template = F.broadcast(template)
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    work = base.withColumn("host", host).join(template, "host", "left").select("page_id", "url", "html", "template")
+    template = counts.where("digest != 0").join(total, "host").where(
+        (F.col("n") >= share * F.col("pages"))
+        | (F.col("digest").bitwiseAND(F.lit(1)) == 0) & (F.col("n") >= many_pages) & (F.col("n") >= low_share * F.col("pages"))) \
+        .select("host", "digest").checkpoint()
+    per_host = template.groupBy("host").count()
+    held, longest = per_host.agg(F.coalesce(F.sum(F.col("count") + 1), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if held <= BROADCAST_DIGESTS and longest <= HOST_DIGESTS:
+        host = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+        lists = F.broadcast(template.groupBy("host").agg(F.collect_list("digest").alias("template")))
+        work = base.withColumn("host", host).join(lists, "host", "left")
+    else:  # only those of the page itself
+        work = _with_own_templates(base, template, held <= BROADCAST_DIGESTS)
+    work = work.select("page_id", "url", "html", "template")
     schema = T.StructType([base.schema["page_id"], base.schema["url"],
                            T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -109,6 +109,21 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_templates_of_some_pages_of_a_host(spark, monkeypatch, joined):
+    if joined:
+        monkeypatch.setattr(html_text, "HOST_DIGESTS", 1)
+    rows = [(i, f"https://h.example/{i}", f"<div>section {i % 4}</div><p>said by some {i % 4}</p>"
+             f"<article><p>text {i}</p><div>advert {i % 3}</div></article><div>own {i}</div>") for i in range(100)]
+    rows += [(200 + i, f"https://h.example/n{i}", f"<div>section {i % 4}</div><p>said by some {i % 4}</p><div>own {i}</div>") for i in range(20)]
+    rows += [(300 + i, f"https://few.example/{i % 9}", f"<div>part {i % 2}</div><div>x {i}</div>") for i in range(10)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in html_text.extract(pages).collect()]
+    want = {i: f"text {i}" for i in range(100)} | {200 + i: f"said by some {i % 4}\nown {i}" for i in range(20)} \
+        | {300 + i: f"x {i}" for i in range(10)}
+    assert sorted(got) == sorted((r[0], want[r[0]]) for r in rows)
+
+
 def test_packing(docs, spark):
     got = packing.pack_documents(docs)
     rows = got.orderBy("doc_id", "text" if "text" in got.columns else "ids_crc32", "piece").collect()
