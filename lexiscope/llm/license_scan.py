@@ -7,7 +7,8 @@ with some slack to either side. Region and
 template are then aligned: words that occur once in both are anchors, the
 longest increasing run of anchors is kept, and the gaps between them are aligned
 in the same way; where no word is unique, equal words at either end of a gap are
-paired. The coverage is the part of the template's words that were paired.
+paired. The coverage is the part of the template's words that were paired; the
+words that tell licenses and versions apart (``TELLING``) must be among them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,53 @@ COVERAGE = 0.8
 RUN = 3
 SLACK = 0.25
 
+_ISC_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+    INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
+    DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+    IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+    PERFORMANCE OF THIS SOFTWARE."""
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+    the following conditions are met: Redistributions of source code must retain the above copyright notice, this
+    list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+    copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+    materials provided with the distribution. """
+_BSD_THIRD = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission. """
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+    WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+    ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+    SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+    LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+    CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+    SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(name: str, version: str, title: str) -> list[str]:
+    """Short notice, notice of a source file, and how the license text begins."""
+    thing = "library" if version == "2.1" else "program"
+    return [
+        f"This work is licensed under the {name}, version {version}.",
+        f"""This {thing} is free software: you can redistribute it and/or modify it under the terms of the
+        {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any
+        later version. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.""",
+        f"""{name} Version {title} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim
+        copies of this license document, but changing it is not allowed.""",
+    ]
+
+
+def _creative_commons(code: str, version: str) -> list[str]:
+    words = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives" if version == "4.0" else "NoDerivs"}
+    name = "-".join(words[c] for c in code.split("-"))
+    port = "International" if version == "4.0" else "Unported"
+    return [f"Licensed under CC {code} {version}.",
+            f"This work is licensed under a Creative Commons {name} {version} {port} License."]
+
+
+#: Words that tell versions and variants apart: those of a template must all be found.
+TELLING = frozenset("""1 2 3 4 mit apache isc bsd unlicense mozilla mpl gnu lesser affero cc0 by nc sa nd attribution noncommercial
+    sharealike noderivatives noderivs endorse substantial appear unencumbered neighboring misrepresented""".split())
+
 # The wording of common licenses and of the notices that name them.
 TEMPLATES = {
     "Apache-2.0": [
@@ -38,6 +86,8 @@ TEMPLATES = {
         distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
         either express or implied. See the License for the specific language governing permissions and limitations
         under the License.""",
+        """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION,
+        AND DISTRIBUTION""",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -59,22 +109,68 @@ TEMPLATES = {
         option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
         General Public License for more details.""",
+        _gnu("GNU General Public License", "3", "3, 29 June 2007 Copyright (C) 2007")[2],
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_WARRANTY,
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        "Released under the ISC License.",
+    ],
+    "0BSD": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted. " + _ISC_WARRANTY,
+    ],
+    "BSD-2-Clause": [_BSD_CONDITIONS, _BSD_CONDITIONS + _BSD_DISCLAIMER, "Released under the BSD 2-Clause License."],
+    "BSD-3-Clause": [_BSD_CONDITIONS + _BSD_THIRD, _BSD_CONDITIONS + _BSD_THIRD + _BSD_DISCLAIMER,
+                     "Released under the BSD 3-Clause License."],
+    "Unlicense": [
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author
+        or authors of this software dedicate any and all copyright interest in the software to the public domain. We make
+        this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend
+        this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+        under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE.""",
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+    ],
+    "Zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote
+        the original software. If you use this software in a product, an acknowledgment in the product documentation would
+        be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. This notice may not be removed or altered from any source
+        distribution.""",
+    ],
+    "MPL-2.0": [
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
     ],
-    "BSD-2-Clause": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
-        the following conditions are met: Redistributions of source code must retain the above copyright notice, this
-        list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
-        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
+    "CC0-1.0": [
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is licensed under a Creative Commons CC0 1.0 Universal License.",
     ],
+    "GPL-2.0": _gnu("GNU General Public License", "2", "2, June 1991 Copyright (C) 1989, 1991"),
+    "LGPL-2.1": _gnu("GNU Lesser General Public License", "2.1", "2.1, February 1999 Copyright (C) 1991, 1999"),
+    "LGPL-3.0": _gnu("GNU Lesser General Public License", "3", "3, 29 June 2007 Copyright (C) 2007"),
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3", "3, 19 November 2007 Copyright (C) 2007"),
+    **{f"CC-{code}-{v}": _creative_commons(code, v) for v in ("3.0", "4.0")
+       for code in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") if (code, v) != ("BY-NC", "4.0")},
     "all-rights-reserved": ["All rights reserved."],
 }
 
@@ -131,6 +227,9 @@ class Templates:
     def __init__(self, templates: dict[str, list[str]]):
         self.names: list[str] = []
         self.words: list[list[int]] = []
+        self.telling: list[set[int]] = []
+        raw = np.frombuffer(" ".join(sorted(TELLING)).encode(), dtype=np.uint8)
+        telling = set(hash_words(*find_words(np.array([0, len(raw)]), raw)[:3]).tolist())
         runs: dict[int, list[tuple[int, int]]] = {}
         for name, texts in templates.items():
             for text in texts:
@@ -143,6 +242,7 @@ class Templates:
                     runs.setdefault(h, []).append((len(self.words), place))
                 self.names.append(name)
                 self.words.append(words.tolist())
+                self.telling.append(telling & set(words.tolist()))
         self.runs = runs
         self.hashes = np.array(sorted(runs), dtype=np.uint64)
 
@@ -184,7 +284,7 @@ class Templates:
                     lo = max(int(first[d]), own[k] - slack)
                     hi = min(int(first[d + 1]), own[m] + size + slack)
                     pairs = align(words[lo:hi].tolist(), self.words[t])
-                    if len(pairs) >= least * size:
+                    if len(pairs) >= least * size and self.telling[t] <= {self.words[t][p] for _, p in pairs}:
                         best.append((len(pairs), self.names[t], len(pairs) / size, lo + pairs[0][0], lo + pairs[-1][0] + 1))
                     k = m + 1
             taken: list[tuple] = []

@@ -357,6 +357,21 @@ def test_edited_license_is_found_in_place():
     assert text[found[0][0][2]:found[0][0][3]].startswith("Permission is hereby granted")
 
 
+def test_licenses_that_differ_in_a_word_are_told_apart():
+    index = license_scan.Templates(license_scan.TEMPLATES)
+
+    def names(*texts):
+        return [[f[0] for f in found] for found in index.scan(*arrays(*texts), 0.8)]
+
+    gnu = "This work is licensed under the GNU {}General Public License, version {}."
+    assert names("Licensed under CC BY 4.0.", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 2.0.",
+                 gnu.format("", 2), gnu.format("", 3), gnu.format("Lesser ", 3), gnu.format("Affero ", 3), gnu.format("", 1),
+                 "Released under the FOO License.") == [
+        ["CC-BY-4.0"], ["CC-BY-SA-3.0"], ["CC-BY-NC-4.0"], [], ["GPL-2.0"], ["GPL-3.0"], ["LGPL-3.0"], ["AGPL-3.0"], [], []]
+    for name, texts in license_scan.TEMPLATES.items():
+        assert names(*("Before it. " + t + " Behind it." for t in texts)) == [[name]] * len(texts), name
+
+
 # ---------------------------------------------------------------------- toxicity
 
 def kernel(a, b):
