@@ -928,6 +928,7 @@ def q_retrieval_all_models(spark, sf_dir):
 
     docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
     vocab = wordpiece.build_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
-    models = [MODELS["byte-hashed"], MODELS["char-hashed"], bpe_model(_fixed_merges()), wordpiece_model(vocab)]
+    merges = bpe.merges_dict(bpe.bpe_train(corpus(spark, sf_dir).select("pos", "text"), BPE_VOCAB))
+    models = [MODELS["byte-hashed"], MODELS["char-hashed"], bpe_model(merges), wordpiece_model(vocab)]
     qtext = aligned.join(qs.select("query_id"), "query_id")
     return round_metrics(jobs.evaluate(kept, qtext, qr, models))
