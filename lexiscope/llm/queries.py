@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import decontaminate, html_text, jaccard_join, langid, license_scan, lz_fingerprint, packing, substring_dedup, token_counts, toxicity
+from lexiscope.llm import decontaminate, html_text, jaccard_join, langid, license_scan, lz_fingerprint, packing, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": (decontaminate.op1_benchmark_decontamination, decontaminate.OP1_SQL),
@@ -15,4 +15,5 @@ QUERIES = {
     "op8_token_counts": (token_counts.op8_token_counts, None),
     "op9_ngram_jaccard_join": (jaccard_join.op9_ngram_jaccard_join, None),
     "op10_document_fingerprints": (lz_fingerprint.op10_document_fingerprints, None),
+    "op11_simhash_near_dedup": (simhash.op11_simhash_near_dedup, None),
 }

@@ -19,6 +19,7 @@ COLUMNS = {
     "op7_language_id": "doc_id held_out lang_pred score",
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_ngram_jaccard_join": "doc_id class_id n_links n_copies",
+    "op11_simhash_near_dedup": "doc_id fingerprint component_id",
     "op10_document_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
 }
