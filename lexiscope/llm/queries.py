@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import decontaminate, html_text, jaccard_join, langid, license_scan, lz_fingerprint, packing, simhash, substring_dedup, token_counts, toxicity
+from lexiscope.llm import conversations, decontaminate, html_text, jaccard_join, langid, license_scan, lz_fingerprint, packing, ranked_search, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": (decontaminate.op1_benchmark_decontamination, decontaminate.OP1_SQL),
@@ -16,4 +16,6 @@ QUERIES = {
     "op9_ngram_jaccard_join": (jaccard_join.op9_ngram_jaccard_join, None),
     "op10_document_fingerprints": (lz_fingerprint.op10_document_fingerprints, None),
     "op11_simhash_near_dedup": (simhash.op11_simhash_near_dedup, None),
+    "op12_ranked_lexical_search": (ranked_search.op12_ranked_lexical_search, ranked_search.OP12_SQL),
+    "op13_conversation_repair": (conversations.op13_conversation_repair, None),
 }
