@@ -166,9 +166,15 @@ def lm_generate_batch(seeds: DataFrame, counts: DataFrame, vocab_size: int, *,
     with numbers fixed by (seed, key, step): reruns and lost tasks give the same
     text. An empty or null seed goes on from token 0.
 
-    The probability table has V x V cells, is checked before it is collected and
-    shipped with the function. A batch of seeds takes each step together.
+    Up to ``MAX_TABLE_CELLS`` the probability table of V x V cells is shipped with
+    the function, and a batch of seeds takes each step together; a larger
+    vocabulary goes the way of ``lm_generate_sparse``, to the same text.
     """
+    if vocab_size * vocab_size > MAX_TABLE_CELLS:
+        from .lm_sparse import lm_generate_sparse
+
+        return lm_generate_sparse(seeds, counts, vocab_size, tokens=tokens, key=key, length=length, new_tokens=new_tokens,
+                                  temperature=temperature, top_k=top_k, alpha=alpha, seed=seed)
     shared = seeds.sparkSession.sparkContext.broadcast(next_token_table(counts, vocab_size, temperature, top_k, alpha))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))

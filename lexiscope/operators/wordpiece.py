@@ -1,8 +1,7 @@
 """WordPiece: vocabulary from the corpus and longest-match-first encoding.
 
-The reference's baseline uses a pretrained word-piece vocabulary; none can be
-downloaded here, so the vocabulary is built from the corpus (or given by the
-user as a ``token, token_id`` table):
+The vocabulary is trained (``wordpiece_train``), given by the user as a list, or
+built from whole words and characters:
 
 * special tokens, every character seen (as a word start and as a ``##``
   continuation), then the most frequent words, by frequency, in the room that
@@ -26,6 +25,7 @@ from ..functions.text import clean_text
 
 # The special tokens, in id order.
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
+MARK = "##"  # of a piece that continues a word
 PUNCT_RE = r"[\p{P}\p{S}]"
 
 

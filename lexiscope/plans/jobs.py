@@ -19,9 +19,9 @@ from ..session import checkpoint_dir
 from .registry import Model
 
 
-def prepare(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n_titles: int = 3000):
-    """Corpus of the first ``n_titles`` titles, queries whose judged documents
-    all survive, and their judgments."""
+def prepare(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n_titles: int | None = 3000):
+    """Corpus of the first ``n_titles`` titles (all if None), queries whose judged
+    documents all survive, and their judgments."""
     kept = prep.first_n_titles(corpus, n_titles)
     aligned = prep.align_queries(queries, qrels, kept)
     return kept, aligned, prep.aligned_qrels(qrels, aligned)
@@ -125,6 +125,26 @@ def score_hits(hits: DataFrame, qrels: DataFrame, asked: DataFrame, model: str,
     return average_metrics(pq.withColumn("model", F.lit(model)), ks, group_cols=("model",))
 
 
+def evaluate_reduced(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: list[Model], width: int, *,
+                     ks=DEFAULT_KS, val_ratio: float = 0.5) -> DataFrame:
+    """As ``evaluate``, with the vectors of every model, whatever their width, in
+    ``width`` principal components of the model's document vectors."""
+    from ..operators.pca import fit_components, project
+
+    checkpoint_dir(corpus.sparkSession)
+    asked = test_queries(queries, val_ratio).checkpoint()
+    out = None
+    for m in models:
+        vecs, state = embed_corpus(corpus, m)
+        vecs = vecs.select("doc_id", "embedding").checkpoint()
+        components = fit_components(vecs, width)
+        hits = topk_cosine(project(embed_queries(asked, m, state).select("query_id", "embedding"), components, centre=False),
+                           project(vecs, components, centre=False), max(ks))
+        row = score_hits(hits, qrels, asked, m.name, ks=ks)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def test_queries(queries: DataFrame, val_ratio: float = 0.5) -> DataFrame:
     """The scored part of the positional split."""
     return (split_by_position(queries, val_ratio, pos="pos", id_col="query_id")

@@ -260,12 +260,13 @@ from ..operators.ordering import split_by_position  # noqa: E402
 from ..sources.testdata import qrels as test_qrels  # noqa: E402
 from ..sources.testdata import queries as test_queries  # noqa: E402
 
-N_TITLES = 10  # where first-N is the feature; the evaluations take the job's 3,000
-EVAL_TITLES = 3000
+N_TITLES = 10  # where first-N is the feature; the evaluations take all titles
 
 _QRELS_SQL = """SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d
   ON contains(d.text, b.text) WHERE length(b.text) > 0"""
 def _kept_sql(n):
+    if n is None:
+        return "kept AS (SELECT doc_id, source AS title FROM documents)"
     return f"""kept_titles AS (SELECT source, min(doc_id) AS f FROM documents GROUP BY source
                 ORDER BY f LIMIT {n}),
 kept AS (SELECT doc_id, source AS title FROM documents d
@@ -280,7 +281,7 @@ aligned AS (
                           WHERE doc_id NOT IN (SELECT doc_id FROM kept)))"""
 
 
-def _prepared(spark, sf_dir, n_titles=N_TITLES):
+def _prepared(spark, sf_dir, n_titles: int | None = N_TITLES):
     docs = corpus(spark, sf_dir)
     kept = prep.first_n_titles(docs, n_titles)
     qs = test_queries(spark, sf_dir)
@@ -412,7 +413,7 @@ _MODELS_SQL = {"byte-hashed": "byte", "char-hashed": "char"}
 
 
 def _flagship_sql(select: str, models: dict[str, str] = _MODELS_SQL) -> str:
-    return _align_sql(EVAL_TITLES) + f""",
+    return _align_sql(None) + f""",
 asked AS (SELECT query_id FROM (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS r,
           count(*) OVER () AS n FROM aligned) WHERE r >= floor(n * 0.5)),
 docs AS (SELECT d.doc_id, d.source || ': ' || d.text AS text
@@ -433,7 +434,7 @@ wide AS (WITH {metrics_sql('top', 'nrel', 'asked_m', ('model',))})
 
 
 def _flagship(spark, sf_dir):
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, None)
     qtext = aligned.join(qs.select("query_id"), "query_id")
     res = jobs.evaluate(kept, qtext, qr, [MODELS["byte-hashed"], MODELS["char-hashed"]],
                         ks=DEFAULT_KS)
@@ -477,7 +478,7 @@ def q_string_id_search(spark, sf_dir):
     judged = test_qrels(spark, sf_dir).select(F.concat(F.lit("q"), "query_id").alias("query_id"),
                                               F.concat(F.lit("d"), "doc_id").alias("doc_id"))
     base = checkpoint_dir(spark)
-    kept, aligned, rel = jobs.prepare(docs, qs, judged.checkpoint(), EVAL_TITLES)
+    kept, aligned, rel = jobs.prepare(docs, qs, judged.checkpoint(), None)
     path = f"{base.rstrip('/')}/vectors-{uuid.uuid4().hex}"
     jobs.embed_all_models(kept, [model], path)
     asked = jobs.test_queries(aligned)
@@ -624,15 +625,12 @@ from ..functions.text import WORD as _WORD_RE_JAVA  # noqa: E402
 
 
 # ---------------------------------------------------------------------------
-# BPE on the documents (no SQL form over whole texts: checked by properties
-# and against a one-string implementation in tests/test_bpe.py).
+# BPE on the documents with a table that SQL can apply as well. Training, and
+# what is done with trained tables, is in ``queries_models``.
 # ---------------------------------------------------------------------------
 
 from ..operators import bpe  # noqa: E402
 
-BPE_VOCAB = 320
-
-
 # A fixed table of ASCII merges, so that SQL can encode as well: greedy encoding
 # takes the longest string that merges with a byte on the right can spell.
 FIXED_STRINGS = ("th", "the", "the ", "he", "in", "ing", "ing ", "er", "on", "an", "and", "and ", "re", "ti", "tio", "tion",
@@ -657,11 +655,6 @@ def _fixed_tokens_sql(t: str) -> str:
     return _FIXED_TOKENS.format(t=t, alternatives="|".join(longest_first), cases=cases).replace("\\\\", "\\")
 
 
-@register("bpe_train")
-def q_bpe_train(spark, sf_dir):
-    return bpe.bpe_train(corpus(spark, sf_dir).select("pos", "text"), BPE_VOCAB)
-
-
 @register("bpe_encode", f"""SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ',')) AS ids_md5, true AS roundtrip
 FROM (SELECT doc_id, {_fixed_tokens_sql('text')} AS t FROM documents)""")
 def q_bpe_encode(spark, sf_dir):
@@ -762,7 +755,7 @@ FROM c JOIN t USING (model)"""
 
 @register("typo_robustness", _typo_sql())
 def q_typo_robustness(spark, sf_dir):
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, None)
     models = [MODELS["byte-hashed"], MODELS["char-hashed"]]
     qtext = aligned.join(qs.select("query_id"), "query_id")
     clean = round_metrics(jobs.evaluate(kept, qtext, qr, models))
@@ -792,14 +785,20 @@ WP_VOCAB = 2000
 
 @register("tokenizer_comparison")
 def q_tokenizer_comparison(spark, sf_dir):
+    """Bytes, characters, the trained merges (greedy, and by rank), a published
+    table of ranks and trained word pieces on the whole corpus."""
+    from ..operators import ranked_bpe
+    from .queries_models import published, trained_merges, trained_pieces
+
     d = _analysis_docs(spark, sf_dir)
-    merges = _fixed_merges()
-    vocab = wordpiece.build_vocab(d, "text", WP_VOCAB)
+    merges, vocab, known = trained_merges(spark, sf_dir), trained_pieces(spark, sf_dir), published()
+    ranked = ranked_bpe.RankedTable.trained(merges)
     toks = {
         "byte": (lambda c: byte_tokens(c), BYTE_VOCAB_SIZE),
         "char": (lambda c: char_tokens(c), CHAR_VOCAB_SIZE),
         "bpe": (lambda c: bpe.bpe_encode_col(c, merges), 256 + len(merges)),
-        "bpe-ranked": (lambda c: bpe.bpe_encode_ranked_col(c, merges), 256 + len(merges)),
+        "bpe-ranked": (lambda c: ranked_bpe.ranked_tokens(c, ranked, ranked_bpe.WORDS), 256 + len(merges)),
+        "bpe-published": (lambda c: ranked_bpe.ranked_tokens(c, known), 256 + len(known.merges)),
         "wordpiece": (lambda c: wordpiece.wordpiece_tokens(c, vocab), len(vocab)),
     }
     stats, _ = jobs.analyze_tokenizers(d, toks)
@@ -808,8 +807,10 @@ def q_tokenizer_comparison(spark, sf_dir):
 
 @register("wordpiece_frequency")
 def q_wordpiece_frequency(spark, sf_dir):
+    from .queries_models import trained_pieces
+
     d = _analysis_docs(spark, sf_dir)
-    vocab = wordpiece.build_vocab(d, "text", WP_VOCAB)
+    vocab = trained_pieces(spark, sf_dir)
     tok = d.select(F.lit("wordpiece").alias("tokenizer"), "doc_id", "pos", "text",
                    wordpiece.wordpiece_tokens(F.col("text"), vocab).alias("tokens"))
     return tokstats.token_frequency(tok, top=5)
@@ -817,7 +818,7 @@ def q_wordpiece_frequency(spark, sf_dir):
 
 @register("word2vec_metrics")
 def q_word2vec_metrics(spark, sf_dir):
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, None)
     return round_metrics(jobs.evaluate(kept, aligned, qr, [MODELS["word2vec"]]).drop("dim"))
 
 
@@ -826,12 +827,11 @@ PCA_WIDTH = 32  # half the width of the given vectors (64)
 
 @register("pca_reduce")
 def q_pca_reduce(spark, sf_dir):
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """Every given vector in its first 32 principal components."""
+    from ..operators.pca import fit_components, project
 
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    model = PCA(k=PCA_WIDTH, inputCol="v", outputCol="p").fit(emb)
-    return model.transform(emb).select("vec_id", vector_to_array("p").alias("embedding"))
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return project(emb, fit_components(emb, PCA_WIDTH))
 
 
 @register("lm_generate_batch")
@@ -922,13 +922,16 @@ def q_source_token_stats(spark, sf_dir):
 @register("retrieval_all_models")
 def q_retrieval_all_models(spark, sf_dir):
     """The reference's results table: every tokenizer (byte, character,
-    trained BPE, corpus WordPiece) with the same hashed vectorizer, evaluated
+    trained BPE, trained word pieces) with the same hashed vectorizer, evaluated
     on the test passages in one job; one row per model."""
+    from .queries_models import trained_merges, trained_pieces
     from .registry import bpe_model, wordpiece_model
 
-    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, EVAL_TITLES)
-    vocab = wordpiece.build_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
-    merges = bpe.merges_dict(bpe.bpe_train(corpus(spark, sf_dir).select("pos", "text"), BPE_VOCAB))
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, None)
+    merges, vocab = trained_merges(spark, sf_dir), trained_pieces(spark, sf_dir)
     models = [MODELS["byte-hashed"], MODELS["char-hashed"], bpe_model(merges), wordpiece_model(vocab)]
     qtext = aligned.join(qs.select("query_id"), "query_id")
     return round_metrics(jobs.evaluate(kept, qtext, qr, models))
+
+
+from . import queries_models  # noqa: E402, F401  registers the queries on trained models

@@ -32,7 +32,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return this application's folder in the one that ``spark.checkpoint.dir``
+    names.
 
     On a cluster this setting points at shared storage and is used as is; there
     it must be set. Only a local session (tests) gets a scratch folder.
@@ -46,9 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="lexiscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
-    return configured
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 _SHIPPED: set[str] = set()

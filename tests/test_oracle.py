@@ -12,9 +12,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF001
-from lexiscope.operators import wordpiece
-from lexiscope.plans.queries import BPE_VOCAB, PCA_WIDTH, WP_VOCAB, _analysis_docs
+from lexiscope.operators import bpe, ranked_bpe, wordpiece
+from lexiscope.plans.queries import PCA_WIDTH, WP_VOCAB, _analysis_docs, _lm_docs
 from lexiscope.plans.queries import QUERIES as CORE
+from lexiscope.plans.queries_models import BPE_VOCAB, RECALL, published, trained_merges, trained_pieces
 from lexiscope.sources.testdata import TABLES
 
 SQL = {k: sql for k, (_, sql) in CORE.items() if sql}
@@ -79,24 +80,69 @@ def texts(spark, *cols):
 
 def test_rows_only_queries_are_all_checked():
     assert set(QUERIES) - set(SQL) == {"bpe_train", "wordpiece_frequency", "tokenizer_comparison", "retrieval_all_models",
-                                       "word2vec_metrics", "pca_reduce", "lm_generate_batch"}
+                                       "word2vec_metrics", "pca_reduce", "lm_generate_batch", "wordpiece_train", "bpe_encode_trained",
+                                       "published_bpe_tokens", "topk_cells_recall", "lm_generate_published", "metrics_common_width"}
 
 
 def test_bpe_train_by_brute_force(spark):
     got = sorted((r["new_id"], r["left"], r["right"], r["cnt"]) for r in rows_of(spark, "bpe_train"))
     assert [g[0] for g in got] == list(range(256, 256 + len(got))) and len(got) == BPE_VOCAB - 256
-    lines = ["".join(chr(0x100 + b) for b in (t.replace("\n", " ") + "\n").encode()) for t in texts(spark, "text")]
-    for new_id, left, right, cnt in got[:10]:
-        count = Counter(p for t in lines for p in map("".join, zip(t, t[1:])))
+    whole = "".join(chr(0x100 + b) for t in texts(spark, "text") for b in (t.replace("\n", " ") + "\n").encode())
+    for new_id, left, right, cnt in got[:25]:
+        count = Counter(map("".join, zip(whole, whole[1:])))
         top = max(count.values())
         pair = min(p for p in count if count[p] == top)
         assert (ord(pair[0]) - 0x100, ord(pair[1]) - 0x100, top) == (left, right, cnt)
-        lines = [t.replace(pair, chr(0x100 + new_id)) for t in lines]
+        whole = whole.replace(pair, chr(0x100 + new_id))
+    # the others are only applied: every count is that of the pair in the string so far
+    for new_id, left, right, cnt in got[25:]:
+        pair = chr(0x100 + left) + chr(0x100 + right)
+        assert sum(whole.startswith(pair, i) for i in _places(whole, pair)) == cnt
+        whole = whole.replace(pair, chr(0x100 + new_id))
+
+
+def _places(whole, pair):
+    at = whole.find(pair)
+    while at >= 0:
+        yield at
+        at = whole.find(pair, at + 1)
+
+
+def test_trained_encoding_is_the_longest_match(spark):
+    merges = trained_merges(spark, SF001)
+    spelled = {s: i for i, s in bpe.vocab_bytes(merges).items() if i in bpe.reachable_ids(merges)}
+    longest = max(map(len, spelled))
+    got = {r["doc_id"]: r for r in rows_of(spark, "bpe_encode_trained")}
+    docs = spark.read.parquet(os.path.join(SF001, "documents.parquet")).collect()
+    assert len(got) == len(docs) and all(r["roundtrip"] for r in got.values())
+    for r in docs[:60]:
+        data, n = r["text"].encode(), 0
+        while data:
+            data = data[next(k for k in range(min(longest, len(data)), 0, -1) if data[:k] in spelled):]
+            n += 1
+        assert got[r["doc_id"]]["n_tokens"] == n
+
+
+def test_published_ids_round_trip(spark):
+    known = published()
+    spelled = {i: bytes([b]) for b, i in enumerate(known.byte_ids)}
+    for (a, b), (_, new) in sorted(known.merges.items(), key=lambda kv: kv[1]):
+        spelled[new] = spelled[a] + spelled[b]
+    docs = spark.read.parquet(os.path.join(SF001, "documents.parquet")).select("doc_id", "text", ranked_bpe.ranked_tokens("text", known).alias("i"))
+    sizes = {r["doc_id"]: r["n_tokens"] for r in rows_of(spark, "published_bpe_tokens")}
+    for r in docs.collect():
+        assert b"".join(map(spelled.__getitem__, r["i"])).decode() == r["text"] and sizes[r["doc_id"]] == len(r["i"])
+
+
+def test_recall_of_the_cells(spark):
+    (r,) = rows_of(spark, "topk_cells_recall")
+    assert r["recall"] >= 0.9 and 0 < r["probes"] <= r["cells"] and r["n_pairs"] == 15 * r["n_queries"] and RECALL >= 0.9
 
 
 def test_wordpiece_frequency_by_brute_force(spark):
     docs = _analysis_docs(spark, SF001)
-    vocab = wordpiece.build_vocab(docs, "text", WP_VOCAB)
+    vocab = trained_pieces(spark, SF001)
+    assert [r["token"] for r in sorted(rows_of(spark, "wordpiece_train"), key=lambda r: r["token_id"])] == vocab and len(vocab) == WP_VOCAB
     index = {v: i for i, v in enumerate(vocab)}
     count = Counter()
     for r in docs.select(wordpiece.basic_words("text").alias("w")).collect():
@@ -114,8 +160,8 @@ def test_wordpiece_frequency_by_brute_force(spark):
 
 def test_comparisons_agree_with_the_checked_queries(spark):
     stats = {r["tokenizer"]: r for r in rows_of(spark, "tokenizer_comparison")}
-    assert set(stats) == {"byte", "char", "bpe", "bpe-ranked", "wordpiece"}
-    for name in ("byte", "char", "bpe"):
+    assert set(stats) == {"byte", "char", "bpe", "bpe-ranked", "bpe-published", "wordpiece"}
+    for name in ("byte", "char"):
         (want,) = rows_of(spark, f"{name}_token_stats")
         assert _canon([*want], [[stats[name][k] for k in want]]) == _canon([*want], [[*want.values()]])
     models = {r["model"]: r for r in rows_of(spark, "retrieval_all_models")}
@@ -134,6 +180,44 @@ def test_trained_vectors(spark):
     assert (np.diff(np.diag(cov)) < 1e-9).all()
 
 
+def test_generated_tokens_of_a_large_vocabulary(spark):
+    got = rows_of(spark, "lm_generate_published")
+    known = published()
+    train = _lm_docs(spark, SF001).where("split = 'train'").select(ranked_bpe.ranked_tokens("text", known).alias("t")).collect()
+    behind = {}
+    for r in train:
+        for a, b in zip(r["t"], r["t"][1:]):
+            behind.setdefault(a, Counter())[b] += 1
+    seeds = spark.read.parquet(os.path.join(SF001, "benchmark.parquet")).select("item_id", ranked_bpe.ranked_tokens("text", known).alias("t")).collect()
+    last = {r["item_id"]: (len(r["t"]), r["t"][-1]) for r in seeds}
+    assert {r["query_id"] for r in got} == set(last)
+    for r in got:
+        n, before = last[r["query_id"]]
+        assert r["n_tokens"] == n + 10
+        for token in map(int, r["tokens"].split(",")):
+            own = sorted(behind.get(before, {}).items(), key=lambda x: (-x[1], x[0]))
+            likely = [t for t, _ in own][:50] or range(50)
+            if len(own) >= 50 or not own:
+                assert token in likely
+            else:  # or one of the first never seen there
+                assert token in likely or token < 50 + len(own)
+            before = token
+
+
+def test_rotation_alone_changes_no_metric(spark):
+    from lexiscope.plans import jobs
+    from lexiscope.plans.queries import _prepared, round_metrics
+    from lexiscope.plans.registry import MODELS
+
+    docs, kept, qs, qr, aligned = _prepared(spark, SF001, None)
+    same = round_metrics(jobs.evaluate_reduced(kept, aligned, qr, [MODELS["byte-hashed"]], 256)).collect()
+    want = {r["model"]: r for r in rows_of(spark, "retrieval_metrics_wide")}["byte-hashed"]
+    assert len(same) == 1 and all(_norm(same[0][k]) == _norm(v) for k, v in want.items())
+    got = rows_of(spark, "metrics_common_width")
+    assert {r["model"] for r in got} == {"byte-hashed", "char-hashed", "word2vec"} and {r["width"] for r in got} == {32}
+    assert all(r["num_queries"] == want["num_queries"] and 0 <= r["mrr"] <= 1 for r in got)
+
+
 def test_generated_texts(spark):
     seeds = {r["item_id"]: r["text"] for r in spark.read.parquet(os.path.join(SF001, "benchmark.parquet")).collect()}
     got = rows_of(spark, "lm_generate_batch")
