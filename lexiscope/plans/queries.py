@@ -934,4 +934,4 @@ def q_retrieval_all_models(spark, sf_dir):
     return round_metrics(jobs.evaluate(kept, qtext, qr, models))
 
 
-from . import queries_models  # noqa: E402, F401  registers the queries on trained models
+from . import queries_io, queries_models  # noqa: E402, F401  register theirs

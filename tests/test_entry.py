@@ -41,6 +41,7 @@ def test_checkpoint_folder_of_a_local_session_without_settings(tmp_path):
 def test_other_missing_modules_are_errors(tmp_path):
     shutil.copytree(os.path.join(ROOT, "lexiscope"), tmp_path / "lexiscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
-    (tmp_path / "corpus_pipeline.py").write_text("import not_a_module_at_all\n")
+    (tmp_path / "lexiscope" / "llm").mkdir()
+    (tmp_path / "lexiscope" / "llm" / "queries.py").write_text("import not_a_module_at_all\n")
     out = run("try:\n    import __spark_entry__\nexcept ModuleNotFoundError as e:\n    print(e.name)", tmp_path)
     assert out.split()[-1] == "not_a_module_at_all"

@@ -44,3 +44,16 @@ def test_embed_all_models_and_stream(spark, tmp_path):
     a = {r.doc_id: r.embedding for r in batch.collect()}
     for r in s.limit(20).collect():
         assert max(abs(x - y) for x, y in zip(r.embedding, a[r.id])) < 1e-6
+
+
+def test_evaluations_take_all_titles(spark, tmp_path):
+    from lexiscope.plans.queries import _prepared
+
+    rows = [(i, f"text number {i} about things that nobody else says {i * i}", "en", f"source {i}", 1) for i in range(3001)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "number 3000 about things that nobody else says"), (2, "number 7 about things that nobody else says")],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    _, kept, _, _, aligned = _prepared(spark, str(tmp_path), None)
+    assert kept.count() == 3001 and sorted(r["query_id"] for r in aligned.collect()) == [1, 2]
+    _, kept, _, _, aligned = _prepared(spark, str(tmp_path), 3000)
+    assert kept.count() == 3000 and [r["query_id"] for r in aligned.collect()] == [2]
