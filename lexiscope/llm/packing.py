@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,6 +38,7 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 CACHE_ENTRIES = 800_000
+CACHE_CHARS = 32 << 20
 SALT_ROWS = 2_000
 MARKS = string.punctuation
 _LOADED: dict = {}
@@ -46,64 +48,117 @@ _LOADED: dict = {}
 
 class _Encoder:
     """Ids of whole texts. The tokenizer drops white space, so the ids of a text
-    are those of its parts between spaces; each distinct part is encoded once
-    and a bounded number is remembered, as little-endian 32-bit ids."""
+    are those of its parts between spaces. Each distinct part is encoded once;
+    the ids of a bounded number of parts are remembered one behind the other."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.place: dict[str, int] = {}  # part -> its number
+        self.chars = 0  # of all parts
+        self.ids = np.zeros(0, "<u4")
+        self.ends = np.zeros(1, np.int64)  # of each part's ids, from the second on
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word
         for piece, i in vocab.items():
             self.last[i] = piece.endswith("</w>")
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one behind the other, how many of each)."""
+        found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_raw``, of words of letters: a hundred at a time, as a word's last
+        id marks its end."""
+        ids, sizes = [], []
+        for i in range(0, len(words), 20_000):
+            some = words[i:i + 20_000]
+            raw, _ = self._raw([" ".join(some[j:j + 100]) for j in range(0, len(some), 100)])
+            ends = np.flatnonzero(self.last[raw]) + 1
+            if len(ends) != len(some):
+                raw, own = self._raw(some)
+            else:
+                own = np.diff(ends, prepend=0)
+            ids.append(raw)
+            sizes.append(own)
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def _learn(self, parts: list[str]) -> None:
         """Letters with ASCII marks behind them are two words of the tokenizer,
-        the letters and the marks; the letters are encoded a hundred words at a
-        time, and a word's last id marks its end."""
-        known, rest, split = self.known, [], []
+        the letters and the marks, if the letters stay letters in lower case."""
+        stems: dict[str, int] = {}
+        others: dict[str, int] = {}  # marks, and whatever is encoded as a whole
+        first, second = [], []  # of each part: its stem or -1, what stands behind or in its stead
         for p in parts:
             stem = p.rstrip(MARKS)
-            if stem.isalpha():
-                split.append((p, stem, p[len(stem):]))
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                first.append(stems.setdefault(stem, len(stems)))
+                second.append(others.setdefault(p[len(stem):], len(others)) if len(stem) < len(p) else -1)
             else:
-                rest.append(p)
-        words = list({stem for _, stem, _ in split}.difference(known))
-        rest += {m for _, _, m in split}.difference(known, rest)
-        known.update(zip(rest, self._raw(rest), strict=True))
-        for i in range(0, len(words), 20_000):
-            groups = [words[j:j + 100] for j in range(i, min(i + 20_000, len(words)), 100)]
-            for group, raw in zip(groups, self._raw([" ".join(g) for g in groups]), strict=True):
-                ends = ((np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
-                if len(ends) != len(group):
-                    known.update(zip(group, self._raw(group), strict=True))
-                    continue
-                known.update((w, raw[s:e]) for w, s, e in zip(group, [0, *ends[:-1]], ends, strict=True))
-        known.update((p, known[stem] + known[marks]) for p, stem, marks in split if marks)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            try:  # lower case is the same per character for these
-                t.encode("latin-1")
-                t = t.replace("\n", " ") if "<|" in t else t.replace("\n", " ").lower()
-            except UnicodeEncodeError:
-                t = t.replace("\n", " ")
-            cut.append(t.split(" "))
-        every = set(chain.from_iterable(cut))
-        missing = [p for p in every if p not in self.known]
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known.clear()
-            missing = list(every)
-        self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+                first.append(-1)
+                second.append(others.setdefault(p, len(others)))
+        ids, sizes = self._words(list(stems))
+        more, own = self._raw(list(others))
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, own, [0]])
+        starts = np.cumsum(sizes) - sizes
+        none = len(sizes) - 1
+        one, two = np.array(first, np.int64), np.array(second, np.int64)
+        place = np.stack([np.where(one < 0, none, one), np.where(two < 0, none, two + len(stems))], axis=1).ravel()
+        total = sizes[place].reshape(-1, 2).sum(axis=1)
+        begin = len(self.place)
+        self.place.update(zip(parts, range(begin, begin + len(parts)), strict=True))
+        self.chars += sum(map(len, parts))
+        self.ids = np.concatenate([self.ids, ids[_spread(starts[place], sizes[place])]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(total)])
+
+    def _forget(self) -> None:
+        """Keep the later half of the parts."""
+        half = -(-len(self.place) // 2)
+        self.place = {p: i - half for p, i in self.place.items() if i >= half}
+        self.chars = sum(map(len, self.place))
+        self.ids = self.ids[self.ends[half]:]
+        self.ends = self.ends[half:] - self.ends[half]
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with ``end_id`` behind them; where each text's
+        begin, and the end)."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        names = words.dictionary  # lower case but for what may be a special string
+        names = pc.if_else(pc.match_substring(names, "<|"), names, pc.ascii_lower(names)).dictionary_encode()
+        parts = names.dictionary.to_pylist()
+        missing = [w for w in parts if w not in self.place]
+        while self.place and (len(self.place) + len(missing) > CACHE_ENTRIES or self.chars + sum(map(len, missing)) > CACHE_CHARS):
+            self._forget()
+            missing = [w for w in parts if w not in self.place]
+        if missing:
+            self._learn(missing)
+        number = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        number = number[names.indices.to_numpy()][words.indices.to_numpy()]
+        bounds = np.asarray(cut.offsets, dtype=np.int64)
+        bounds = bounds - bounds[0]
+        # the end id is one more part, behind the last one of each text
+        number = np.insert(number, bounds[1:], len(self.place))
+        begin, size = np.append(self.ends[:-1], len(self.ids)), np.append(np.diff(self.ends), 1)
+        sizes = size[number]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        return np.append(self.ids, np.uint32(end_id))[_spread(begin[number], sizes)], before[bounds + np.arange(len(bounds))]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        ids, starts = self.encode_all(pa.array(texts, pa.string()), END_ID)
+        return [ids[a:b - 1].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of these sizes, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((starts - (ends - sizes)).astype(kind), sizes)
 
 
 def encoder(path: str) -> _Encoder:
@@ -118,25 +173,27 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int =
     its ids, then ``end_id``, cut into pieces of ``capacity``.
 
     A null or empty text is the end id alone. Repeated rows each give their
-    pieces; an empty table gives none; other columns are not read."""
+    pieces; an empty table gives none; other columns are not read. A very long
+    text is encoded by itself."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def pieces(part: pa.RecordBatch):
-        enc = encoder(tokenizer)
-        out: list[list] = [[], [], [], [], [], []]
-        texts = [t or "" for t in part.column(1).to_pylist()]
-        for doc, ids in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
-            ids += end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                piece = ids[at:at + 4 * capacity]
-                for c, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece),
-                                      np.frombuffer(piece, "<i4") if keep_ids else None), strict=True):
-                    c.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        n = 6 if keep_ids else 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds, strict=False)], names=names[:n])
+        ids, bounds = encoder(tokenizer).encode_all(part.column(1), end_id)
+        sizes = np.diff(bounds)
+        n = -(-sizes // capacity)
+        doc = np.repeat(np.arange(len(n)), n)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(sizes[doc] - start, capacity)
+        begin = bounds[doc] + start
+        raw = memoryview(ids).cast("B")
+        crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+        columns = [part.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if keep_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.view("<i4"))))
+            names.append("ids")
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows_to(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")),
                    "text", schema, pieces)
@@ -294,7 +351,7 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
     separate items. Nulls in the key sort first. An empty table gives an empty
     table; columns named like the new ones are replaced; a null length or one
     out of range is an error."""
-    items = items.drop("sequence_id", "offset", "__salt", "__rank")
+    items = items.drop("sequence_id", "offset", "__salt", "__salts", "__rank")
     counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if None in counts:
         raise ValueError("an item has no length")
@@ -304,12 +361,10 @@ def pack(items: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
 
     # number the items within their length; a hot length in many groups
     spark = items.sparkSession
-    n_salts = F.lit(1)
-    if max(counts.values(), default=0) > SALT_ROWS:
-        hot = [(k, -(-n // SALT_ROWS)) for k, n in sorted(counts.items()) if n > SALT_ROWS]
-        n_salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in hot for x in kv]),
-                                          F.col("length").cast("long")), F.lit(1).cast("long"))
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*key), n_salts).cast("long"))
+    hot = spark.createDataFrame([(k, -(-n // SALT_ROWS)) for k, n in counts.items()], "length long, __salts long")
+    hot = hot.withColumn("length", F.col("length").cast(items.schema["length"].dataType))  # at most ``capacity`` rows
+    salted = items.join(F.broadcast(hot), "length") \
+        .select(*items.columns, F.pmod(F.xxhash64(*key), F.col("__salts")).cast("long").alias("__salt"))
     groups = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
