@@ -11,6 +11,11 @@ but running text: paragraphs, headings, lists, tables, quotations) go from
 article running text is not subject to counting: a passage that many articles
 share is text, not template.
 
+A name only drops a container beside the text: if the longest article of a page,
+or all running text of a page without one, lies in containers dropped by their
+class or id, or in a form, these stay, and what is in them is judged piece by
+piece. Words within a line and preformatted text are not judged by names at all.
+
 The main text is that of the outermost ``article`` elements; without one that of
 ``main``, without that of the body. The templates of all hosts stay in Spark when
 they are many: the digests of each page are joined with them by host and digest,
@@ -40,6 +45,8 @@ HOST_DIGESTS = 5_000  # templates of one host that are sent along with each of i
 
 _TAG = re.compile(r"<(?:!--|(?P<decl>[!?][^>]*+>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
                   r"(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>)")
+_TAG_OPENS = re.compile(r"</?[a-zA-Z]")
+_PLAIN_TAG = re.compile(r"<(?:!--|(?P<decl>[!?][^>]*+>)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>)")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
@@ -71,18 +78,25 @@ NOT_ALONE = frozenset("notice notices alert".split())
 RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr thead tbody tfoot caption blockquote pre figure figcaption address".split())
 #: The parts of a class name that make it one of the page's frame: "site-header", not "article-header".
 FRAME = frozenset("site page top main global".split())
-#: A start tag closes an open element of these kinds, up to the container.
-CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-          "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 NOT_IN_P = frozenset("p div section article main aside nav header footer ul ol dl table form blockquote pre h1 h2 h3 h4 h5 h6 "
                      "figure address details hr fieldset".split())
 
 
+#: Lists and tables of an article may have a name that is one of these words.
+PLAIN_LISTS = frozenset("ul ol dl table".split())
+LIST_NAMES = NOT_ALONE | frozenset("menu menus search".split())
+#: Why an element is left out: by what it is, or by its name alone.
+KEPT, FIRM, NAMED = 0, 1, 2
+
+
 class Element:
-    __slots__ = ("tag", "kids", "gone", "inside", "digest")
+    """``scope`` holds, for each kind of element that a start tag may close, the
+    place on the stack of open elements where the nearest one is, or -1."""
+
+    __slots__ = ("tag", "kids", "gone", "inside", "pre", "digest", "scope")
 
-    def __init__(self, tag: str, gone: bool, inside: bool):
-        self.tag, self.gone, self.inside = tag, gone, inside
+    def __init__(self, tag: str, gone: int, inside: bool, pre: bool = False, scope: tuple = (-1,) * 5):
+        self.tag, self.gone, self.inside, self.pre, self.scope = tag, gone, inside, pre, scope
         self.kids: list = []
         self.digest = 0
 
@@ -93,38 +107,65 @@ def _boilerplate_name(name: str) -> bool:
     return bool(words & DROPPED_WORDS) and words <= BESIDE_WORDS and not words <= NOT_ALONE
 
 
-def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, inside: bool, pre: bool) -> int:
+    """FIRM, NAMED or KEPT."""
+    if tag == "form":
+        return NAMED
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return FIRM
     if not attrs or attrs.isspace():
-        return False
+        return KEPT
+    by_name = tag not in ("html", "body", "article", "main") and tag not in INLINE and not pre
+    found = KEPT
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return FIRM
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return FIRM
         if name == "role" and value in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if tag in RUNNING and (inside or name == "id") or inside and name == "id" and tag == "section":
-                continue
-            for one in value.split():
-                words = set(_WORD.findall(one))
-                if _boilerplate_name(one) or words & DROPPED_WORDS and not inside and name == "class" and tag not in RUNNING:
-                    return True
-                if tag not in RUNNING and "header" in words and (len(words) == 1 and not inside or words & FRAME):
-                    return True
+            return NAMED if value == "form" else FIRM
         if tag == "article" and name == "class" and set(_WORD.findall(value)) & {"comment", "comments", "reply"}:
-            return True
-    return False
+            return FIRM
+        if name not in ("class", "id") or not by_name:
+            continue
+        if tag in RUNNING and (inside or name == "id") or inside and name == "id" and tag == "section":
+            continue
+        for one in value.split():
+            words = set(_WORD.findall(one))
+            if inside and tag in PLAIN_LISTS and words <= LIST_NAMES:
+                continue
+            if _boilerplate_name(one):
+                found = NAMED
+            if tag not in RUNNING and "header" in words and (len(words) == 1 and not inside or words & FRAME and words <= BESIDE_WORDS | {"header"}):
+                found = NAMED
+    return found
+
+
+#: The groups of ``scope``: elements that a start tag closes, and those that hide them.
+_GROUPS = (({"p"}, None), ({"li"}, {"ul", "ol"}), ({"dt", "dd"}, {"dl"}), ({"tr", "td", "th"}, {"table"}), ({"td", "th"}, {"tr", "table"}))
+_GROUP_OF = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4}
+
+
+def _scope(tag: str, above: tuple, place: int) -> tuple:
+    if tag in INLINE and tag not in ("td", "th"):
+        return above
+    out = [-1 if tag != "p" else place]
+    for (kinds, until), held in zip(_GROUPS[1:], above[1:], strict=True):
+        out.append(place if tag in kinds else -1 if tag in until else held)
+    if tag in INLINE:  # cells hide no paragraph
+        out[0] = above[0]
+    return tuple(out)
 
 
 def parse(page: str) -> Element:
-    """The tree of a page. Tags that only mark words are left out; open elements
-    end with the page."""
-    root = Element("html", False, False)
+    """The tree of a page, in time linear in its length. Tags that only mark words
+    are left out; open elements end with the page. Once a tag does not end because
+    of an open quotation mark, tags end at the next ``>``."""
+    root = Element("html", KEPT, False)
     stack, at = [root], 0
+    opened: dict[str, int] = {}
+    last_close, tags = page.rfind(">"), _TAG
 
     def text(s: str) -> None:
         if s and not s.isspace():
@@ -132,17 +173,25 @@ def parse(page: str) -> Element:
         elif s:
             stack[-1].kids.append(" ")
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+
     while True:
         start = page.find("<", at)
-        if start < 0:
+        if start < 0 or start > last_close:
             text(page[at:])
-            return root
-        m = _TAG.match(page, start)
+            break
+        m = tags.match(page, start)
+        if m is None and tags is _TAG and _TAG_OPENS.match(page, start):
+            tags = _PLAIN_TAG
+            m = tags.match(page, start)
         if m is None:  # not a tag
             nxt = page.find("<", start + 1)
             text(page[at:nxt] if nxt >= 0 else page[at:])
             if nxt < 0:
-                return root
+                break
             at = nxt
             continue
         text(page[at:start])
@@ -155,10 +204,11 @@ def parse(page: str) -> Element:
             continue
         name = name.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k].tag != name:
+                    k -= 1
+                close(k)
             continue
         attrs = m["attrs"]
         if name in RAW:
@@ -167,34 +217,70 @@ def parse(page: str) -> Element:
             continue
         if name in VOID:
             if name == "hr":
-                stack[-1].kids.append(Element("hr", False, False))
+                stack[-1].kids.append(Element("hr", KEPT, False))
             else:
                 stack[-1].kids.append(" ")
             continue
-        if name in PLAIN:
-            continue
-        if name in ("html", "body"):
+        if name in PLAIN or name in ("html", "body"):
             continue
-        if name in NOT_IN_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
-        if name in CLOSES:
-            kinds, until = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in kinds:
-                    del stack[k:]
-                    break
-                if stack[k].tag in until:
-                    break
+        if name in NOT_IN_P and stack[-1].scope[0] > 0:
+            close(stack[-1].scope[0])
+        if name in _GROUP_OF and stack[-1].scope[_GROUP_OF[name]] > 0:
+            close(stack[-1].scope[_GROUP_OF[name]])
         parent = stack[-1]
-        e = Element(name, _boilerplate(name, attrs, parent.inside), parent.inside or name in ("article", "main"))
+        pre = parent.pre or name == "pre"
+        e = Element(name, _boilerplate(name, attrs, parent.inside, parent.pre), parent.inside or name in ("article", "main"), pre,
+                    _scope(name, parent.scope, len(stack)))
         parent.kids.append(e)
         if not attrs.rstrip().endswith("/") or name not in ("a", "span", "div", "p"):
             stack.append(e)
+            opened[name] = opened.get(name, 0) + 1
+    _keep_the_text(root)
+    return root
+
+
+#: An article dropped by a name comes back beside others if it is so many times longer.
+LONGER = 3
+
+
+def _keep_the_text(root: Element) -> None:
+    """Take back what names dropped if the page's text is in it."""
+    order, todo = [], [(root, -1, 0, -1, False)]
+    while todo:  # parents first: element, its parent's place, names above it, place of its article, in a link
+        e, above, named, article, link = todo.pop()
+        place = len(order)
+        named += e.gone == NAMED
+        if article < 0 and e.tag in ("article", "main"):
+            article = place
+        link = link or e.tag == "a"
+        if e.gone != FIRM:
+            order.append((e, above, named, article, link))
+            todo.extend((k, place, named, article, link) for k in e.kids if isinstance(k, Element))
+    if not any(e.gone == NAMED for e, *_ in order):
+        return
+    kept = 0  # characters of running text
+    articles: dict[int, int] = {}
+    blocks: dict[int, int] = {}
+    for place, (e, _, named, article, link) in enumerate(order):
+        own = 0 if link else sum(len(k) - k.count(" ") for k in e.kids if isinstance(k, str))
+        if article >= 0 and named == order[article][2]:  # what names drop within an article does not count
+            articles[article] = articles.get(article, 0) + own
+        if not named:
+            kept += own
+        elif own:
+            blocks[place] = own
+    if articles:
+        place = max(articles, key=lambda p: (articles[p], -p))
+        if articles[place] <= LONGER * max((n for p, n in articles.items() if not order[p][2]), default=0):
+            return
+    elif kept or not blocks:
+        return
+    else:  # the longest of those under the fewest names
+        place = min(blocks, key=lambda p: (order[p][2], -blocks[p]))
+    while place >= 0:
+        e, place = order[place][0], order[place][1]
+        if e.gone == NAMED:
+            e.gone = KEPT
 
 
 def digest_elements(root: Element) -> list[int]:
