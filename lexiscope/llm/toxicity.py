@@ -19,7 +19,8 @@ how much more often they occur there than in negative ones; those, against
 units of negative documents, train the machine, which then twice gets the worst
 units of the negative documents it had wrong; the margins of the labelled
 documents fix the scale of the score. All of it is fitted on at most
-``MAX_LABELLED`` labelled documents, picked by a hash of their id.
+``MAX_LABELLED`` labelled documents, picked by a hash of their id. A unit of few
+positive texts counts if chance would not make one such unit of all there are.
 """
 
 from __future__ import annotations
@@ -35,10 +36,16 @@ from pyspark.sql import types as T
 
 from lexiscope.llm.arrow_rows import map_texts, rows_to, table
 
+#: Bounds of what the machine is fitted on; every document is scored. Labelled
+#: documents; units of negative ones, by hash and by frequency; landmarks.
 MAX_LABELLED = 20_000
-MAX_POSITIVE_UNITS = 2_000
-MAX_NEGATIVE_UNITS = 30_000
+NEGATIVE_UNITS = 30_000
+COMMON_UNITS = 2_000
 LANDMARKS = 128
+#: A positive unit stands in so many positive texts, by these odds (logarithm),
+#: and more often than chance would make one of all units.
+LEAST_TEXTS = 3
+LEAST_ODDS = 3.0
 ROUNDS = 3
 TOP = 8
 CHANGED = 30
@@ -271,12 +278,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     counts = unit_counts(sample).where(F.length("unit") > 2)
     up, down = (F.col("up") + 0.5) / (n_up + 1), (F.col("down") + 0.5) / (n_down + 1)
     counts = counts.withColumn("odds", F.log(up / down)).checkpoint()
-    least = max(2, round(0.01 * n_up))
-    positive = counts.where((F.col("up") >= least) & (F.col("odds") > 3.0)) \
-        .orderBy(F.desc("up"), "unit").limit(MAX_POSITIVE_UNITS).collect()
+    # the chance that so many of a unit's texts are positive, by the divergence of the shares
+    share = n_up / (n_up + n_down)
+    both, own = F.col("up") + F.col("down"), F.col("up") / (F.col("up") + F.col("down"))
+    apart = own * F.log(own / share) + F.when(own < 1, (1 - own) * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    n_units = counts.where(both >= LEAST_TEXTS).count()
+    positive = counts.where((F.col("up") >= LEAST_TEXTS) & (F.col("odds") > LEAST_ODDS) & (both * apart > F.log(F.lit(max(1, n_units))))) \
+        .orderBy(F.desc("up"), "unit").collect()
     negative = counts.where((F.col("down") > 0) & (F.col("odds") < 0.7))
-    random = negative.orderBy(F.xxhash64("unit"), "unit").limit(MAX_NEGATIVE_UNITS).collect()
-    common = negative.orderBy(F.desc("down"), "unit").limit(2000).collect()
+    random = negative.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE_UNITS).collect()
+    common = negative.orderBy(F.desc("down"), "unit").limit(COMMON_UNITS).collect()
     good = {r["unit"]: r["up"] for r in positive}
     bad = {r["unit"] for r in random} | {r["unit"] for r in common}
     if not good or not bad:
@@ -322,25 +333,37 @@ def pick_landmarks(good: list[str], bad: list[str], n: int = LANDMARKS) -> list[
     """Units spread over the positive ones, each the least like those before,
     from the most frequent on; the last quarter the negative ones most like
     them."""
-    vectors = Vectors(good[:500]).rows
-    chosen, near = [0], vectors @ vectors[0]
-    while len(chosen) < min(n * 3 // 4, len(vectors)):
+    row, feature, weight = subsequences(good)
+    norm = np.sqrt(np.bincount(row, weight * weight, len(good)))
+    weight = weight / np.where(norm > 0, norm, 1)[row]
+    starts = np.searchsorted(row, np.arange(len(good) + 1))
+    dense = np.zeros(FEATURES)
+
+    def like(k: int) -> np.ndarray:
+        own = slice(starts[k], starts[k + 1])
+        dense[feature[own]] = weight[own]
+        out = np.bincount(row, weight * dense[feature], len(good))
+        dense[feature[own]] = 0
+        return out
+
+    chosen, near = [0], like(0)
+    while len(chosen) < min(n * 3 // 4, len(good)):
         k = int(np.argmin(near))
         if near[k] > 0.95:
             break
         chosen.append(k)
-        near = np.maximum(near, vectors @ vectors[k])
+        near = np.maximum(near, like(k))
     marks = [good[k] for k in chosen]
-    like = Vectors(marks).times(bad).max(axis=1)
-    return marks + [bad[i] for i in np.argsort(-like, kind="stable")[:n // 4]]
+    near = Vectors(marks).times(bad).max(axis=1)
+    return marks + [bad[i] for i in np.argsort(-near, kind="stable")[:n // 4]]
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (of it the columns ``keep``, all if None) with ``score`` from 0
     to 1, higher for likelier toxic, and ``predicted``. A null text counts as an
     empty one and has the score of a text without a unit; repeated rows score
-    alike; an empty table gives an empty table; columns of those names are
-    replaced."""
+    alike; a long text is scored as a whole, by its largest margins; an empty
+    table gives an empty table; columns of those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(arr: pa.Array) -> list:
