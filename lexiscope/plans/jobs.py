@@ -14,7 +14,7 @@ from ..operators.metrics import (DEFAULT_KS, average_metrics, match_relevant, pe
                                  relevant_counts)
 from ..operators.ordering import split_by_position
 from ..operators.retrieve import topk_cosine, topk_cosine_models
-from ..operators.vectorize import embed_hashed, fit_idf, hashed_tf, hashed_vector
+from ..operators.vectorize import embed_hashed, fit_idf, hashed_counts, hashed_tf, hashed_vector, weighted_vector
 from ..session import checkpoint_dir
 from .registry import Model
 
@@ -27,11 +27,22 @@ def prepare(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, n_titles: i
     return kept, aligned, prep.aligned_qrels(qrels, aligned)
 
 
-def fit_idfs(corpus: DataFrame, models: list[Model], *, title: str = "title",
-             text: str = "text") -> dict[str, list[float] | None]:
-    """The idf of every model in one pass over the corpus: one Summarizer per
-    model's term-count column inside a single aggregation (each result is
-    ``dim`` numbers)."""
+def term_counts(corpus: DataFrame, models: list[Model], *, title: str = "title", text: str = "text") -> DataFrame:
+    """``doc_id`` and the hashed term counts of every model in a column named like
+    it: one pass over the corpus."""
+    content = content_for_embedding(title, text)
+    return corpus.select("doc_id", *[hashed_counts(m.tokenizer.tokens(content), m.dim, m.ngram).alias(m.name) for m in models])
+
+
+def fit_idfs(corpus: DataFrame, models: list[Model], *, title: str = "title", text: str = "text") -> dict[str, list[float] | None]:
+    """The idf of every model in one pass over the corpus."""
+    return idfs_of_counts(term_counts(corpus, models, title=title, text=text), models)
+
+
+def idfs_of_counts(counts: DataFrame, models: list[Model]) -> dict[str, list[float] | None]:
+    """The idf of every model from its column of term counts, named like it: one
+    Summarizer for each inside a single aggregation (each result is ``dim``
+    numbers)."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
@@ -39,12 +50,9 @@ def fit_idfs(corpus: DataFrame, models: list[Model], *, title: str = "title",
     out: dict[str, list[float] | None] = {m.name: None for m in models}
     if not with_idf:
         return out
-    content = content_for_embedding(title, text)
-    tfs = corpus.select(*[hashed_tf(m.tokenizer.tokens(content), m.dim, m.ngram).alias(f"tf{i}")
-                          for i, m in enumerate(with_idf)])
-    row = tfs.select(*[Summarizer.metrics("numNonZeros", "count")
-                       .summary(array_to_vector(F.col(f"tf{i}"))).alias(f"s{i}")
-                       for i in range(len(with_idf))]).collect()[0]
+    row = counts.select(*[Summarizer.metrics("numNonZeros", "count")
+                          .summary(array_to_vector(F.col(f"`{m.name}`").cast("array<double>"))).alias(f"s{i}")
+                          for i, m in enumerate(with_idf)]).collect()[0]
     for i, m in enumerate(with_idf):
         n = int(row[f"s{i}"]["count"])
         nnz = row[f"s{i}"]["numNonZeros"].toArray()
@@ -86,8 +94,8 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
              ks=DEFAULT_KS, val_ratio: float = 0.5) -> DataFrame:
     """Retrieval quality of every model on the test part of ``queries``:
     one row per model with ``num_queries, mrr, recall_at_k, precision_at_k``
-    and ``dim``. One pass over the corpus fits the idf of all hashed models, one
-    makes their vectors and searches them; a model with a vectorizer of its own
+    and ``dim``. One pass over the corpus counts the terms of all hashed models;
+    the counts, kept in the checkpoint folder, give their idf, vectors and search; a model with a vectorizer of its own
     is fitted and searched by itself."""
     # the evaluated queries are few and read several times: written once
     checkpoint_dir(corpus.sparkSession)
@@ -95,14 +103,12 @@ def evaluate(corpus: DataFrame, queries: DataFrame, qrels: DataFrame, models: li
     hashed = [m for m in models if m.vectorizer is None]
     parts = []
     if hashed:
-        idfs = fit_idfs(corpus, hashed)
-
-        def vectors(text):
-            return [hashed_vector(m.tokenizer.tokens(text), m.dim, m.ngram, idfs[m.name]).alias(m.name) for m in hashed]
-
-        parts.append(topk_cosine_models(asked.select("query_id", *vectors(F.col("text"))),
-                                        corpus.select("doc_id", *vectors(content_for_embedding("title", "text"))),
-                                        [m.name for m in hashed], max(ks)))
+        # texts are tokenized and counted once: the counts give the idf, then the vectors
+        counts = term_counts(corpus, hashed).checkpoint()
+        idfs = idfs_of_counts(counts, hashed)
+        held = [weighted_vector(F.col(f"`{m.name}`"), m.dim, idfs[m.name]).alias(m.name) for m in hashed]
+        own = [hashed_vector(m.tokenizer.tokens(F.col("text")), m.dim, m.ngram, idfs[m.name]).alias(m.name) for m in hashed]
+        parts.append(topk_cosine_models(asked.select("query_id", *own), counts.select("doc_id", *held), [m.name for m in hashed], max(ks)))
     for m in models:
         if m.vectorizer is not None:
             doc_vecs, state = embed_corpus(corpus, m)

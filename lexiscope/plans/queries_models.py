@@ -46,7 +46,14 @@ def trained_merges(spark, sf_dir: str) -> dict[tuple[int, int], int]:
 
 
 def trained_pieces(spark, sf_dir: str) -> list[str]:
-    return wordpiece_train.train_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
+    """The trained vocabulary, saved and read again like the merges."""
+    key = (spark.sparkContext.applicationId, sf_dir, "pieces")
+    if key not in _SAVED:
+        pieces = wordpiece_train.train_vocab(_analysis_docs(spark, sf_dir), "text", WP_VOCAB)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/pieces-{uuid.uuid4().hex}"
+        spark.createDataFrame(list(enumerate(pieces)), "token_id int, token string").coalesce(1).write.parquet(path)
+        _SAVED[key] = path
+    return [r["token"] for r in spark.read.parquet(_SAVED[key]).orderBy("token_id").collect()]
 
 
 @register("bpe_train")
@@ -58,6 +65,7 @@ def q_bpe_train(spark, sf_dir):
 @register("wordpiece_train")
 def q_wordpiece_train(spark, sf_dir):
     """The trained word pieces with their ids."""
+    _SAVED.pop((spark.sparkContext.applicationId, sf_dir, "pieces"), None)
     return spark.createDataFrame(list(enumerate(trained_pieces(spark, sf_dir))), "token_id int, token string")
 
 

@@ -168,13 +168,14 @@ def test_truncation_keeps_the_end_mark(spark):
     assert df.select(truncate_tokens(F.array(F.lit(1), F.lit(2)), 1).alias("x")).first()["x"] == [1]
 
 
-def test_judgments_by_brute_force(spark):
+@pytest.mark.parametrize("scan_bytes", [testdata.SCAN_BYTES, 300])
+def test_judgments_by_brute_force(spark, scan_bytes):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(5)]
     docs = [(f"d{i}", " ".join(rng.choice(words, 30))) for i in range(40)]
     items = [(f"q{i}", docs[i][1][3:3 + 4 * i]) for i in range(25)] + [("e", ""), ("n", None), ("x", "w1 w9 w1 w2 w3 w4")]
     got = testdata.qrels_by_containment(spark.createDataFrame(docs, "doc_id string, text string"),
-                                        spark.createDataFrame(items, "query_id string, text string"))
+                                        spark.createDataFrame(items, "query_id string, text string"), scan_bytes=scan_bytes)
     assert {tuple(r) for r in got.collect()} == {(q, d) for q, t in items if t for d, text in docs if t in text}
     assert got.count() == len({tuple(r) for r in got.collect()})
 

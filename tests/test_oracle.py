@@ -13,9 +13,10 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF001
 from lexiscope.operators import bpe, ranked_bpe, wordpiece
-from lexiscope.plans.queries import PCA_WIDTH, WP_VOCAB, _analysis_docs, _lm_docs
+from lexiscope.plans import queries_models
+from lexiscope.plans.queries import PCA_WIDTH, _analysis_docs, _lm_docs
 from lexiscope.plans.queries import QUERIES as CORE
-from lexiscope.plans.queries_models import BPE_VOCAB, RECALL, published, trained_merges, trained_pieces
+from lexiscope.plans.queries_models import RECALL, published, trained_merges, trained_pieces
 from lexiscope.sources.testdata import TABLES
 
 SQL = {k: sql for k, (_, sql) in CORE.items() if sql}
@@ -39,6 +40,18 @@ def _canon(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+BPE_VOCAB, WP_VOCAB = 456, 700
+
+
+@pytest.fixture(scope="module", autouse=True)
+def short_training():
+    """The training queries stop early here; the whole job is the same loop."""
+    held = queries_models.BPE_VOCAB, queries_models.WP_VOCAB, queries_models._SAVED
+    queries_models.BPE_VOCAB, queries_models.WP_VOCAB, queries_models._SAVED = BPE_VOCAB, WP_VOCAB, {}
+    yield
+    queries_models.BPE_VOCAB, queries_models.WP_VOCAB, queries_models._SAVED = held
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
