@@ -25,6 +25,24 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_prefix(columns: list[str], start: str = "__") -> str:
+    """A beginning of names that none of ``columns`` has."""
+    while any(c.lower().startswith(start.lower()) for c in columns):
+        start += "_"
+    return start
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: Spark looks the columns of
+    ``mapInArrow`` up by name, where a dot means a field."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def placed(schema: T.StructType) -> T.StructType:
+    """``schema`` with the names of ``by_place``."""
+    return T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows holding about ``max_bytes`` of ``column``;
     a longer text is a run of its own."""
@@ -61,21 +79,20 @@ def map_texts(df: DataFrame, column: str, fields: list[T.StructField],
     kept = [f for f in df.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     source = [col(f.name) for f in kept]
     at = next((i for i, f in enumerate(kept) if f.name == column and f.dataType == T.StringType()), len(kept))
-    work = column if at < len(kept) else "__text__"
     if at == len(kept):
-        source.append(col(column).cast("string").alias(work))
+        source.append(col(column).cast("string"))
     schema = T.StructType(kept + list(fields))
-    target = to_arrow_schema(schema)
+    target = to_arrow_schema(placed(schema))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, work, max_bytes):
+            for part in slices(batch, f"c{at}", max_bytes):
                 arrays = part.columns[:len(kept)] + list(fn(part.column(at)))
                 yield pa.RecordBatch.from_arrays(
                     [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)
                      for x, f in zip(arrays, target, strict=True)], schema=target)
 
-    return df.select(*source).mapInArrow(run, schema)
+    return by_place(df.select(*source)).mapInArrow(run, placed(schema)).toDF(*schema.names)
 
 
 def rows_to(df: DataFrame, column: str, schema: str | T.StructType,

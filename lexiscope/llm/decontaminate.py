@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexiscope.llm.arrow_rows import col, map_texts, table, utf8
+from lexiscope.llm.arrow_rows import by_place, col, free_prefix, map_texts, placed, table, utf8
 from lexiscope.session import checkpoint_dir
 
 WINDOW = 10
@@ -216,8 +216,9 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     # several parts: a pass for each, the hits so far in an extra column
     checkpoint_dir(spark)
-    marks = [T.StructField(f"__hits{i}", T.ArrayType(T.LongType())) for i in range(len(parts))]
-    found = [T.StructField(f"__items{i}", T.ArrayType(T.StringType())) for i in range(len(parts))]
+    own = free_prefix([*docs.columns, *(f.name for f in fields)])
+    marks = [T.StructField(f"{own}hits{i}", T.ArrayType(T.LongType())) for i in range(len(parts))]
+    found = [T.StructField(f"{own}items{i}", T.ArrayType(T.StringType())) for i in range(len(parts))]
     out = docs
     for p, m, f in zip(parts, marks, found, strict=True):
         index = spark.sparkContext.broadcast(TestIndex([tuple(r) for r in p.collect()], window))
@@ -230,31 +231,30 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         out = map_texts(out, "text", [m, f], scan).checkpoint()
         index.destroy()
     # merge the parts: hits and items travel in front of the text
-    out = out.withColumn("__hits", F.concat(*[F.col(m.name) for m in marks])) \
-             .withColumn("__found", F.array_sort(F.array_distinct(F.concat(*[F.col(f.name) for f in found]))))
-    out = out.drop(*[x.name for x in marks + found])
     new = {f.name for f in fields}
     schema = T.StructType([f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)] + fields)
-    keep = [f.name for f in schema.fields[:-len(fields)]]
-    target = to_arrow_schema(schema)
+    kept = [f.name for f in schema.fields[:-len(fields)]]
+    target = to_arrow_schema(placed(schema))
+    n = len(kept)
 
     def merge(batches):
         for b in batches:
-            arr = b.column(b.schema.get_field_index("__text"))
+            arr = b.column(n)
             offsets, data = utf8(arr)
             _, starts, ends, first = find_words(offsets, data)
             marked = np.zeros(len(starts), dtype=bool)
-            for d, runs in enumerate(b.column(b.schema.get_field_index("__hits")).to_pylist()):
+            for d, runs in enumerate(b.column(n + 1).to_pylist()):
                 for s, e in zip(runs[::2], runs[1::2], strict=True):
                     marked[first[d] + s:first[d] + e] = True
-            items = {d: x for d, x in enumerate(b.column(b.schema.get_field_index("__found")).to_pylist())}
-            made = report(arr, np.diff(first), first, marked, items, starts, ends)
-            arrays = [b.column(i) for i in range(len(keep))] + made
+            items = dict(enumerate(b.column(n + 2).to_pylist()))
+            arrays = b.columns[:n] + report(arr, np.diff(first), first, marked, items, starts, ends)
             yield pa.RecordBatch.from_arrays(
                 [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)
                  for x, f in zip(arrays, target, strict=True)], schema=target)
 
-    return out.select(*keep, F.col("text").cast("string").alias("__text"), "__hits", "__found").mapInArrow(merge, schema)
+    work = out.select(*[col(c) for c in kept], F.col("text").cast("string"), F.concat(*[col(m.name) for m in marks]),
+                      F.array_sort(F.array_distinct(F.concat(*[col(f.name) for f in found]))))
+    return by_place(work).mapInArrow(merge, placed(schema)).toDF(*schema.names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
@@ -265,12 +265,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     without a hit stay as they are, also null and empty ones."""
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove must be 'spans' or 'documents', not {remove!r}")
-    names = docs.columns
-    report = scan_documents(docs, benchmark, window, prefix="__d_")
+    names, own = docs.columns, free_prefix(docs.columns)
+    report = scan_documents(docs, benchmark, window, prefix=own)
+    n_hit = col(own + "n_hit")
     if remove == "documents":
-        return report.where("__d_n_hit = 0").select(*names)
-    kept = report.where("__d_n_hit = 0 or __d_n_hit < __d_n_words")
-    return kept.select(*[F.col("__d_clean_text").alias("text") if c == "text" else col(c) for c in names])
+        return report.where(n_hit == 0).select(*[col(c) for c in names])
+    kept = report.where((n_hit == 0) | (n_hit < col(own + "n_words")))
+    return kept.select(*[col(own + "clean_text").alias("text") if c == "text" else col(c) for c in names])
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
