@@ -30,7 +30,8 @@ ROWS = [
     (-3, "x", "en", "s", 1),
 ]
 EXTRA = {"n_words": 1, "score": "x", "n_tokens": None, "kept_text": 2.0, "length": "q", "items": "i", "lang_pred": 0,
-         "removed": 1, "findings": 1, "sequence_id": "s", "digest": 1, "node": "n"}
+         "removed": 1, "findings": 1, "sequence_id": "s", "digest": 1, "node": "n", "__id": 77, "__hash": 78, "__no_id": "no",
+         "__kept_text": "kept", "__score": 0.5, "__lang_pred": "xx", "__text__": 1, "__hits": 2, "___id": 3, "a.b": 4, "c0": "five", "lang.x": None}
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,8 @@ def test_decontaminate(docs, bench, spark):
     assert rows[LONG]["n_words"] == 30_000 and rows[LONG]["n_hit"] == 0
     parts = decontaminate.scan_documents(docs, bench, part_bytes=40, keep=["doc_id", "text"])
     assert sorted(map(repr, parts.collect())) == sorted(map(repr, got.collect()))
+    whole = decontaminate.scan_documents(docs, bench, part_bytes=40, prefix="__")
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, decontaminate.scan_documents(docs, bench, prefix="__").collect()))
     assert decontaminate.scan_documents(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.scan_documents(docs.limit(0), bench).count() == 0
     kept = decontaminate.decontaminate(docs, bench)
@@ -95,6 +98,24 @@ def test_toxicity_finds_what_it_learned_and_changed_forms(spark):
     assert clean < 0.3 <= min(bad)
 
 
+def test_toxicity_learns_an_insult_of_three_texts(spark):
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(list("aeioubcdflnrst"), rng.integers(3, 9))) for _ in range(1500)]
+    rare = {7, 4_000, 19_000}
+    rows, labels = [], []
+    for i in range(20_000):
+        words = list(rng.choice(plain, 6))
+        toxic = i % 50 == 0 or i in rare
+        if toxic:
+            words[i % 6] = "zwokquup" if i in rare else ["vugzomp", "krimpwax"][i // 50 % 2]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scores = model.scores([" ".join(plain[:6]), " ".join(plain[:5]) + " zwokquup", plain[9] + " z.wokquup", "vugzomp " + plain[3]])
+    assert scores[0] < 0.3 <= scores[1:].min()
+
+
 def test_html(spark):
     same = "<div>site box</div>"
     rows = [(i, f"https://h.example/{i}", f"{same}<article><p>text {i}</p><p>shared</p></article>") for i in range(6)]
@@ -179,7 +200,7 @@ def brute_removals(rows):
             first.setdefault(u[3], (no_id, i, h, k))
     for i, h, t in rows:
         own = {k for k, u in enumerate(substring_dedup.units(t or "")) if first[u[3]] == (i is None, i or 0, h, k)}
-        out[i, t] = substring_dedup._removals(t, own, 8, 25) if t else []
+        out[i, t] = substring_dedup._removals(t, own, substring_dedup.MIN_LINE_WORDS, substring_dedup.MIN_RUN_WORDS) if t else []
     return out
 
 
@@ -347,6 +368,8 @@ def test_stages_take_odd_rows(spark, docs, odd_dir, empty):
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
         rows = out.collect()
         assert bool(rows) != empty
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert all(r[k] == v for r in rows for k, v in EXTRA.items())
         if name == "n-gram Jaccard join" and not empty:
             assert sorted((r["doc_id"] for r in rows), key=str) == sorted([1, 2, 3, 4, 6, 7, 8, 9, -3, None], key=str)
 

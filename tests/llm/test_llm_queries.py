@@ -23,7 +23,7 @@ COLUMNS = {
     "op12_ranked_lexical_search": "item_id rank doc_id score",
     "op13_conversation_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op10_document_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
-    "pipeline": "doc_id piece start length ids_crc32 sequence_id offset",
+    "pipeline": "doc_id piece start length ids_crc32 ids sequence_id offset",
 }
 
 

@@ -121,6 +121,28 @@ def test_ids_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_ids_of_words_whose_lower_case_has_marks():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(packing.vocabulary(packing.TOKENIZER))
+    rng = random.Random(9)
+    alphabet = ["İ", "I", "ı", "a", "b", " ", ".", ",", "'", "!", "\u0301", "\u0307", "é", "Σ", "ς", "1", "日", "\n", "ǅ", "ﬁ", "Ω", "ß"]
+    texts = ["ANADOLU ŞİRKETİ, İSTANBUL.", "İ.", "e\u0301.", "x\u0301\u0307!", "İİ, a"] + ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
+    got = packing.encoder(packing.TOKENIZER).encode(texts)
+    for t, raw in zip(texts, got, strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_encoder_forgets_half_and_goes_on(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(packing, "CACHE_CHARS", 2000)
+    enc, plain = packing._Encoder(packing.vocabulary(packing.TOKENIZER)), packing.encoder(packing.TOKENIZER)
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randint(0, 200)}" for _ in range(12)) for _ in range(3)] + ["long" * rng.randint(1, 300), None]
+        assert enc.encode(texts) == [plain.encode([t])[0] for t in texts]
+        assert len(enc.place) <= 110 and enc.chars == sum(map(len, enc.place)) and enc.ends[-1] == len(enc.ids)
+
+
 # ------------------------------------------------------------ words and windows
 
 def test_words_follow_the_pattern():
@@ -318,6 +340,81 @@ def test_names_made_from_headings_are_text():
     assert html_text.main_text(html_text.parse(plain + drop + '<div class="footer-links">x</div>')) == "Search engines\np"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="layout has-sidebar"><main><article><p>text</p></article></main></div>', "text"),
+    ('<div id="page" class="site content-sidebar"><article><p>text</p></article><div class="sidebar">s</div></div>', "text"),
+    ('<div class="page no-sidebar"><p>text</p></div>', "text"),
+    ('<form id="aspnetForm"><div class="ad">x y z and more of it</div><div><p>text</p></div></form>', "text"),
+    ('<form id="aspnetForm"><nav>n</nav><article><p>text</p></article><form>search</form></form>', "text"),
+    ('<article><p>a <span class="token comment">b</span> <a class="search">c</a> <span class="related">d</span></p></article>', "a b c d"),
+    ('<article><pre><div class="comment">x</div> y</pre><ul class="menu"><li>Soup</ul></article>', "x\ny\nSoup"),
+    ('<div class="ad">a</div><article><p>text</p></article><form><p>news</p></form><div class="comments"><p>long long</p></div>', "text"),
+    ('<div class="comments"><p>long long comments</p></div><div class="content"><p>text</p></div>', "text"),
+    ('<div class="sidebar"><article><p>teaser of another</p></article></div><article><p>this text</p></article>', "this text"),
+    ('<p>a<p title="open>b</p><p>c</p>', "a\nb\nc"),
+])
+def test_articles_are_kept(page, text):
+    assert html_text.main_text(html_text.parse(page)) == text
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "</x>" * n, lambda n: "<div>" * n + "</x>" * n, lambda n: '<a href="x>' * n, lambda n: "<!x " * n, lambda n: "<a " * n,
+    lambda n: "<p><span>" + "<span>" * n + "<p>x</p>" * n, lambda n: "<li><ul>" + "<div>" * n + "<li></li>" * n, lambda n: "<form>" * n + "<p>x",
+    lambda n: "<table><tr>" + "<div>" * n + "<td>x</td>" * n])
+def test_time_grows_with_the_page_alone(make):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(html_text.parse(make(n)))
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(64_000) < 24 * max(seconds(8_000), 0.01)
+
+
+def plain_extract(pages):
+    """Text by a plain reading of pages whose articles hold headings and
+    paragraphs alone."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.inside = [], False
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in ("article", "p", "h1"):
+                self.blocks.append("")
+            elif tag == "br" and self.blocks:
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag in ("p", "h1"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    out = []
+    for page in pages:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        out.append("\n".join(" ".join(b.split()) for b in reader.blocks if b.split()))
+    return out
+
+
+def test_main_text_of_the_given_pages(spark):
+    from conftest import SF01
+    rows = spark.read.parquet(f"{SF01}/pages.parquet").orderBy("page_id").collect()
+    got = {r["page_id"]: r["text"] for r in html_text.op3_html_extraction(spark, SF01).collect()}
+    assert [got[r["page_id"]] for r in rows] == plain_extract([r["html"] for r in rows])
+
+
 def test_template_subtrees_go_but_running_text_stays():
     root = html_text.parse("<div>same <a href=x>box</a></div><div>own</div><article><p>same</p><div>note</div>text</article>")
     digests = html_text.digest_elements(root)
