@@ -16,54 +16,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.llm import decontaminate, jaccard_join, langid, packing, substring_dedup
-from lexiscope.llm.arrow_rows import table
+from lexiscope.llm.arrow_rows import col, free_prefix, table
 from lexiscope.session import checkpoint_dir, ship_package
 
 
+def _columns(docs: DataFrame, text=None) -> list:
+    """The columns of ``docs``, whatever their names, with ``text`` for the text."""
+    return [text.alias("text") if c == "text" and text is not None else col(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, or with no letter of those that name their
     language: in none of the languages learned. A low score alone drops nothing,
     as it falls with the length of a text and the size of its alphabet. The
-    language named in ``lang`` is not overwritten."""
+    language named in ``lang`` is not overwritten.
+
+    Null and empty texts go; repeated rows go or stay alike; a long text is read
+    as a whole; an empty table stays empty; other columns, whatever their names,
+    come through as they are."""
     ship_package(spark)
-    scored = langid.identify(docs, langid.learn_profiles(docs), prefix="__", letters=langid.learn_letters(docs))
-    kept = scored.where(F.col("__lang_pred") != langid.UNDETERMINED)
-    return kept.select(*docs.columns)
+    own = free_prefix(docs.columns)
+    scored = langid.identify(docs, langid.learn_profiles(docs), prefix=own, letters=langid.learn_letters(docs))
+    return scored.where(col(own + "lang_pred") != langid.UNDETERMINED).select(*_columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of the Jaccard join, the first by id and
-    text hash. Rows alike in both are one document. Documents without words stay."""
+    text hash.
+
+    Rows alike in id and text are one document, of which one row stays.
+    Documents without words, null texts included, stay; rows without id rank
+    last. An empty table stays empty; other columns, whatever their names, come
+    through as they are."""
     ship_package(spark)
     groups = jaccard_join.jaccard_groups(docs.select("doc_id", "text"))
+    own = free_prefix(docs.columns)
+    keys = [own + "id", own + "no_id", own + "hash"]
     first = groups.where("doc_id <=> class_id and text_hash = class_hash").select(
-        F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"),
-        F.col("text_hash").alias("__hash"))
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__no_id", F.col("doc_id").isNull()) \
-        .withColumn("__hash", F.xxhash64("text"))
-    keys = ["__id", "__no_id", "__hash"]
-    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+        F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1]), F.col("text_hash").alias(keys[2]))
+    keyed = docs.select(*_columns(docs), F.coalesce("doc_id", F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1]),
+                        F.xxhash64("text").alias(keys[2]))
+    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(*_columns(docs))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut lines and passages that an earlier document has; drop what is left
-    without text."""
+    without text.
+
+    A null or empty text stays. Rows alike in id and text are one document and
+    come out alike; rows without id rank last. A long text is cut as a whole.
+    An empty table stays empty; other columns, whatever their names, come through
+    as they are."""
     ship_package(spark)
-    cut = substring_dedup.dedup_units(docs, prefix="__")
-    kept = cut.where("__n_removed = 0 or trim(__kept_text) <> ''")
-    return kept.withColumn("text", F.col("__kept_text")).select(*docs.columns)
+    own = free_prefix(docs.columns)
+    cut = substring_dedup.dedup_units(docs, prefix=own)
+    text = col(own + "kept_text")
+    return cut.where((col(own + "n_removed") == 0) | (F.trim(text) != "")).select(*_columns(docs, text))
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of ``benchmark``; drop documents that were nothing else."""
+    """Cut passages of ``benchmark``; drop documents that were nothing else.
+
+    Null and empty texts stay; repeated rows come out alike; a long text is
+    scanned as a whole; an empty table stays empty, and an empty benchmark cuts
+    nothing; other columns, whatever their names, come through as they are."""
     ship_package(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and offset."""
+    """Pieces of at most 4096 tokens with their ids, sequence and offset: what a
+    model trains on.
+
+    A null or empty text is a piece of the end id; repeated rows give a piece
+    each; a long text is cut into pieces; an empty table gives none. Of other
+    columns nothing is read."""
     ship_package(spark)
-    return packing.pack_documents(docs.select("doc_id", "text"), keep_ids=False)
+    return packing.pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [
@@ -79,11 +108,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them lie in a folder of
+    """All stages over ``documents``: the packed pieces with their token ids. The
+    tables between the stages, named by number and stage, stay in a folder of
     this run under ``spark.checkpoint.dir``."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        path = f"{base}/{k}-{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
