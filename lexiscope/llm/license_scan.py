@@ -266,9 +266,10 @@ class Templates:
         doc = np.searchsorted(first, hits, side="right") - 1
         hits, doc = hits[hits + RUN <= first[doc + 1]], doc[hits + RUN <= first[doc + 1]]
         found: list[list] = [[] for _ in range(len(offsets) - 1)]
-        for d in np.unique(doc).tolist():
+        held = np.unique(doc)
+        for d, s, e in zip(held.tolist(), np.searchsorted(doc, held).tolist(), np.searchsorted(doc, held, side="right").tolist(), strict=True):
             places: dict[int, list[int]] = {}
-            for i in hits[doc == d].tolist():
+            for i in hits[s:e].tolist():
                 for t, place in self.runs[int(runs[i])]:
                     places.setdefault(t, []).append(i - place)
             best = []
@@ -287,12 +288,12 @@ class Templates:
                     if len(pairs) >= least * size and self.telling[t] <= {self.words[t][p] for _, p in pairs}:
                         best.append((len(pairs), self.names[t], len(pairs) / size, lo + pairs[0][0], lo + pairs[-1][0] + 1))
                     k = m + 1
-            taken: list[tuple] = []
+            taken: list[tuple] = []  # by place, none overlapping
             for b in sorted(best, key=lambda b: (-b[0], -b[2], b[3], b[1])):
-                if all(b[4] <= x[3] or b[3] >= x[4] for x in taken):
-                    taken.append(b)
-            found[d] = [(name, cover, int(starts[s] - offsets[d]), int(ends[e - 1] - offsets[d]))
-                        for _, name, cover, s, e in sorted(taken, key=lambda b: b[3])]
+                k = bisect_left(taken, b[3], key=lambda x: x[3])
+                if (k == 0 or taken[k - 1][4] <= b[3]) and (k == len(taken) or b[4] <= taken[k][3]):
+                    taken.insert(k, b)
+            found[d] = [(name, cover, int(starts[s] - offsets[d]), int(ends[e - 1] - offsets[d])) for _, name, cover, s, e in taken]
         return found
 
 
@@ -305,8 +306,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     """``docs`` (of it the columns ``keep``, all if None) with ``findings``:
     license, coverage, start and end byte, by place.
 
-    Null, empty and clean texts have no findings; repeated rows have the same;
-    an empty table gives an empty table; a column named ``findings`` is
+    Null, empty and clean texts have no findings; repeated rows have the same; a
+    long text is scanned as a whole; an empty table gives an empty table; a column named ``findings`` is
     replaced. The templates are a parameter of a few texts and are shipped with
     the function."""
     index = Templates(TEMPLATES if templates is None else templates)

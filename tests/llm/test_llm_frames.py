@@ -192,6 +192,30 @@ def test_licenses(docs, spark):
     assert license_scan.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_by_brute_force(spark):
+    """Whole templates in a text are found, and a text without a run of a
+    template's words has no finding."""
+    run = license_scan.RUN
+    templates = [(name, words(t)) for name, texts in license_scan.TEMPLATES.items() for t in texts]
+    runs = {tuple(w[i:i + run]) for _, w in templates for i in range(len(w) - run + 1)}
+    docs = spark.read.parquet(f"{SF001.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    made = spark.createDataFrame([(10 ** 6 + k, f"Some words. {t}\nAnd more of them.") for k, t in enumerate(
+        t for texts in license_scan.TEMPLATES.values() for t in texts)], docs.schema)
+    rows = docs.unionByName(made).collect()
+    found = {r["doc_id"]: {f["license"] for f in r["findings"]} for r in license_scan.scan_licenses(docs.unionByName(made)).collect()}
+    whole = 0
+    for r in rows:
+        own = words(r["text"])
+        joined = f" {' '.join(own)} "
+        held = [(len(w), name) for name, w in templates if f" {' '.join(w)} " in joined]
+        if not any(tuple(own[i:i + run]) in runs for i in range(len(own) - run + 1)):
+            assert not found[r["doc_id"]]
+        if held:
+            whole += 1
+            assert {name for n, name in held if n == max(held)[0]} & found[r["doc_id"]], r["doc_id"]
+    assert whole >= len(templates)
+
+
 def brute_removals(rows):
     first, out = {}, {}
     keyed = sorted({(i is None, i or 0, h, t) for i, h, t in rows if t}, key=lambda k: k[:3])
