@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +137,13 @@ def fingerprint_with_neighbours(docs: DataFrame, blocks: int | None = None) -> D
     id_or_last = F.col("doc_id")
     block = F.lit(len(cuts) + 1)  # rows without id
     if cuts:
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        above = F.size(F.filter(bounds, lambda c: c < id_or_last))
+        # two levels: of every so many cuts the last one, then those between
+        wide = math.isqrt(len(cuts)) + 1
+        parts = [[int(c) for c in cuts[i:i + wide]] for i in range(0, len(cuts), wide)]
+        lit = lambda part: F.array(*[F.lit(c) for c in part])
+        below = lambda some: F.size(F.filter(some, lambda c: c < id_or_last))
+        level = below(lit([p[-1] for p in parts]))
+        above = F.least(level * wide + F.coalesce(below(F.get(F.array(*[lit(p) for p in parts]), level)), F.lit(0)), F.lit(len(cuts)))
         block = F.when(F.col("doc_id").isNotNull(), F.lit(len(cuts)) - above).otherwise(block)
     else:
         block = F.when(F.col("doc_id").isNotNull(), F.lit(0)).otherwise(block)
