@@ -408,8 +408,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHA
 
     A null or empty html has an empty text; a page without a url, or with one
     without a host, belongs to the host ''. Repeated rows each count as a page
-    and get the same text; an empty table gives an empty table; columns other
-    than page_id, url and html are not read."""
+    and get the same text; a long page is parsed as a whole, in linear time; an empty
+    table gives an empty table; columns other than page_id, url and html are not read."""
     base = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def count(part: pa.RecordBatch):

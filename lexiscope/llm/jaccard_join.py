@@ -361,8 +361,8 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     linked to this one directly, equal shingle sets included; ``n_copies``
     those with an equal set. A null, empty or wordless text links to nothing
     and is a class of its own. Null doc_ids rank last: a class of such rows
-    alone has class_id null. Repeated rows are documents of their own. An empty
-    table gives an empty table. Columns other than doc_id and text are not read."""
+    alone has class_id null. Repeated rows are documents of their own. A long
+    text is one set of all its shingles. An empty table gives an empty table. Columns other than doc_id and text are not read."""
     checkpoint_dir(docs.sparkSession)
     sets = document_sets(docs, words).checkpoint()
     rank = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("th"))

@@ -154,7 +154,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     ``und`` with score 0 for a null text, one without a letter, or when there
     are no profiles, or, where ``letters`` are given, for one with none of them;
     neither its length nor the size of its alphabet counts. Ties go to the language first in the alphabet. Repeated
-    rows get the same answer; columns named like the new ones are replaced."""
+    rows get the same answer; a long text is read as a whole; an empty table gives an
+    empty table; columns named like the new ones are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(Classifier(profiles, size, letters))
 
     def predict(arr: pa.Array) -> list:

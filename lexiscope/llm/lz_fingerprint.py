@@ -122,7 +122,8 @@ def fingerprint_with_neighbours(docs: DataFrame, blocks: int | None = None) -> D
 
     A null text is an empty one, whose bins are all empty; two of them are
     alike (1.0). Ties of doc_id are ordered by text hash, rows without id come
-    last; repeated rows follow each other. An empty table gives an empty table.
+    last; repeated rows follow each other. A long text is parsed as a whole. An empty table
+    gives an empty table; columns other than doc_id and text are not read.
 
     Documents are dealt to ranges of doc_id. The first document of each range
     is also sent to the range before, so every document meets its next one with

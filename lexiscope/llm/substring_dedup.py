@@ -165,7 +165,8 @@ def dedup_units(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS,
     Rows that repeat both doc_id and text are one document and come out alike.
     Rows without doc_id rank last, then by text hash. A null text stays null
     with nothing removed; an empty one stays empty; a text whose units are all
-    repeats becomes empty. Columns named like the new ones are replaced."""
+    repeats becomes empty. A long text is cut as a whole; an empty table gives an
+    empty table. Columns named like the new ones are replaced; others may have any name."""
     fields = report_fields(prefix)
     new = {f.name for f in fields}
     kept = [f for f in docs.schema.fields if f.name not in new]
