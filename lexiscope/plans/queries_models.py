@@ -17,7 +17,7 @@ from . import jobs
 from .oracle import cosine_sql
 from .queries import (_LM_DOCS_SQL, ALPHA, K, LM_VOCAB, SEQ_LEN, STRIDE, WP_VOCAB, _analysis_docs, _lm_docs, _md5_of, _prepared, register,
                       round_metrics)
-from .registry import MODELS
+from .registry import MODELS, skipgram_model
 
 # ---------------------------------------------------------------------------
 # The training job's merges and word pieces: trained once for a table and
@@ -249,3 +249,10 @@ def q_metrics_common_width(spark, sf_dir):
     docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, None)
     models = [MODELS[name] for name in ("byte-hashed", "char-hashed", "word2vec")]
     return round_metrics(jobs.evaluate_reduced(kept, aligned, qr, models, COMMON_WIDTH)).withColumn("width", F.lit(COMMON_WIDTH))
+
+
+@register("skipgram_metrics")
+def q_skipgram_metrics(spark, sf_dir):
+    """Retrieval by word vectors of the sharded trainer."""
+    docs, kept, qs, qr, aligned = _prepared(spark, sf_dir, None)
+    return round_metrics(jobs.evaluate(kept, aligned, qr, [skipgram_model()]).drop("dim"))

@@ -63,6 +63,26 @@ class WordVectors:
         return embed_word2vec(state, docs)
 
 
+@dataclass(frozen=True)
+class SkipGram:
+    """Mean of word vectors from the sharded trainer; the state is their table."""
+
+    dim: int = 64
+    min_count: int = 5
+    rounds: int = 6
+    seed: int = 42
+
+    def fit(self, docs: DataFrame) -> Any:
+        from ..operators.skipgram import train_vectors
+
+        return train_vectors(docs, "tokens", self.dim, min_count=self.min_count, rounds=self.rounds, seed=self.seed)
+
+    def transform(self, docs: DataFrame, state: Any) -> DataFrame:
+        from ..operators.skipgram import mean_vectors
+
+        return mean_vectors(docs, state, "tokens")
+
+
 @dataclass(frozen=True)
 class External:
     """A user's own text encoder: ``make_predict_fn()`` gives a function of an
@@ -125,6 +145,11 @@ def bpe_model(merges: dict[tuple[int, int], int], name: str = "bpe-hashed") -> M
     return Model(name, bpe_tokenizer("bpe", merges, 256 + len(merges)))
 
 
+def skipgram_model(dim: int = 64, name: str = "skipgram", **options) -> Model:
+    """Word vectors whose table never meets the driver."""
+    return Model(name, WORDS, dim=dim, vectorizer=SkipGram(dim, **options))
+
+
 def external_model(name: str, make_predict_fn: Callable, dim: int) -> Model:
     """A user's own text encoder."""
     return Model(name, WORDS, dim=dim, vectorizer=External(make_predict_fn, dim))

@@ -94,7 +94,7 @@ def texts(spark, *cols):
 def test_rows_only_queries_are_all_checked():
     assert set(QUERIES) - set(SQL) == {"bpe_train", "wordpiece_frequency", "tokenizer_comparison", "retrieval_all_models",
                                        "word2vec_metrics", "pca_reduce", "lm_generate_batch", "wordpiece_train", "bpe_encode_trained",
-                                       "published_bpe_tokens", "topk_cells_recall", "lm_generate_published", "metrics_common_width"}
+                                       "published_bpe_tokens", "topk_cells_recall", "lm_generate_published", "metrics_common_width", "skipgram_metrics"}
 
 
 def test_bpe_train_by_brute_force(spark):
