@@ -35,13 +35,15 @@ def lm_windows(seqs: DataFrame, tokens: str = "tokens", seq_length: int = 128,
     starts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)),
                       lambda i: i < last if not include_last else i <= last)
     starts = F.when(last > (-1 if include_last else 0), starts)
-    # explode_outer: a plain explode makes Spark add a filter on its input,
-    # which would evaluate an upstream Python tokenizer a second time
-    ex = seqs.select("*", F.explode_outer(starts).alias("start")).where(F.col("start").isNotNull())
-    return ex.select(
-        *[c for c in seqs.columns if c != tokens], "start",
-        F.slice(tokens, F.col("start") + 1, seq_length).alias("input"),
-        F.slice(tokens, F.col("start") + 2, seq_length).alias("target"))
+    # the windows alone are exploded: with the tokens beside them each window
+    # would copy its whole document. explode_outer: a plain explode makes Spark
+    # add a filter on its input, which would evaluate an upstream Python
+    # tokenizer a second time
+    held = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(tokens, i + 1, seq_length + 1).alias("span")))
+    others = [c for c in seqs.columns if c != tokens]
+    ex = seqs.select(*others, F.explode_outer(held).alias("_w")).where(F.col("_w").isNotNull())
+    return ex.select(*others, "_w.start", F.slice("_w.span", 1, seq_length).alias("input"),
+                     F.slice("_w.span", 2, seq_length).alias("target"))
 
 
 def ngram_counts(seqs: DataFrame, tokens: str = "tokens") -> DataFrame:
