@@ -23,13 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.parts import PART_SIZE, batch_parts, list_sizes
 from ..session import checkpoint_dir
 
 BITS = 21  # of a token id
 MAX_ORDER = 3
 STEPS = 10
-SLICE_TOKENS = 2 << 20
+SLICE_TOKENS = PART_SIZE  # counted at once in a task
 
 
 def window_counts(n: np.ndarray, at: np.ndarray, seq_length: int, stride: int) -> np.ndarray:
@@ -52,20 +54,13 @@ def gram_counts(seqs: DataFrame, order: int, tokens: str = "tokens", windows: tu
 
     def count(batches):
         for batch in batches:
-            column = batch.column(0).cast(pa.large_list(pa.int64()))
-            sizes = np.diff(column.offsets.to_numpy())
-            ends = np.cumsum(sizes)
-            start = 0
-            while start < len(column):
-                base = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_TOKENS, side="right")))
-                yield from some(column.slice(start, stop - start))
-                start = stop
+            for part in batch_parts(batch, "tokens", SLICE_TOKENS):
+                yield from some(part.column(0))
 
     def some(column):
         column = column.filter(column.is_valid())
         v = np.asarray(column.flatten(), dtype=np.int64)
-        sizes = np.diff(column.offsets.to_numpy())
+        sizes = list_sizes(column)
         if len(v) and (v.max() >= 1 << BITS or v.min() < 0):
             raise ValueError(f"a token id does not fit {BITS} bits")
         n = np.repeat(sizes, sizes)
@@ -81,7 +76,10 @@ def gram_counts(seqs: DataFrame, order: int, tokens: str = "tokens", windows: tu
         np.add.at(sums, place, weight[held])
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], names=["code", "cnt"])
 
-    part = seqs.select(F.col(tokens).cast("array<long>").alias("tokens")).mapInArrow(count, "code long, cnt long")
+    held = F.col(tokens)
+    if seqs.schema[tokens].dataType.elementType not in (T.IntegerType(), T.LongType()):
+        held = held.cast("array<long>")
+    part = seqs.select(held.alias("tokens")).mapInArrow(count, "code long, cnt long")
     total = part.groupBy("code").agg(F.sum("cnt").alias("cnt"))
     ids = [F.shiftrightunsigned("code", BITS * (order - 1 - k)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int").alias(f"t{k + 1}")
            for k in range(order)]
